@@ -2,18 +2,75 @@
 
 from __future__ import annotations
 
+import base64
+import functools
+from collections.abc import Iterator
+from pathlib import Path
+
+import numpy as np
+import pyarrow as pa
+import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import simhash
-from siteloom.llm.common import table
+from siteloom.llm import bpe, langid, rans, simhash, toxicity
+from siteloom.llm.arrays import binary_array
+from siteloom.llm.common import checkpoint, slices, table
 
 
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, kept_doc_id) of the documents that near dedup removes."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+@functools.lru_cache(2)
+def _encoding(path: str) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a}
+    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def token_ids(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
+    """(doc_id, ids) of the documents, ids as little-endian uint32; a null text has null ids."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = _encoding(path)
+        for batch in batches:
+            for part in slices(batch):
+                rows = [None if t is None else own.encode_to_numpy(t, disallowed_special=()) for t in part.column(1).to_pylist()]
+                sizes = np.array([0 if r is None else len(r) for r in rows], np.int64)
+                flat = np.concatenate([r for r in rows if r is not None] or [np.zeros(0, np.uint32)]).astype("<u4")
+                ids = binary_array(flat.view(np.uint8), np.concatenate([[0], np.cumsum(sizes)]) * 4)
+                if part.column(1).null_count:
+                    ids = pa.array([None if r is None else x for r, x in zip(rows, ids.to_pylist(), strict=True)], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column(0), ids], ["doc_id", "ids"])
+
+    return docs.selectExpr("cast(doc_id as long) doc_id", "text").mapInArrow(run, "doc_id long, ids binary")
+
+
+def op4_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of the documents' token ids, each decoded again (exact)."""
+    ids = checkpoint(token_ids(table(spark, sf_dir, "documents")))
+    return rans.encode_rows(ids, rans.frequencies(ids), verify=True)
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, and whether decoding gives its text again."""
+    return bpe.tokenize(table(spark, sf_dir, "documents"))
+
+
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, profiles fitted on its declared ones."""
+    docs = table(spark, sf_dir, "documents")
+    return langid.identify(docs, langid.fit(docs))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, models fitted on its labels."""
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_near_dedup,)}
+    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_rans_token_blocks, op6_byte_bpe, op8_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
