@@ -12,11 +12,22 @@ import pyarrow as pa
 import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
-from siteloom.llm import bpe, langid, rans, simhash, toxicity
+from siteloom.llm import bpe, crf_lines, fm, langid, quotes, raking, rans, simhash, tiff, tiff_write, toxicity
 from siteloom.llm.arrays import binary_array
 from siteloom.llm.common import checkpoint, slices, table
 
 
+def op1_tiff_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every document's image; the images are written from the documents, which hold the table's only media."""
+    return tiff.decode(tiff_write.images(table(spark, sf_dir, "documents")))
+
+
+def op2_crf_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line labels and retention of every document, the field fitted on its quality labels."""
+    docs = table(spark, sf_dir, "documents")
+    return crf_lines.label(docs, crf_lines.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, kept_doc_id) of the documents that near dedup removes."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -52,17 +63,33 @@ def op4_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.encode_rows(ids, rans.frequencies(ids), verify=True)
 
 
+def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations rebuilt from mail that quotes its predecessors, written from all turns."""
+    return quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether decoding gives its text again."""
     return bpe.tokenize(table(spark, sf_dir, "documents"))
 
 
+def op7_fm_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, the machine fitted on its labels."""
+    docs = table(spark, sf_dir, "documents")
+    return fm.score(docs, fm.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, profiles fitted on its declared ones."""
     docs = table(spark, sf_dir, "documents")
     return langid.identify(docs, langid.fit(docs))
 
 
+def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sampled documents and their probabilities."""
+    return raking.sample(table(spark, sf_dir, "documents"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, models fitted on its labels."""
     docs = table(spark, sf_dir, "documents")
@@ -70,7 +97,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_simhash_near_dedup, op4_rans_token_blocks, op6_byte_bpe, op8_language_id, op10_toxicity)}
+    return {f.__name__: f for f in (op1_tiff_pages, op2_crf_line_labels, op3_simhash_near_dedup, op4_rans_token_blocks, op5_quote_linking, op6_byte_bpe, op7_fm_quality, op8_language_id, op9_raked_mixture, op10_toxicity)}
 
 
 def oracle_sql() -> dict:
