@@ -2,10 +2,377 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import partial
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from siteloom.functions import text as X
+from siteloom.functions import urls as U
+from siteloom.model import PRIORITY
+from siteloom.operators import base, dup_rules, graph_rules, page_rules, registry
+from siteloom.plans import report
+from siteloom.sources import overlay as O
+from siteloom.sources import files
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLES[f.__name__] = " ".join((WITH + sql).split("\n"))
+        return f
+
+    return add
+
+
+URL = U.PATTERN.replace("'", "''")
+
+
+def part(c: str, k: int) -> str:
+    return f"regexp_extract({c}, '{URL}', {k})"
+
+
+def authority(c: str) -> str:
+    own = f"lower(regexp_replace({part(c, 2)}, '^[^@]*@', ''))"
+    return f"(CASE lower({part(c, 1)}) WHEN 'http' THEN regexp_replace({own}, ':80$', '') WHEN 'https' THEN regexp_replace({own}, ':443$', '') ELSE {own} END)"
+
+
+def host(c: str) -> str:
+    return f"regexp_replace({authority(c)}, ':[0-9]+$', '')"
+
+
+def path(c: str) -> str:
+    return f"(CASE WHEN {part(c, 3)} = '' THEN '/' ELSE {part(c, 3)} END)"
+
+
+def origin(c: str) -> str:
+    return f"lower({part(c, 1)}) || '://' || {authority(c)}"
+
+
+def norm(c: str) -> str:
+    return f"(CASE WHEN {part(c, 2)} <> '' THEN {origin(c)} || lower({path(c)}) ELSE {c} END)"
+
+
+def resolved(b: str, h: str) -> str:
+    folder = f"regexp_replace({path(b)}, '[^/]*$', '')"
+    return f"(CASE WHEN {part(h, 2)} <> '' THEN {h} WHEN starts_with({h}, '//') THEN 'https:' || {h} WHEN starts_with({h}, '/') THEN {origin(b)} || {h} WHEN starts_with({h}, '?') THEN {origin(b)} || {path(b)} || {h} WHEN starts_with({h}, '#') THEN {origin(b)} || {path(b)} || {part(b, 4)} || {h} ELSE {origin(b)} || {folder} || {h} END)"
+
+
+def plain(c: str) -> str:
+    return f"trim(regexp_replace(regexp_replace({c}, '<[^>]*>', '', 'g'), '\\s+', ' ', 'g'))"
+
+
+def q(pattern: str) -> str:
+    return pattern.replace("'", "''")
+
+
+WITH = f"""WITH p AS (SELECT page_id, url, html, CAST(page_id % 5 AS INTEGER) AS depth, CASE page_id % 20 WHEN 0 THEN 404 WHEN 1 THEN 500 WHEN 2 THEN 301 WHEN 3 THEN 302 ELSE 200 END AS status, {host('url')} AS site FROM pages),
+f AS (SELECT *, {plain(f"regexp_extract(html, '{q(O.TITLE)}', 1)")} AS title, {plain(f"regexp_extract(html, '{q(O.H1)}', 1)")} AS h1, regexp_extract(html, '{q(O.LANG)}', 1) AS lang, lower(regexp_extract(html, '{q(O.CHARSET)}', 1)) AS charset, len(regexp_extract_all(html, '{q(O.H1)}')) AS n_h1 FROM p),
+a0 AS (SELECT page_id, url, site, unnest(regexp_extract_all(html, '{q(O.ANCHOR)}')) AS a FROM p),
+a1 AS (SELECT page_id, url, site, regexp_extract(a, '{q(O.ANCHOR)}', 1) AS href, {plain(f"regexp_extract(a, '{q(O.ANCHOR)}', 2)")} AS anchor FROM a0),
+l AS (SELECT *, {resolved('url', 'href')} AS target FROM a1 WHERE NOT regexp_matches(lower(href), '^(javascript:|mailto:|tel:|#)')),
+s AS (SELECT {norm('url')} AS norm, arg_max(status, {{'depth': depth, 'page_id': page_id}}) AS target_status FROM p GROUP BY 1),
+r AS (SELECT x.page_id, {norm('x.url')} AS source, {norm('y.url')} AS target, x.status AS code FROM p x JOIN p y ON x.page_id = y.page_id - 5 * (y.page_id % 2) - 20 WHERE x.status BETWEEN 300 AND 399)
+"""
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.pages(spark, sf_dir)
+
+
+def features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return O.features(O.pages(spark, sf_dir))
+
+
+@query("SELECT page_id, url, title, n FROM (SELECT page_id, url, title, count(*) OVER (PARTITION BY lower(title)) AS n FROM f WHERE title <> '') WHERE n > 1 ORDER BY n DESC, title, page_id")
+def dup_titles(spark, sf_dir):
+    rows = features(spark, sf_dir).where("title != ''").select("page_id", "url", "title")
+    return rows.withColumn("n", F.count("*").over(Window.partitionBy(F.lower("title")))).where("n > 1").orderBy(F.desc("n"), "title", "page_id")
+
+
+@query("SELECT page_id, CASE WHEN length(title) = 0 THEN 'Missing Title' WHEN length(title) < 30 THEN 'Title Too Short' WHEN length(title) > 70 THEN 'Title Too Long (Will Truncate)' ELSE 'Title Long (May Truncate)' END AS issue, CAST(length(title) AS INTEGER) AS size FROM f WHERE length(title) < 30 OR length(title) > 60")
+def title_length_rules(spark, sf_dir):
+    n = F.length("title")
+    issue = F.when(n == 0, "Missing Title").when(n < 30, "Title Too Short").when(n > 70, "Title Too Long (Will Truncate)").otherwise("Title Long (May Truncate)")
+    return features(spark, sf_dir).where((n < 30) | (n > 60)).select("page_id", issue.alias("issue"), n.alias("size"))
+
+
+WIDTH = "CAST(length(title) * 8 + (length(title) - length(regexp_replace(title, '[\\p{Lu}]', '', 'g'))) * 4 - (length(title) - length(regexp_replace(title, '[il!|., ]', '', 'g'))) * 4 AS INTEGER)"
+
+
+@query(f"SELECT page_id, {WIDTH} AS px, CASE WHEN {WIDTH} > 600 THEN 'exceeded' WHEN {WIDTH} > 580 THEN 'mobile' ELSE 'fits' END AS verdict FROM f")
+def title_pixel_width(spark, sf_dir):
+    return features(spark, sf_dir).select("page_id", X.pixel_width(F.col("title")).alias("px")).withColumn("verdict", F.when(F.col("px") > 600, "exceeded").when(F.col("px") > 580, "mobile").otherwise("fits"))
+
+
+@query("SELECT page_id, title FROM f WHERE title <> '' AND NOT regexp_matches(title, '[|\\-•→–—\\[\\]():]')")
+def title_separators(spark, sf_dir):
+    return features(spark, sf_dir).where((F.col("title") != "") & ~F.col("title").rlike(r"[|\-•→–—\[\]():]")).select("page_id", "title")
+
+
+@query("SELECT lang, charset, count(*) AS pages, CAST(sum(CASE WHEN lang = '' THEN 1 ELSE 0 END) AS BIGINT) AS without_lang, CAST(sum(CASE WHEN charset NOT IN ('utf-8', 'utf8') THEN 1 ELSE 0 END) AS BIGINT) AS other_charset FROM f GROUP BY lang, charset")
+def lang_and_charset(spark, sf_dir):
+    return features(spark, sf_dir).groupBy("lang", "charset").agg(F.count("*").alias("pages"), F.count_if(F.col("lang") == "").alias("without_lang"), F.count_if(~F.col("charset").isin("utf-8", "utf8")).alias("other_charset"))
+
+
+@query("SELECT page_id, CAST(n_h1 AS INTEGER) AS n_h1, CASE WHEN n_h1 = 0 THEN 'Missing H1 Tag' WHEN n_h1 > 1 THEN 'Multiple H1 Tags' WHEN h1 = '' THEN 'Empty H1 Tag' WHEN lower(h1) = lower(title) THEN 'Identical H1 and Title' ELSE 'ok' END AS issue FROM f")
+def h1_rules(spark, sf_dir):
+    issue = F.when(F.col("n_h1") == 0, "Missing H1 Tag").when(F.col("n_h1") > 1, "Multiple H1 Tags").when(F.col("h1") == "", "Empty H1 Tag").when(F.lower("h1") == F.lower("title"), "Identical H1 and Title").otherwise("ok")
+    return features(spark, sf_dir).select("page_id", "n_h1", issue.alias("issue"))
+
+
+SET = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2))"
+
+
+@query(f"SELECT page_id, round(CASE WHEN len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))) END, 9) AS alike FROM (SELECT page_id, {SET.format('url')} AS x, {SET.format('title')} AS y FROM f)")
+def title_url_jaccard(spark, sf_dir):
+    return features(spark, sf_dir).select("page_id", F.round(X.jaccard(F.col("url"), F.col("title")), 9).alias("alike"))
+
+
+BARE = "regexp_replace(url, '[?#].*$', '')"
+QUERY = part("url", 4)
+SESSION = "CASE " + " ".join(f"WHEN regexp_matches(url, '(?i){p}') THEN '{n} parameter detected ({e})'" for p, n, e in page_rules.SESSIONS) + " END"
+
+
+@query(f"""SELECT page_id, issue FROM (
+SELECT page_id, CASE WHEN length({BARE}) > 100 THEN 'URL length exceeds 100 characters (' || length({BARE}) || ')' WHEN length({BARE}) > 75 THEN 'URL length exceeds 75 characters (' || length({BARE}) || ')' END AS issue FROM p
+UNION ALL SELECT page_id, CASE WHEN url <> lower(url) THEN 'Uppercase characters in URL' END FROM p
+UNION ALL SELECT page_id, CASE WHEN {QUERY} <> '' AND len(string_split(substring({QUERY}, 2), '&')) > 3 THEN 'Too many query parameters (' || len(string_split(substring({QUERY}, 2), '&')) || ')' END FROM p
+UNION ALL SELECT page_id, CASE WHEN {QUERY} <> '' AND regexp_matches(url, '(?i)[?&](page|p|pg|offset|start)=') THEN 'Pagination parameter detected in URL' END FROM p
+UNION ALL SELECT page_id, CASE WHEN {QUERY} <> '' THEN {SESSION} END FROM p
+UNION ALL SELECT page_id, CASE WHEN regexp_matches(url, '[^a-zA-Z0-9\\-_.~:/?#\\[\\]@!$&''()*+,;=%]') THEN 'Special characters found in URL' END FROM p
+UNION ALL SELECT page_id, CASE WHEN contains({path('url')}, '_') THEN 'Underscore detected in URL path' END FROM p) WHERE issue IS NOT NULL""")
+def url_rules(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", "url")
+    return rows.select("page_id", F.explode(F.filter(F.array(*page_rules.url_rules(F.col("url"))), lambda x: x.isNotNull())).alias("f")).select("page_id", "f.issue")
+
+
+@query(f"SELECT page_id, {norm('url')} AS norm, {host('url')} AS host, regexp_replace({host('url')}, '^www\\.', '') AS bare_host, {part('url', 4)} AS query_part FROM p")
+def url_normalize(spark, sf_dir):
+    u = F.col("url")
+    return pages(spark, sf_dir).select("page_id", U.normalize(u).alias("norm"), U.host(u).alias("host"), U.bare_host(u).alias("bare_host"), U.query(u).alias("query_part"))
+
+
+@query("SELECT site, count(*) AS pages, min(depth) AS least_depth, max(depth) AS most_depth, CAST(sum(CASE WHEN status BETWEEN 200 AND 299 THEN 1 ELSE 0 END) AS BIGINT) AS good FROM p GROUP BY site")
+def host_inventory(spark, sf_dir):
+    return pages(spark, sf_dir).groupBy("site").agg(F.count("*").alias("pages"), F.min("depth").alias("least_depth"), F.max("depth").alias("most_depth"), F.count_if(F.col("status").between(200, 299)).alias("good"))
+
+
+EXT = "regexp_extract(regexp_replace(url, '[?#].*$', ''), '(\\.[^.]*)$', 1)"
+LAST = f"regexp_extract(lower({path('url')}), '([^/]*)$', 1)"
+
+
+@query(f"SELECT page_id, {EXT} AS extension, contains({LAST}, '.') AND NOT regexp_matches({LAST}, '\\.(html?|xhtml|php|aspx?|jspx?|cfm)$') AS static FROM p")
+def url_extension(spark, sf_dir):
+    return pages(spark, sf_dir).select("page_id", U.extension(F.col("url")).alias("extension"), U.is_static(F.col("url")).alias("static"))
+
+
+SLASH = "regexp_replace(" + authority("base") + ", '^www\\.', '') || '/'"
+
+
+@query(f"SELECT base, variant FROM (SELECT DISTINCT base, unnest(['http://' || {SLASH}, 'http://www.' || {SLASH}, 'https://' || {SLASH}, 'https://www.' || {SLASH}]) AS variant FROM (SELECT {origin('url')} || '/' AS base FROM p)) WHERE variant <> base")
+def domain_variants(spark, sf_dir):
+    bases = pages(spark, sf_dir).select(F.concat(U.origin(F.col("url")), F.lit("/")).alias("base")).distinct()
+    return bases.select("base", F.explode(U.variants(F.col("base"))).alias("variant"))
+
+
+@query("SELECT page_id, href, anchor, target FROM l")
+def link_graph(spark, sf_dir):
+    return O.links(pages(spark, sf_dir)).select("page_id", "href", "anchor", "target")
+
+
+@query("SELECT p.page_id, count(l.page_id) AS outlinks, CASE WHEN count(l.page_id) = 0 THEN 'No Outlinks' WHEN count(l.page_id) <= 2 AND any_value(depth) <= 2 THEN 'Few Outlinks' ELSE 'ok' END AS issue FROM p LEFT JOIN l USING (page_id) GROUP BY p.page_id")
+def outlinks(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    n = O.links(rows).groupBy("page_id").agg(F.count("*").alias("outlinks"))
+    return rows.select("page_id", "depth").join(n, "page_id", "left").fillna(0, ["outlinks"]).select("page_id", "outlinks", F.when(F.col("outlinks") == 0, "No Outlinks").when((F.col("outlinks") <= 2) & (F.col("depth") <= 2), "Few Outlinks").otherwise("ok").alias("issue"))
+
+
+@query(f"SELECT {norm('target')} AS norm, count(*) AS inlinks, count(DISTINCT page_id) AS pages FROM l GROUP BY 1")
+def inlinks(spark, sf_dir):
+    return O.links(pages(spark, sf_dir)).groupBy(U.normalize(F.col("target")).alias("norm")).agg(F.count("*").alias("inlinks"), F.count_distinct("page_id").alias("pages"))
+
+
+@query(f"SELECT page_id, url, depth FROM p WHERE depth > 1 AND {path('url')} <> '/' AND NOT EXISTS (SELECT 1 FROM l WHERE {norm('l.target')} = {norm('p.url')} AND {norm('l.url')} <> {norm('p.url')})")
+def orphan_pages(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    linked = O.links(rows).select(U.normalize(F.col("target")).alias("norm"), U.normalize(F.col("url")).alias("own")).where("norm != own").select("norm").distinct()
+    return rows.where((F.col("depth") > 1) & (U.path(F.col("url")) != "/")).select("page_id", "url", "depth", U.normalize(F.col("url")).alias("norm")).join(linked, "norm", "left_anti").drop("norm")
+
+
+@query("SELECT site, count(*) AS anchors, CAST(sum(CASE WHEN lower(anchor) IN ('the', 'of', 'and') THEN 1 ELSE 0 END) AS BIGINT) AS common, round(sum(CASE WHEN lower(anchor) IN ('the', 'of', 'and') THEN 1 ELSE 0 END) / count(*), 9) AS share FROM l WHERE anchor <> '' GROUP BY site")
+def anchor_ratio(spark, sf_dir):
+    common = F.count_if(F.lower("anchor").isin("the", "of", "and"))
+    return O.links(pages(spark, sf_dir)).where("anchor != ''").groupBy("site").agg(F.count("*").alias("anchors"), common.alias("common"), F.round(common / F.count("*"), 9).alias("share"))
+
+
+def statuses(rows: DataFrame) -> DataFrame:
+    return rows.groupBy(U.normalize(F.col("url")).alias("norm")).agg(F.max_by("status", F.struct("depth", "page_id")).alias("target_status"))
+
+
+@query(f"SELECT page_id, target, CASE WHEN target_status IS NULL THEN 'Link Not Crawled' WHEN target_status >= 400 THEN 'Broken Hyperlink' ELSE 'Link Points to Redirect' END AS issue, count(*) AS occurrences FROM l LEFT JOIN s ON s.norm = {norm('l.target')} WHERE regexp_replace({host('l.url')}, '^www\\.', '') = regexp_replace({host('l.target')}, '^www\\.', '') AND (target_status IS NULL OR target_status >= 300) GROUP BY 1, 2, 3")
+def broken_links(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    links = O.links(rows).where(~U.is_external(F.col("url"), F.col("target"))).withColumn("norm", U.normalize(F.col("target"))).join(statuses(rows), "norm", "left").where("target_status is null or target_status >= 300")
+    return links.groupBy("page_id", "target", F.when(F.col("target_status").isNull(), "Link Not Crawled").when(F.col("target_status") >= 400, "Broken Hyperlink").otherwise("Link Points to Redirect").alias("issue")).agg(F.count("*").alias("occurrences"))
+
+
+@query("SELECT r.page_id, r.source, r.target, r.code, s.target_status, CASE WHEN s.target_status >= 500 THEN 0 WHEN s.target_status >= 300 THEN 1 ELSE 2 END AS severity FROM r LEFT JOIN s ON s.norm = r.target")
+def redirect_targets(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    return O.redirects(rows).join(statuses(rows).withColumnRenamed("norm", "target"), "target", "left").select("page_id", "source", "target", "code", "target_status", F.when(F.col("target_status") >= 500, 0).when(F.col("target_status") >= 300, 1).otherwise(2).alias("severity"))
+
+
+@query(", h AS (SELECT source, arg_max(target, {'page_id': page_id}) AS target FROM r GROUP BY source), " + ", ".join(f"c{k} AS (SELECT c.start, CASE WHEN h.target IS NOT NULL AND NOT c.loop THEN list_append(c.path, h.target) ELSE c.path END AS path, CASE WHEN h.target IS NOT NULL AND NOT c.loop AND NOT list_contains(c.path, h.target) THEN h.target END AS at, c.loop OR COALESCE(list_contains(c.path, h.target), false) AS loop FROM {'(SELECT DISTINCT source AS start, [source] AS path, source AS at, false AS loop FROM r)' if k == 1 else f'c{k - 1}'} c LEFT JOIN h ON h.source = c.at)" for k in range(1, 7)) + " SELECT start, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, ' ') AS chain, loop FROM c6")
+def redirect_chain(spark, sf_dir):
+    hops = O.redirects(pages(spark, sf_dir)).groupBy("source").agg(F.max_by("target", "page_id").alias("target"))
+    starts = hops.select(F.col("source").alias("start"), F.lit(1).alias("project_id"))
+    found = graph_rules.chains(starts, hops.withColumn("project_id", F.lit(1)))
+    return found.select("start", (F.size("path") - 1).alias("hops"), F.array_join("path", " ").alias("chain"), "loop")
+
+
+@query("SELECT upper(sha256(text)) AS content_hash, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
+def exact_dup_docs(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
+    return docs.groupBy(X.sha256(F.col("text")).alias("content_hash")).agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc")).where("n > 1")
+
+
+@query("SELECT doc_id, source, seen FROM (SELECT doc_id, source, count(*) OVER (PARTITION BY sha256(text) ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seen FROM documents WHERE text IS NOT NULL) WHERE seen > 1")
+def dup_docs_on_arrival(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null").select("doc_id", "source", F.sha2("text", 256).alias("hash"))
+    return docs.withColumn("seen", F.count("*").over(Window.partitionBy("hash").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).where("seen > 1").drop("hash")
+
+
+@query("SELECT count(*) AS pages, CAST(sum(CASE WHEN status >= 500 THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(100.0 * sum(CASE WHEN status >= 500 THEN 1 ELSE 0 END) / count(*), 6) AS percent, count(*) >= 50 AND sum(CASE WHEN status >= 500 THEN 1 ELSE 0 END) > 0.05 * count(*) AS alarming FROM p")
+def server_error_rate(spark, sf_dir):
+    bad = F.count_if(F.col("status") >= 500)
+    return pages(spark, sf_dir).agg(F.count("*").alias("pages"), bad.alias("errors"), F.round(bad * 100.0 / F.count("*"), 6).alias("percent"), ((F.count("*") >= 50) & (bad > F.count("*") * 0.05)).alias("alarming"))
+
+
+FOUND = "(SELECT page_id AS url_id, 'TitlesMeta' AS task_key, 'Title Too Short' AS issue_text, 1 AS severity FROM f WHERE length(title) < 30 UNION ALL SELECT page_id, 'Inventory', 'Uppercase characters in URL', 1 FROM p WHERE url <> lower(url) UNION ALL SELECT page_id, 'CrawlBudget', 'Server Error (HTTP ' || status || ')', CASE WHEN status = 500 THEN 0 ELSE 1 END FROM p WHERE status >= 400 UNION ALL SELECT page_id, 'Robots', 'Deep page', NULL FROM p WHERE depth = 4)"
+
+
+def found_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A few rules' rows as the report layer holds them."""
+    f = features(spark, sf_dir)
+    rows = lambda when, task, issue, severity: f.where(when).select(F.col("page_id").alias("url_id"), F.lit(task).alias("task_key"), base.text(issue).alias("issue_text"), severity.cast("int").alias("severity"))
+    parts = [rows("length(title) < 30", "TitlesMeta", "Title Too Short", F.lit(1)), rows("url != lower(url)", "Inventory", "Uppercase characters in URL", F.lit(1)), rows("status >= 400", "CrawlBudget", F.format_string("Server Error (HTTP %d)", "status"), F.when(F.col("status") == 500, 0).otherwise(1)), rows("depth = 4", "Robots", "Deep page", F.lit(None))]
+    return graph_rules.union_all(parts).withColumns({"row_id": F.col("url_id"), "row_json": F.to_json(F.struct(F.col("issue_text").alias("Issue"))), "created": F.lit(None).cast("timestamp")})
+
+
+@query(f"SELECT url_id, task_key, issue_text, severity FROM {FOUND} ORDER BY COALESCE(severity, 2147483647), COALESCE(issue_text, ''), url_id LIMIT 100 OFFSET 100")
+def report_page(spark, sf_dir):
+    return report.ReportQuery(found_rows(spark, sf_dir)).page(1, 100).select("url_id", "task_key", "issue_text", "severity")
+
+
+@query(f"SELECT url_id, task_key, issue_text, severity FROM {FOUND} x JOIN pages ON page_id = url_id WHERE severity = 1 AND (contains(issue_text, 'HTTP 4') OR contains(url, 'www.'))")
+def report_search(spark, sf_dir):
+    addresses = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("url_id"), F.col("url").alias("address"))
+    rows = found_rows(spark, sf_dir).select("url_id", "task_key", "issue_text", "severity", "row_json", "row_id", "created")
+    one, two = (report.ReportQuery(rows, addresses).severity(1).search(t).filtered().select("url_id", "task_key", "issue_text", "severity") for t in ("HTTP 4", "www."))
+    return one.unionByName(two).distinct()
+
+
+@query(f"SELECT COALESCE(task_key, 'Total') AS task, count(*) AS rows, CAST(sum(CASE WHEN severity = 0 THEN 1 ELSE 0 END) AS BIGINT) AS errors, CAST(sum(CASE WHEN severity = 1 THEN 1 ELSE 0 END) AS BIGINT) AS warnings, CAST(sum(CASE WHEN severity = 2 THEN 1 ELSE 0 END) AS BIGINT) AS infos FROM {FOUND} GROUP BY ROLLUP (task_key)")
+def report_summary(spark, sf_dir):
+    return report.summary(found_rows(spark, sf_dir))
+
+
+@query("SELECT site, max(CASE WHEN depth = 0 THEN title END) AS d0, max(CASE WHEN depth = 1 THEN title END) AS d1, max(CASE WHEN depth = 2 THEN title END) AS d2 FROM f GROUP BY site")
+def extraction_pivot(spark, sf_dir):
+    wide = features(spark, sf_dir).groupBy("site").pivot("depth", [0, 1, 2]).agg(F.max("title"))
+    return wide.withColumnsRenamed({"0": "d0", "1": "d1", "2": "d2"})
+
+
+@query("SELECT event_type, count(*) AS events, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type")
+def json_values(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", report.get("props", "k", "long"))
+    return events.groupBy("event_type").agg(F.count("*").alias("events"), F.sum("k").alias("total"), F.max("k").alias("most"))
+
+
+@query("SELECT user_id, count(*) AS n, round(max(gap), 3) AS most, round(min(gap), 3) AS least FROM (SELECT user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NOT NULL GROUP BY user_id")
+def politeness_gaps(spark, sf_dir):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
+    gaps = events.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("gap is not null")
+    return gaps.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("gap"), 3).alias("most"), F.round(F.min("gap"), 3).alias("least"))
+
+
+RULES = [("*", "/", True), ("*", "/en/", False), ("bot", "/en/7", True), ("other", "/", False), ("*", "/de", False)]
+
+
+@query("SELECT page_id, COALESCE((SELECT arg_max(allow, length(prefix)) FROM (VALUES " + ", ".join(f"('{a}', '{p}', {str(x).lower()})" for a, p, x in RULES) + f") AS v(agent, prefix, allow) WHERE (agent = '*' OR contains('mybot', agent)) AND starts_with({path('p.url')} || {part('p.url', 4)}, prefix)), true) AS allowed FROM p")
+def robots_allowed(spark, sf_dir):
+    rows = pages(spark, sf_dir)
+    rules = spark.createDataFrame([(a, p, x, i) for i, (a, p, x) in enumerate(RULES)], "agent string, prefix string, allow boolean, at int").crossJoin(rows.select(F.col("site").alias("host")).distinct())
+    return files.allowed(rows.select("page_id", F.col("url").alias("address")), rules, "mybot").select("page_id", "allowed")
+
+
+CLEAN = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style|noscript|svg|iframe)\\b[^>]*>.*?</(script|style|noscript|svg|iframe)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'))"
+
+
+@query(f"SELECT page_id, CAST(length({CLEAN}) AS INTEGER) AS size, CASE WHEN length({CLEAN}) < 900 THEN 'Very short content' WHEN length({CLEAN}) < 1800 THEN 'Limited content length' ELSE 'ok' END AS issue, upper(sha256({CLEAN})) AS content_hash FROM p")
+def content_rules(spark, sf_dir):
+    rows = pages(spark, sf_dir).select("page_id", X.cleaned(F.col("html")).alias("t"))
+    n = F.length("t")
+    return rows.select("page_id", n.alias("size"), F.when(n < 900, "Very short content").when(n < 1800, "Limited content length").otherwise("ok").alias("issue"), X.sha256(F.col("t")).alias("content_hash"))
+
+
+@query("SELECT url AS address, '<url><loc>' || replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') || '</loc><priority>' || CASE depth WHEN 0 THEN '1.0' WHEN 1 THEN '0.8' WHEN 2 THEN '0.6' ELSE '0.4' END || '</priority><changefreq>' || CASE depth WHEN 0 THEN 'daily' WHEN 1 THEN 'weekly' WHEN 2 THEN 'monthly' ELSE 'yearly' END || '</changefreq></url>' AS xml FROM p WHERE status = 200 ORDER BY address")
+def sitemap_lines(spark, sf_dir):
+    ctx = pages(spark, sf_dir).select(F.col("url").alias("address"), "depth", F.col("status").alias("http_status"), F.lit(None).cast("timestamp").alias("last_crawled"), F.lit(True).alias("internal"), F.lit(True).alias("is_indexable"), F.lit(True).alias("has_html"))
+    return report.sitemap_xml(ctx)
+
+
+@query("SELECT x.doc_id AS a, y.doc_id AS b, bit_count(xor(x.h, y.h)) AS distance FROM (SELECT doc_id, (doc_id * 2654435761 % 4294967296) // 4096 * 64 AS h FROM documents) x JOIN (SELECT doc_id, (doc_id * 2654435761 % 4294967296) // 4096 * 64 AS h FROM documents) y ON x.h < y.h AND bit_count(xor(x.h, y.h)) BETWEEN 1 AND 2")
+def near_hash_pairs(spark, sf_dir):
+    """The banded join on synthetic hashes, against all pairs."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.expr("(doc_id * 2654435761 % 4294967296) div 4096 * 64").alias("hash"), F.lit(1).alias("project_id"))
+    pairs = dup_rules.near_pairs(docs)
+    a, b = (docs.select(F.col("doc_id").alias(x), F.col("hash").alias(f"h{x}")) for x in "ab")
+    return pairs.join(a.withColumnRenamed("a", "doc_a"), F.col("a") == F.col("ha")).join(b.withColumnRenamed("b", "doc_b"), F.col("b") == F.col("hb")).select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), F.col("distance").cast("tinyint").alias("distance"))
+
+
+@query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS n FROM conversations) WHERE n <= 5")
+def kept_checkpoints(spark, sf_dir):
+    from siteloom.streaming import frontier
+
+    rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select(F.col("conv_id").alias("project_id"), F.col("turn").alias("created"), F.col("turn").alias("checkpoint_id"), "role")
+    return frontier.kept_checkpoints(rows).select(F.col("project_id").alias("conv_id"), F.col("created").alias("turn"), "role")
+
+
+def _task(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A task's own report over the pages as a crawl."""
+    found = registry.default().run(O.crawl(spark, sf_dir), [key])
+    return base.shaped(found, key)
+
+
+QUERIES |= {f"task_{k.lower()}": partial(_task, k) for k in PRIORITY}
+
+
+def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every task's findings as stored report rows, the clock left out."""
+    return report.stored(registry.default().run(O.crawl(spark, sf_dir)), F.lit(None).cast("timestamp"))
+
+
+def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the parser finds on each page, nested columns counted."""
+    ctx = base.pages(O.crawl(spark, sf_dir))
+    counted: list[Column] = [F.size(c).alias(f"n_{c}") for c in ("metas", "headings", "anchors", "images", "scripts", "stylesheets", "jsonld")]
+    return ctx.select("url_id", "title", "html_lang", "body_length", "main_length", *counted)
+
+
+QUERIES |= {"all_findings": all_findings, "page_features": page_features}
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
