@@ -10,6 +10,8 @@ are followed by pointer doubling, in as many rounds as the logarithm of the long
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -62,22 +64,44 @@ def roots(parsed: DataFrame, replies: DataFrame) -> DataFrame:
 
 
 def ordered(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Depth-first order of one conversation."""
-    pdf = pdf.sort_values(["position", "message_id"], kind="stable")
-    children: dict[int, list[int]] = {}
-    for row, parent in zip(range(len(pdf)), pdf.parent_id, strict=True):
-        children.setdefault(-1 if pd.isna(parent) else int(parent), []).append(row)
-    ids = pdf.message_id.tolist()
-    stack, out = [(row, 0) for row in reversed(children.get(-1, []))], []
-    while stack:
-        row, depth = stack.pop()
-        out.append((row, depth))
-        stack += [(r, depth + 1) for r in reversed(children.get(ids[row], []))]
-    done = pdf.iloc[[row for row, _ in out]].copy()
-    done["depth"], done["turn"] = [d for _, d in out], range(len(out))
+    """Depth-first order of whole conversations, rows of each together and by position."""
+    root, ids, parent = pdf.root_id.tolist(), pdf.message_id.tolist(), pdf.parent_id.tolist()
+    row_of, children, out = {x: i for i, x in enumerate(ids)}, [[] for _ in ids], []
+    for i, p in enumerate(parent):
+        if p == p and p is not None:
+            children[row_of[int(p)]].append(i)
+    for first, p in enumerate(parent):
+        stack, turn = [(first, 0)] if p != p or p is None else [], 0
+        while stack:
+            row, depth = stack.pop()
+            out.append((row, turn, depth))
+            turn += 1
+            stack += [(r, depth + 1) for r in reversed(children[row])]
+    assert len(out) == len(root)
+    rows, turns, depths = (list(x) for x in zip(*out, strict=True))
+    done = pdf.iloc[rows].copy()
+    done["turn"], done["depth"] = turns, depths
     return done[["root_id", "turn", "message_id", "parent_id", "depth", "role", "own", "n_quoted", "n_linked"]]
 
 
+def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Batches sorted by conversation; the last conversation of a batch waits for the next."""
+    held: list[pd.DataFrame] = []
+    for batch in batches:
+        if not len(batch):
+            continue
+        held.append(batch)
+        if batch.root_id.iloc[0] == batch.root_id.iloc[-1] == held[0].root_id.iloc[0]:
+            continue
+        rows = pd.concat(held, ignore_index=True)
+        going = rows.root_id == rows.root_id.iloc[-1]
+        held = [rows[going]]
+        if not going.all():
+            yield ordered(rows[~going])
+    if held:
+        yield ordered(pd.concat(held, ignore_index=True))
+
+
 def conversations(messages: DataFrame) -> DataFrame:
     """(conversation_id, turn, message_id, parent_id, depth, role, text, n_quoted, n_linked) of messages (message_id, position, role, text).
 
@@ -92,7 +116,8 @@ def conversations(messages: DataFrame) -> DataFrame:
     counts = found.groupBy("message_id").agg(F.count("*").alias("n_linked"))
     quoted = F.size(F.filter("hashed", lambda x: x["level"] > 0)).cast("long")
     rows = parsed.select("message_id", "position", "role", "own", quoted.alias("n_quoted")).join(tree, "message_id").join(counts, "message_id", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0)).cast("long"))
-    out = rows.groupBy("root_id").applyInPandas(ordered, "root_id long, turn int, message_id long, parent_id long, depth int, role string, own string, n_quoted long, n_linked long")
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = rows.repartition(parts, "root_id").sortWithinPartitions("root_id", "position", "message_id").mapInPandas(in_order, "root_id long, turn int, message_id long, parent_id long, depth int, role string, own string, n_quoted long, n_linked long")
     return out.withColumnsRenamed({"root_id": "conversation_id", "own": "text"})
 
 
