@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -132,3 +133,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def in_one_task(rows: DataFrame, fn: Callable[[pa.Table], object]) -> object:
+    """``fn`` of a bounded sample, run by an executor: only what it returns reaches the driver, whose memory stays small whatever the sample's texts weigh."""
+    kind = rows.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [b for b in batches if b.num_rows]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fn(pa.Table.from_batches(found)))], pa.binary())], ["result"])
+
+    result = rows.repartition(1).mapInArrow(run, "result binary").first()
+    if result is None:
+        return fn(pa.Table.from_pylist([], pa.schema([(f.name, pa.int64() if f.name in ("doc_id", "y") else pa.string()) for f in kind])))
+    return pickle.loads(result[0])

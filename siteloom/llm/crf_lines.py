@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import bytes_of, ragged_index
-from siteloom.llm.common import labelled_sample, map_slices, row_of, segment_sums, words
+from siteloom.llm.common import in_one_task, labelled_sample, map_slices, row_of, segment_sums, words
 from siteloom.llm.stats import class_counts, distinct
 
 #: Labelled documents of each class at most, lines of a training chain (longer documents give several chains), steps and rate of the ascent.
@@ -167,10 +167,15 @@ def fit_sample(texts: pa.Array, y: np.ndarray) -> Model | None:
     return train(features(flat, first), np.append(starts, len(flat)), y[row])
 
 
+def _fit(rows: pa.Table) -> Model | None:
+    rows = rows.sort_by([("y", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    return fit_sample(rows["text"].combine_chunks(), rows["y"].to_numpy())
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """On labelled documents with a text; repeated texts count once."""
-    rows = labelled_sample(docs.select("doc_id", "text"), labels, "quality", per_class).where("text is not null").dropDuplicates(["text"]).toPandas().sort_values(["y", "doc_id"], kind="stable")
-    return fit_sample(pa.array(rows.text, pa.string()), rows.y.to_numpy())
+    sample = labelled_sample(docs.select("doc_id", "text"), labels, "quality", per_class).where("text is not null")
+    return in_one_task(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").cast("long").alias("y")), _fit)
 
 
 def label(docs: DataFrame, model: Model | None) -> DataFrame:

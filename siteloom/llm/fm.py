@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import bytes_of
-from siteloom.llm.common import hashes, labelled_sample, map_slices, mixed, row_of, segment_sums, words
+from siteloom.llm.common import hashes, in_one_task, labelled_sample, map_slices, mixed, row_of, segment_sums, words
 from siteloom.llm.stats import class_counts, distinct
 
 #: Labelled documents of each class at most; one in five is held out for the threshold.
@@ -115,10 +115,15 @@ def fit_sample(texts: pa.Array, sources: pa.Array, languages: pa.Array, y: np.nd
     return model
 
 
+def _fit(rows: pa.Table) -> Model | None:
+    rows = rows.sort_by([("y", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+    return fit_sample(*(rows[c].combine_chunks() for c in ("text", "source", "lang")), rows["y"].to_numpy())
+
+
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model | None:
     """On labelled documents with a text; repeated texts count once."""
-    rows = labelled_sample(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")), labels, "quality", per_class).where("text is not null").dropDuplicates(["text"]).toPandas().sort_values(["y", "doc_id"], kind="stable")
-    return fit_sample(*(pa.array(rows[c], pa.string(), from_pandas=True) for c in ("text", "source", "lang")), rows.y.to_numpy())
+    sample = labelled_sample(docs.select("doc_id", "text", F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang")), labels, "quality", per_class).where("text is not null")
+    return in_one_task(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").cast("long").alias("y"), F.min("source").alias("source"), F.min("lang").alias("lang")), _fit)
 
 
 def score(docs: DataFrame, model: Model | None) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import filter_slices, map_slices
+from siteloom.llm.common import filter_slices, in_one_task, map_slices
 
 #: Labelled documents of each language at most, n-grams in a profile, and what share of the greatest possible distance a language may have.
 PER_LANGUAGE, RANKS, MOST = 400, 300, 0.92
@@ -120,10 +120,14 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
     if not names:
         return Profiles.of({})
     chosen = functools.reduce(DataFrame.unionByName, [rows.where(F.col("lang") == x).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_language) for x in names])
-    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen.distinct()), "doc_id").where("text is not null").select("lang", "text").toArrow()
+    sample = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).alias("text")).join(F.broadcast(chosen.distinct()), "doc_id").where("text is not null").select("lang", "text")
+    return in_one_task(sample, _fit)
+
+
+def _fit(rows: pa.Table) -> Profiles:
     found = {}
-    for x in names:
-        own = grams(sample.filter(pc.equal(sample["lang"], x))["text"].combine_chunks())
+    for x in sorted(set(rows["lang"].to_pylist())):
+        own = grams(rows.filter(pc.equal(rows["lang"], x))["text"].combine_chunks())
         if own and len(codes := np.sort(np.concatenate(own))):
             found[x] = ranked(codes)
     return Profiles.of(found)

@@ -13,7 +13,7 @@ that is broadcast is bounded by the sample.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import ragged_index
-from siteloom.llm.common import filter_slices, labelled_sample, map_slices, row_of, segment_sums, slices, words
+from siteloom.llm.common import checkpoint, filter_slices, in_one_task, labelled_sample, map_slices, row_of, segment_sums, slices, words
 
 #: Labelled documents of each class at most; one in five is held out for the threshold.
 PER_CLASS = 3000
@@ -33,6 +33,8 @@ BITS, LETTERS, STARTS = 9, 440, 68
 OTHER, END, START = LETTERS + 1, LETTERS + 2, LETTERS + 3
 #: Codes that a task holds before it passes on the distinct ones.
 HELD = 1 << 21
+#: Words spelt at once while fitting.
+CHUNK = 1 << 15
 
 
 def masked(codes: np.ndarray, symbols: int) -> np.ndarray:
@@ -188,22 +190,36 @@ def backoff(codes: np.ndarray, known: list[np.ndarray], counts: list[np.ndarray]
     return p
 
 
-def build(vocabulary: pa.Array, start: np.ndarray, times: list[np.ndarray], spelling: Spelling, count_all) -> Model:
-    """times: how often each (word, start) occurs in toxic and in ordinary documents; count_all: known n-grams -> continuation counts."""
-    offsets, code = spelling.codes(vocabulary, start)
-    word = row_of(offsets)
-    # every word counts under its language's start and, where symbols follow its start alone, under the start of any language as well
-    anywhere = spelling_any(code)
-    with_start = code != anywhere
-    keys = np.concatenate([code, anywhere[with_start]])
-    word = np.concatenate([word, word[with_start]])
-    codes, where = np.unique(keys, return_inverse=True)
-    known = [shorter(codes, k + 1) for k in range(ORDER - 1)]
+def gathered(vocabulary: pa.Array, start: np.ndarray, times: list[np.ndarray], spelling: Spelling) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The sample's n-grams by code, and how often each class has them; times: how often each (word, start) occurs in toxic and in ordinary documents."""
+    parts = []
+    for at in range(0, len(vocabulary), CHUNK):
+        offsets, code = spelling.codes(vocabulary.slice(at, CHUNK), start[at : at + CHUNK])
+        word = row_of(offsets) + at
+        # every n-gram with the start of a language counts under that of any language as well
+        anywhere = spelling_any(code)
+        with_start = code != anywhere
+        keys, where = np.unique(np.concatenate([code, anywhere[with_start]]), return_inverse=True)
+        word = np.concatenate([word, word[with_start]])
+        parts.append((keys, *(np.bincount(where, own[word], len(keys)) for own in times)))
+    codes, where = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+    counts = [np.bincount(where, np.concatenate([p[k] for p in parts]), len(codes)) for k in (1, 2)]
+    return codes, counts
+
+
+def known_grams(codes: np.ndarray) -> list[np.ndarray]:
+    """The n-grams that the shared model counts, of 1 .. ORDER - 1 symbols."""
+    return [shorter(codes, k + 1) for k in range(ORDER - 1)]
+
+
+def build(vocabulary: pa.Array, start: np.ndarray, times: list[np.ndarray], spelling: Spelling, count_all: Callable[[list[np.ndarray]], list[np.ndarray]]) -> Model:
+    """count_all: known n-grams -> continuation counts."""
+    codes, counts = gathered(vocabulary, start, times, spelling)
+    known = known_grams(codes)
     shared = backoff(codes, known, count_all(known))
     contexts, context = np.unique(codes >> BITS, return_inverse=True)
     logs, weights = [], []
-    for own in times:
-        count = np.bincount(where, own[word], len(codes))
+    for count in counts:
         total = np.bincount(context, count, len(contexts))
         lost = np.bincount(context, np.minimum(count, DISCOUNT), len(contexts))
         weight = np.where(total > 0, lost / np.maximum(total, 1e-300), 1.0)
@@ -232,26 +248,56 @@ def threshold(score: np.ndarray, y: np.ndarray) -> float:
     return float((s[k] + s[k + 1]) / 2) if k + 1 < len(s) else float(s[k]) - 1e-9
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", per_class: int = PER_CLASS) -> Model | None:
-    """The model, or None where a class has no labelled document with a word. Repeated texts count once."""
-    rows = labelled_sample(docs.select("doc_id", F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), labels, "toxic", per_class).where("text is not null").dropDuplicates(["text"]).toPandas()
-    return fit_sample(rows.sort_values(["y", "doc_id"], kind="stable"), lambda spelling: lambda known: continuations(docs, spelling, known, text))
+@dataclass
+class Sample:
+    """A labelled sample by words: held marks the documents for the threshold."""
 
+    texts: pa.Array
+    y: np.ndarray
+    languages: list[str | None]
+    held: np.ndarray
+    spelling: Spelling
+    vocabulary: pa.Array
+    start: np.ndarray
+    times: list[np.ndarray]
+
+    @staticmethod
+    def of(rows: pa.Table) -> Sample | None:
+        """None where a class has no document with a word. The order of rows does not matter."""
+        rows = rows.sort_by([("y", "ascending"), ("doc_id", "ascending"), ("text", "ascending")])
+        texts, y, languages = rows["text"].combine_chunks(), rows["y"].to_numpy(), rows["lang"].to_pylist()
+        held = np.arange(len(y)) % 5 == 4
+        offsets, ids, vocabulary = words(texts)
+        row = row_of(offsets)
+        if any(not ((y[row] == c) & ~held[row]).any() for c in (0, 1)):
+            return None
+        spelling = Spelling.of(texts.filter(pa.array(~held)), languages)
+        pairs, where = np.unique(ids * STARTS + spelling.starts(languages)[row], return_inverse=True)
+        times = [np.bincount(where[(y[row] == c) & ~held[row]], minlength=len(pairs)).astype(float) for c in (1, 0)]
+        return Sample(texts, y, languages, held, spelling, vocabulary.take(pa.array(pairs // STARTS)), pairs % STARTS, times)
 
-def fit_sample(rows, counter) -> Model | None:
-    texts, y, languages = pa.array(rows.text.tolist(), pa.string()), rows.y.to_numpy(), [x if isinstance(x, str) else None for x in rows.lang]
-    held = np.arange(len(y)) % 5 == 4
-    offsets, ids, vocabulary = words(texts)
-    row = row_of(offsets)
-    if any(not ((y[row] == c) & ~held[row]).any() for c in (0, 1)):
+    def model(self, counts: list[np.ndarray]) -> Model:
+        model = build(self.vocabulary, self.start, self.times, self.spelling, lambda known: counts)
+        probe = np.flatnonzero(self.held if all((self.y[self.held] == c).any() for c in (0, 1)) else ~self.held)
+        scores = [model.score(self.texts.take(pa.array(own)), [self.languages[i] for i in own]) for own in np.array_split(probe, len(probe) // 256 + 1)]
+        model.threshold = threshold(np.concatenate(scores), self.y[probe])
+        return model
+
+
+def _known(rows: pa.Table) -> tuple[Spelling, list[np.ndarray]] | None:
+    own = Sample.of(rows)
+    return own and (own.spelling, known_grams(gathered(own.vocabulary, own.start, own.times, own.spelling)[0]))
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", lang: str = "lang", per_class: int = PER_CLASS) -> Model | None:
+    """The model, or None where a class has no labelled document with a word. Repeated texts count once."""
+    sample = labelled_sample(docs.select("doc_id", F.col(text).alias("text"), F.col(lang).cast("string").alias("lang")), labels, "toxic", per_class).where("text is not null")
+    sample = checkpoint(sample.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").cast("long").alias("y"), F.min("lang").alias("lang")))
+    found = in_one_task(sample, _known)
+    if found is None:
         return None
-    spelling = Spelling.of(texts.filter(pa.array(~held)), languages)
-    pairs, where = np.unique(ids * STARTS + spelling.starts(languages)[row], return_inverse=True)
-    times = [np.bincount(where[(y[row] == c) & ~held[row]], minlength=len(pairs)).astype(float) for c in (1, 0)]
-    model = build(vocabulary.take(pa.array(pairs // STARTS)), pairs % STARTS, times, spelling, counter(spelling))
-    probe = held if all((y[held] == c).any() for c in (0, 1)) else ~held
-    model.threshold = threshold(model.score(texts, languages)[probe], y[probe])
-    return model
+    counts = docs.sparkSession.sparkContext.broadcast(continuations(docs, *found, text))
+    return in_one_task(sample, lambda rows: Sample.of(rows).model(counts.value))
 
 
 def flagged(scores: np.ndarray, model: Model | None) -> np.ndarray:
