@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import pickle
 import tempfile
 from collections.abc import Callable, Iterator
@@ -32,6 +33,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def tidy() -> None:
+    """Give freed memory back to the system: workers live on between stages, and what they keep counts against their executor."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Zero-copy runs of rows whose ``column`` holds at most ``limit`` bytes; a longer row is a run of its own."""
     if not batch.num_rows:
@@ -53,6 +61,7 @@ def map_slices(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
             for part in slices(batch, text, limit):
                 if (out := fn(part)) is not None:
                     yield out
+            tidy()
 
     return df.select(*columns).mapInArrow(run, schema)
 
@@ -64,6 +73,7 @@ def filter_slices(df: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray], t
         for batch in batches:
             for part in slices(batch, text):
                 yield part.filter(pa.array(mask(part)))
+            tidy()
 
     return df.mapInArrow(run, df.schema)
 
@@ -142,7 +152,10 @@ def in_one_task(rows: DataFrame, fn: Callable[[pa.Table], object]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]
         if found:
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fn(pa.Table.from_batches(found)))], pa.binary())], ["result"])
+            result = pickle.dumps(fn(pa.Table.from_batches(found)))
+            found.clear()
+            tidy()
+            yield pa.RecordBatch.from_arrays([pa.array([result], pa.binary())], ["result"])
 
     result = rows.repartition(1).mapInArrow(run, "result binary").first()
     if result is None:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import ragged_index
-from siteloom.llm.common import checkpoint, filter_slices, in_one_task, labelled_sample, map_slices, row_of, segment_sums, slices, words
+from siteloom.llm.common import checkpoint, filter_slices, in_one_task, labelled_sample, map_slices, row_of, segment_sums, slices, tidy, words
 
 #: Labelled documents of each class at most; one in five is held out for the threshold.
 PER_CLASS = 3000
@@ -150,6 +150,7 @@ def continuations(docs: DataFrame, spelling: Spelling, known: list[np.ndarray],
                     if n > HELD // 2:
                         yield pa.RecordBatch.from_arrays([pa.array(held.pop())], ["code"])
                         n = 0
+            tidy()
         if held:
             yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(held)))], ["code"])
 
