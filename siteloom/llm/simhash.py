@@ -30,6 +30,8 @@ BANDS, BITS, RADIUS, MOST = 7, 28, 2, 40
 LETTERS = 4
 #: Members of a bucket up to which all pairs are emitted.
 PAIRWISE = 24
+#: Ids that are broadcast at most, of 8 bytes each.
+BROADCAST = 500_000
 COLUMNS = [f"b{i}" for i in range(BANDS)]
 LANES = -(-BANDS * BITS // 8)
 
@@ -209,8 +211,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows without id, text or word stay. Of rows that share a doc_id, one stays: such ids are found on the id column alone, and only their rows are shuffled whole.
     """
-    gone = near_duplicates(docs).select("doc_id").distinct()
-    repeated = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
-    left = docs.join(gone, "doc_id", "left_anti")
-    again = left.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return left.join(repeated, "doc_id", "left_anti").unionByName(again).select(*docs.columns)
+    gone = checkpoint(near_duplicates(docs).select("doc_id").distinct())
+    repeated = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
+    left = chosen(docs, gone, "left_anti")
+    if repeated.isEmpty():
+        return left.select(*docs.columns)
+    again = chosen(left, repeated, "left_semi").dropDuplicates(["doc_id"])
+    return chosen(left, repeated, "left_anti").unionByName(again).select(*docs.columns)
+
+
+def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``docs`` with or without the ids, which are broadcast up to BROADCAST of them, so that no text moves; beyond that a shuffle join."""
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", how)
