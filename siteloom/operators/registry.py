@@ -34,9 +34,7 @@ class Registry:
     def run(self, crawl: Crawl, only: list[str] | None = None, completed_only: bool = False) -> DataFrame:
         """The findings of all tasks as one DataFrame. Building a task's plan may fail; it is logged and left out."""
         chosen = [(k, t) for k, t in self.ordered() if only is None or k in only]
-        ctx = base.pages(crawl, completed_only)
-        if len(chosen) > 1:  # pages are parsed once for all tasks
-            ctx = checkpoint(ctx)
+        ctx = checkpoint(base.pages(crawl, completed_only))  # pages are parsed once, however often tasks read them
         parts = []
         for key, task in chosen:
             try:

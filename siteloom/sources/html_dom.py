@@ -12,9 +12,14 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin, urlsplit
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
+#: Bytes for each core below which a table of pages is spread before it is parsed.
+SPREAD = 32 << 20
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset(("script", "style", "noscript", "svg", "iframe"))
 FURNITURE = frozenset(("header", "footer", "nav", "aside", "sidebar"))
@@ -196,17 +201,26 @@ def parse(url: str, html: str) -> dict:
     return page.done()
 
 
+def estimated_bytes(df: DataFrame) -> int:
+    """What the optimizer takes a plan's size for; a plan without statistics counts as very large."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
 def features(urls: DataFrame, page_html: DataFrame) -> DataFrame:
-    """One row (SCHEMA) for each page with markup."""
+    """One row (SCHEMA) for each page with markup. A small table is spread over all cores first, a large one is split by its scan already and its markup never shuffled."""
+    struct = T.StructType.fromDDL(re.sub(r"\s+", " ", SCHEMA))
+    kinds = to_arrow_schema(struct)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, len(batch), 200):
-                part = batch.iloc[at : at + 200]
-                yield pd.DataFrame([parse(u, h) | {"url_id": i} for i, u, h in zip(part.url_id, part.address, part.html, strict=True)], columns=NAMES)
-
-    pages = page_html.where("html is not null and trim(html) != ''")
-    return urls.select("url_id", "address").join(pages, "url_id").select("url_id", "address", "html").mapInPandas(run, re.sub(r"\s+", " ", SCHEMA))
+            for at in range(0, batch.num_rows, 200):
+                rows = batch.slice(at, 200).to_pylist()
+                yield from pa.Table.from_pylist([parse(r["address"], r["html"]) | {"url_id": r["url_id"]} for r in rows], kinds).combine_chunks().to_batches()
+
+    pages, cores = page_html.where("html is not null and trim(html) != ''"), page_html.sparkSession.sparkContext.defaultParallelism
+    if estimated_bytes(page_html) < cores * SPREAD:
+        pages = pages.repartition(cores, "url_id")
+    return urls.select("url_id", "address").join(pages, "url_id").select("url_id", "address", "html").mapInArrow(run, struct)
 
 
 def host_of(url: str) -> str:
