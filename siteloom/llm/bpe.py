@@ -32,7 +32,7 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: Widths of the matrices; a piece of more bytes than the last is merged alone with a heap, in O(n log n).
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 26, 34, 48, 80, 160, 400)
 #: Bytes of text merged at once.
-SLICE = 6 << 20
+SLICE = 3 << 20
 NONE = np.int32(2**31 - 1)
 
 
