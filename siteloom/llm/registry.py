@@ -64,8 +64,8 @@ def op4_rans_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conversations rebuilt from mail that quotes its predecessors, written from all turns."""
-    return quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")))
+    """Conversations rebuilt from mail that quotes its predecessors, written from all turns; -1 is the parent of a first message."""
+    return quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations"))).fillna(-1, ["parent_id"])
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,5 +100,24 @@ def queries() -> dict:
     return {f.__name__: f for f in (op1_tiff_pages, op2_crf_line_labels, op3_simhash_near_dedup, op4_rans_token_blocks, op5_quote_linking, op6_byte_bpe, op7_fm_quality, op8_language_id, op9_raked_mixture, op10_toxicity)}
 
 
+#: The mail of op5 need not be written out in SQL: a message's lines are its turn's own at level 0 and its predecessors' at levels 1 to 3. It holds where no turn quotes by itself.
+QUOTES_SQL = r"""
+WITH RECURSIVE turns AS (SELECT conv_id * 100000 + turn AS id, role, text, lag(text, 1) OVER w AS p1, lag(text, 2) OVER w AS p2, lag(text, 3) OVER w AS p3 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+parts AS (SELECT id, 0 AS level, text AS part FROM turns UNION ALL SELECT id, 1, p1 FROM turns UNION ALL SELECT id, 2, p2 FROM turns UNION ALL SELECT id, 3, p3 FROM turns),
+split AS (SELECT id, level, string_split_regex(part, '\r\n|\n|\r') AS lines FROM parts WHERE part IS NOT NULL),
+numbered AS (SELECT id, level, unnest(lines) AS line, unnest(range(len(lines))) AS spot FROM split),
+lines AS (SELECT * FROM (SELECT id, level, spot, trim(regexp_replace(lower(line), '[^\p{L}\p{N}]+', ' ', 'g')) AS norm FROM numbered) WHERE length(norm) >= 8),
+owners AS (SELECT *, last_value(CASE WHEN level = 0 THEN id END IGNORE NULLS) OVER (PARTITION BY norm ORDER BY id, level = 0, level, spot ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS original FROM lines),
+found AS (SELECT * FROM owners WHERE level > 0 AND original IS NOT NULL AND original <> id),
+votes AS (SELECT id, original, count(*) AS n FROM found WHERE level = 1 GROUP BY id, original),
+parents AS (SELECT id, arg_max(original, {'n': n, 'original': original}) AS parent_id FROM votes GROUP BY id),
+tree AS (SELECT t.id, p.parent_id FROM turns t LEFT JOIN parents p USING (id)),
+walk AS (SELECT id, id AS root, [id] AS path FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, w.root, list_append(w.path, t.id) FROM tree t JOIN walk w ON t.parent_id = w.id)
+SELECT w.root AS conversation_id, CAST(row_number() OVER (PARTITION BY w.root ORDER BY w.path) - 1 AS INTEGER) AS turn, w.id AS message_id, COALESCE(tree.parent_id, -1) AS parent_id, CAST(len(w.path) - 1 AS INTEGER) AS depth, t.role, trim(regexp_replace(t.text, '\r\n|\r', chr(10), 'g'), ' ' || chr(9) || chr(10)) AS text,
+(SELECT count(*) FROM lines l WHERE l.id = w.id AND l.level > 0) AS n_quoted, (SELECT count(*) FROM found f WHERE f.id = w.id) AS n_linked
+FROM walk w JOIN tree USING (id) JOIN turns t USING (id)
+"""
+
+
 def oracle_sql() -> dict:
-    return {}
+    return {"op5_quote_linking": QUOTES_SQL}
