@@ -2,7 +2,8 @@
 
 A line that starts with ``>`` marks is quoted, one level deep for each mark. Quoted and own lines are normalised (lower case, letters and digits, single spaces)
 and hashed. A quoted line belongs to the last message before that has the same line as its own; a message replies to the one that most of its level-1 lines
-belong to (the later of equals). Replies form trees, whose roots name conversations; replies are read depth first, siblings by position.
+belong to (the later of equals). A short line says too little to vote among those; a reply none of whose level-1 lines votes is linked by its whole quotation, by deeper levels, or by its short
+lines (``passages``). Replies form trees, whose roots name conversations; replies are read depth first, siblings by position.
 
 Scale: lines meet in one window over their hash, ordered by position, so a line that thousands of messages share costs its rows and not their pairs. Chains of replies
 are followed by pointer doubling, in as many rounds as the logarithm of the longest chain.
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import checkpoint
 
-#: Characters of a normalised line at least; a shorter one links nothing.
+#: Characters of a normalised line that links by itself at least; shorter ones link as parts of a passage, or where nothing else does.
 LEAST = 8
 _MARKS = r"^((?:[ \t]*>)*)"
 
@@ -28,18 +29,22 @@ def normalised(line: Column) -> Column:
 
 
 def parse(messages: DataFrame) -> DataFrame:
-    """(message_id, position, role, own, quoted): own text without quoted lines, and quoted lines as (level, hash, line number)."""
+    """(message_id, position, role, own, quoted): own text without quoted lines, and all lines with a letter or digit as (level, hash, hash2, line number, whether long enough to link by itself)."""
     lines = F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), "\r\n|\n|\r")
     split = F.transform(lines, lambda line, i: F.struct(i.alias("at"), F.length(F.regexp_replace(F.regexp_extract(line, _MARKS, 1), r"[ \t]", "")).alias("level"), F.regexp_replace(line, _MARKS + "[ \t]?", "").alias("body"), line.alias("line")))
     rows = messages.select(F.col("message_id").cast("long").alias("message_id"), F.col("position").cast("long").alias("position"), F.col("role").cast("string").alias("role"), split.alias("lines"))
     own = F.filter("lines", lambda x: x["level"] == 0)
-    hashed = F.filter(F.transform("lines", lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("norm"), x["at"].alias("at"))), lambda x: F.length(x["norm"]) >= LEAST)
-    return rows.select("message_id", "position", "role", F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(" \t\n")).alias("own"), F.transform(hashed, lambda x: F.struct(x["level"], F.xxhash64(x["norm"]).alias("hash"), F.xxhash64(x["norm"], F.lit(1)).alias("hash2"), x["at"])).alias("hashed"))
+    hashed = F.filter(F.transform("lines", lambda x: F.struct(x["level"].alias("level"), normalised(x["body"]).alias("norm"), x["at"].alias("at"))), lambda x: F.length(x["norm"]) > 0)
+    return rows.select("message_id", "position", "role", F.trim(F.array_join(F.transform(own, lambda x: x["line"]), "\n"), F.lit(" \t\n")).alias("own"), F.transform(hashed, lambda x: F.struct(x["level"], F.xxhash64(x["norm"]).alias("hash"), F.xxhash64(x["norm"], F.lit(1)).alias("hash2"), x["at"], (F.length(x["norm"]) >= LEAST).alias("long"))).alias("hashed"))
 
 
 def links(parsed: DataFrame) -> DataFrame:
-    """(message_id, level, at, original_id, original_position) of each quoted line that an earlier message has as its own."""
-    lines = parsed.select("message_id", "position", F.explode("hashed").alias("x")).select("message_id", "position", "x.*")
+    """(message_id, level, at, original_id, original_position) of each long quoted line that an earlier message has as its own."""
+    return originals(parsed.select("message_id", "position", F.explode(F.filter("hashed", lambda x: x["long"])).alias("x")).select("message_id", "position", "x.*"))
+
+
+def originals(lines: DataFrame) -> DataFrame:
+    """Links of lines or passages (message_id, position, level, hash, hash2, at): the last message before that has the same at level 0."""
     before = Window.partitionBy("hash", "hash2").orderBy("position", "message_id", F.col("level") == 0, "at").rowsBetween(Window.unboundedPreceding, -1)
     original = F.last(F.when(F.col("level") == 0, F.struct("message_id", "position")), ignorenulls=True).over(before)
     return lines.withColumn("original", original).where("level > 0 and original is not null and original.message_id != message_id").select("message_id", "level", "at", F.col("original.message_id").alias("original_id"), F.col("original.position").alias("original_position"))
@@ -51,6 +56,34 @@ def parents(found: DataFrame) -> DataFrame:
     return votes.groupBy("message_id").agg(F.max_by("original_id", F.struct("n", "original_position", "original_id")).alias("parent_id"))
 
 
+def passages(parsed: DataFrame, found: DataFrame, replies: DataFrame) -> DataFrame:
+    """(message_id, parent_id) of quoting messages that no level-1 line links.
+
+    The parent is the last message before whose text is the whole quotation, one mark less on each line: quotations may end at any level, so a text counts up to each of its levels. An empty turn is
+    found so by what it quotes, and one of many equal short turns by its context. Where no text matches, the nearest deeper level that links decides by its lines, then short level-1 lines do.
+    """
+    lost = checkpoint(parsed.where(F.exists("hashed", lambda x: x["level"] > 0)).select("message_id").join(replies, "message_id", "left_anti"))
+    if lost.isEmpty():
+        return replies.limit(0)
+
+    def key(lines: Column) -> list[Column]:
+        return [F.xxhash64(lines).alias("hash"), F.xxhash64(lines, F.lit(1)).alias("hash2")]
+
+    def upto(level: Column) -> Column:
+        return F.transform(F.filter("hashed", lambda x: x["level"] <= level), lambda x: F.struct(x["level"].alias("level"), x["hash"], x["hash2"]))
+
+    outer = F.transform(F.filter("hashed", lambda x: x["level"] > 0), lambda x: F.struct((x["level"] - 1).alias("level"), x["hash"], x["hash2"]))
+    texts = parsed.select("message_id", "position", F.explode(F.array_distinct(F.transform("hashed", lambda x: x["level"]))).alias("to"), "hashed").select("message_id", "position", F.lit(0).alias("level"), *key(upto(F.col("to"))), F.lit(0).alias("at"))
+    quoters = parsed.join(lost, "message_id", "left_semi")
+    whole = originals(texts.unionByName(quoters.select("message_id", "position", F.lit(1).alias("level"), *key(outer), F.lit(0).alias("at")))).select("message_id", F.col("original_id").alias("whole"))
+    deep = found.where("level > 1").join(lost, "message_id", "left_semi").groupBy("message_id", "level", "original_id", "original_position").agg(F.count("*").alias("n"))
+    deep = deep.groupBy("message_id").agg(F.max_by("original_id", F.struct(-F.col("level"), "n", "original_position", "original_id")).alias("deep"))
+    short = [df.select("message_id", "position", F.explode(F.filter("hashed", lambda x, k=k: ~x["long"] & (x["level"] == k))).alias("x")).select("message_id", "position", "x.*") for k, df in enumerate((parsed, quoters))]
+    lines = parents(originals(short[0].unionByName(short[1]))).withColumnRenamed("parent_id", "line")
+    every = lost.join(whole, "message_id", "left").join(deep, "message_id", "left").join(lines, "message_id", "left")
+    return every.select("message_id", F.coalesce("whole", "deep", "line").alias("parent_id")).where("parent_id is not null")
+
+
 def roots(parsed: DataFrame, replies: DataFrame) -> DataFrame:
     """(message_id, root_id, parent_id): chains followed by pointer doubling; a parent is always earlier, so that chains end."""
     state = checkpoint(parsed.select("message_id").distinct().join(replies, "message_id", "left").select("message_id", F.coalesce("parent_id", "message_id").alias("root_id"), "parent_id"))
@@ -105,16 +138,17 @@ def in_order(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def conversations(messages: DataFrame) -> DataFrame:
     """(conversation_id, turn, message_id, parent_id, depth, role, text, n_quoted, n_linked) of messages (message_id, position, role, text).
 
-    text is the message's own part; n_quoted counts its quoted lines that are long enough to link, n_linked those that belong to an earlier message. A null text is empty; a message
+    text is the message's own part; n_quoted counts its quoted lines that are long enough to link by themselves (LEAST), n_linked those that belong to an earlier message. A null text is empty; a message
     without links starts a conversation. Rows that share a message_id are one message, its earliest position and then the least text; a message without id is left out, a null
     position comes first. A line quoted before it was written links nothing. A conversation is held by one task while it is ordered. An empty table gives no rows; other columns are not read.
     """
     one = messages.where("message_id is not null").groupBy(F.col("message_id").cast("long").alias("message_id")).agg(F.min(F.struct(F.col("position").cast("long").alias("position"), F.col("text").cast("string").alias("text"), F.col("role").cast("string").alias("role"))).alias("m")).select("message_id", F.coalesce("m.position", F.lit(-(2**62))).alias("position"), "m.role", "m.text")
     parsed = checkpoint(parse(one))
     found = checkpoint(links(parsed))
-    tree = roots(parsed, parents(found))
+    replies = checkpoint(parents(found))
+    tree = roots(parsed, replies.unionByName(passages(parsed, found, replies)))
     counts = found.groupBy("message_id").agg(F.count("*").alias("n_linked"))
-    quoted = F.size(F.filter("hashed", lambda x: x["level"] > 0)).cast("long")
+    quoted = F.size(F.filter("hashed", lambda x: (x["level"] > 0) & x["long"])).cast("long")
     rows = parsed.select("message_id", "position", "role", "own", quoted.alias("n_quoted")).join(tree, "message_id").join(counts, "message_id", "left").withColumn("n_linked", F.coalesce("n_linked", F.lit(0)).cast("long"))
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     out = rows.repartition(parts, "root_id").sortWithinPartitions("root_id", "position", "message_id").mapInPandas(in_order, "root_id long, turn int, message_id long, parent_id long, depth int, role string, own string, n_quoted long, n_linked long")
@@ -122,7 +156,8 @@ def conversations(messages: DataFrame) -> DataFrame:
 
 
 def as_mail(turns: DataFrame, levels: int = 3) -> DataFrame:
-    """Messages as mail programs would write the turns of conversations (conv_id, turn, role, text): each answer above its predecessor's text, quoted, up to ``levels`` deep."""
+    """Messages as mail programs would write the turns of conversations (conv_id, turn, role, text): each answer above its predecessor's text, quoted, up to ``levels`` deep. A null text is empty."""
+    turns = turns.withColumn("text", F.coalesce("text", F.lit("")))
     key = Window.partitionBy("conv_id").orderBy("turn")
     quoted = [F.concat(F.lit("\n"), F.regexp_replace(F.lag("text", k).over(key), r"(?m)^", "> " * k)) for k in range(1, levels + 1)]
     text = F.concat(F.col("text"), *(F.coalesce(q, F.lit("")) for q in quoted))

@@ -110,6 +110,26 @@ def test_rebuilds_conversations_from_mail(spark):
     assert all(x.depth == x.turn for x in found)
 
 
+@pytest.mark.parametrize("short", ["Gmail", "Yes.", "はい", "👍", "", None])
+def test_short_turns_keep_a_conversation_whole(spark, short):
+    """Also where other conversations, interleaved with it, have the same short turn."""
+    texts = [["the first words of harbour " + c, "the answer about ships " + c, short, "what follows after that " + c, short, "the last words of all " + c] for c in "ab"]
+    mail = quotes.as_mail(spark.createDataFrame([(c, t, "user", x) for c in range(2) for t, x in enumerate(texts[c])], "conv_id long, turn long, role string, text string"))
+    mail = mail.withColumn("position", mail.message_id % 100000 * 2 + (mail.message_id / 100000).cast("long"))
+    found = quotes.conversations(mail).collect()
+    assert {(x.conversation_id // 100000, x.turn, x.depth, x.message_id % 100000, x.text) for x in found} == {(c, t, t, t, x or "") for c in range(2) for t, x in enumerate(texts[c])}
+
+
+def test_short_first_turn_and_trimmed_quotes(spark):
+    rows = [
+        (1, 1, "a", "Gmail"), (2, 2, "b", "Which one of the two?\n> Gmail"),
+        (3, 3, "a", "a longer opening of its own"), (4, 4, "b", "Thanks!\nBob\n> a longer opening of its own"), (5, 5, "a", "fine by me\n> Thanks!\n>> a longer opening of its own"),
+        (6, 6, "c", "ok\nAnn"), (7, 7, "d", "so be it then\n> ok"),
+    ]
+    found = find(quotes.conversations(spark.createDataFrame(rows, MAIL)).collect())
+    assert {i: x.parent_id for i, x in found.items()} == {1: None, 2: 1, 3: None, 4: 3, 5: 3, 6: None, 7: 6}
+
+
 def test_long_chains(spark):
     rows = [(i, i, "x", f"message number {i} says this" + (f"\n> message number {i - 1} says this" if i else "")) for i in range(300)]
     found = quotes.conversations(spark.createDataFrame(rows, MAIL)).collect()
