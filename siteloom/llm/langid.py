@@ -2,7 +2,8 @@
 
 A profile lists a language's ``RANKS`` most frequent n-grams of 1 to 3 letters, words padded with blanks. A document's own most frequent
 n-grams are compared with each profile: an n-gram costs how far its rank is out of place, or ``RANKS`` where the profile lacks it; the language of
-the least sum is the answer.
+the least sum is the answer. How far a document may be from its language is calibrated on labelled documents that its profile was not made of, by the number of n-grams
+compared, so that a text in a language without a profile is rejected even in the same script.
 
 Scale: profiles are fitted on a bounded sample of labelled rows (``PER_LANGUAGE``); the answer is map-only.
 """
@@ -11,7 +12,7 @@ from __future__ import annotations
 
 import functools
 import unicodedata
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import filter_slices, in_one_task, map_slices
 
-#: Labelled documents of each language at most, n-grams in a profile, and what share of the greatest possible distance a language may have.
+#: Labelled documents of each language at most, n-grams in a profile, and what share of the greatest possible distance a language may have where nothing is calibrated.
 PER_LANGUAGE, RANKS, MOST = 400, 300, 0.92
 #: A declared language is contradicted where another is nearer by this share of its distance, over this many n-grams at least.
 MARGIN, EVIDENCE = 0.12, 60
+#: Held-out documents of about as many n-grams that calibrate a limit (MOST holds where there are fewer in all), the quantile of their distances, and the share of the way from there to 1 that is left free.
+HELD, QUANTILE, FREE = 100, 0.99, 0.25
 SEPARATOR = "\x00"
 
 
@@ -73,6 +76,7 @@ class Profiles:
     languages: list[str]
     codes: np.ndarray
     ranks: np.ndarray  # (codes + 1, languages); the last row is for codes that no profile has
+    limits: np.ndarray = field(default_factory=lambda: np.full(RANKS + 1, MOST))  # the greatest distance accepted, by number of n-grams
 
     @staticmethod
     def of(ranked_by_language: dict[str, np.ndarray]) -> Profiles:
@@ -106,11 +110,11 @@ class Profiles:
         return found, best, second, n
 
 
-def accepted(languages: list[str | None], best: np.ndarray, second: np.ndarray, n: np.ndarray, declared: list[str | None], known: list[str]) -> np.ndarray:
-    """Whether a document has a language and its declared one, if a known language, is not clearly another."""
-    other = np.array([d in known and d != x for d, x in zip(declared, languages, strict=True)], bool)
+def accepted(languages: list[str | None], best: np.ndarray, second: np.ndarray, n: np.ndarray, declared: list[str | None], profiles: Profiles) -> np.ndarray:
+    """Whether a document has a language, within the limit for its n-grams, and its declared one, if a known language, is not clearly another."""
+    other = np.array([d in profiles.languages and d != x for d, x in zip(declared, languages, strict=True)], bool)
     has = np.array([x is not None for x in languages], bool)
-    return has & (best <= MOST) & ~(other & (n >= EVIDENCE) & (second - best >= MARGIN * second))
+    return has & (best <= profiles.limits[n]) & ~(other & (n >= EVIDENCE) & (second - best >= MARGIN * second))
 
 
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: int = PER_LANGUAGE) -> Profiles:
@@ -125,18 +129,45 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", per_language: i
 
 
 def _fit(rows: pa.Table) -> Profiles:
-    found = {}
+    own = {}
     for x in sorted(set(rows["lang"].to_pylist())):
-        own = grams(rows.filter(pc.equal(rows["lang"], x))["text"].combine_chunks())
-        if own and len(codes := np.sort(np.concatenate(own))):
-            found[x] = ranked(codes)
-    return Profiles.of(found)
+        own[x] = grams(rows.filter(pc.equal(rows["lang"], x))["text"].combine_chunks())
+    profiles = _profiles(own)
+    profiles.limits = calibrated(own)
+    return profiles
+
+
+def _profiles(own: dict[str, list[np.ndarray]]) -> Profiles:
+    return Profiles.of({x: ranked(codes) for x, each in own.items() if each and len(codes := np.sort(np.concatenate(each)))})
+
+
+def calibrated(own: dict[str, list[np.ndarray]]) -> np.ndarray:
+    """Limits by number of n-grams, from the distances of each half of the documents to profiles of the other half; those nearest to another language than their label count for nothing."""
+    n, distance = [], []
+    for half in range(2):
+        profiles = _profiles({x: each[1 - half :: 2] for x, each in own.items()})
+        for x, each in own.items():
+            for codes in each[half::2]:
+                if len(codes := ranked(codes)) and x in profiles.languages:
+                    d = profiles.distances(codes)
+                    if profiles.languages[int(d.argmin())] == x:
+                        n.append(len(codes))
+                        distance.append(d.min())
+    if len(n) < HELD:
+        return np.full(RANKS + 1, MOST)
+    n, distance = np.array(n), np.array(distance)
+    limits = []
+    for k in range(RANKS + 1):
+        off = np.abs(n - k)
+        q = np.quantile(distance[off <= np.partition(off, HELD - 1)[HELD - 1]], QUANTILE)
+        limits.append(min(MOST, q + FREE * (1 - q)))
+    return np.array(limits)
 
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang") -> DataFrame:
     """(doc_id, declared, language, distance, next_distance, keep) for every row.
 
-    A null or empty text, or one without letters, has a null language, distance 1 and keep false. Of languages at the same distance the first by name is taken. Whole texts are
+    A null or empty text, or one without letters, has a null language, distance 1 and keep false; one in a language without a profile has the nearest and keep false. Of languages at the same distance the first by name is taken. Whole texts are
     ranked; n-grams of equal counts rank by code. Repeated rows answer alike. An empty table gives no rows. Other columns are not read.
     """
     shared = docs.sparkSession.sparkContext.broadcast(profiles)
@@ -144,7 +175,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         p, declared = shared.value, batch.column(lang)
         found, best, second, n = p.identify(batch.column(text))
-        keep = accepted(found, best, second, n, declared.to_pylist(), p.languages)
+        keep = accepted(found, best, second, n, declared.to_pylist(), p)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), declared, pa.array(found, pa.string()), pa.array(best), pa.array(second), pa.array(keep)], ["doc_id", "declared", "language", "distance", "next_distance", "keep"])
 
     return map_slices(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), lang: F.col(lang).cast("string")}), ["doc_id", text, lang], run, "doc_id long, declared string, language string, distance double, next_distance double, keep boolean", text)
@@ -153,4 +184,4 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str
 def keep_identified(docs: DataFrame) -> DataFrame:
     """Pipeline stage: the rows whose language is found and not clearly another than declared, with all their columns."""
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs))
-    return filter_slices(docs, lambda batch: accepted(*shared.value.identify(batch.column("text")), batch.column("lang").to_pylist(), shared.value.languages))
+    return filter_slices(docs, lambda batch: accepted(*shared.value.identify(batch.column("text")), batch.column("lang").to_pylist(), shared.value))

@@ -205,6 +205,23 @@ def test_languages_on_held_out_documents(spark):
     assert np.mean([x.keep for x in found if x.doc_id % 10 == 0]) < 0.5
 
 
+FOREIGN = {
+    "pl": "Wczoraj wieczorem poszliśmy na spacer wzdłuż rzeki, a potem wróciliśmy do domu, żeby przygotować kolację dla całej rodziny. Dzieci opowiadały o szkole i o tym, czego się nauczyły.",
+    "fi": "Eilen illalla kävelimme joen rantaa pitkin ja palasimme sitten kotiin valmistamaan illallista koko perheelle. Lapset kertoivat koulusta ja siitä, mitä he olivat oppineet viikon aikana.",
+    "tr": "Dün akşam nehir boyunca yürüdük ve sonra bütün aile için akşam yemeği hazırlamak üzere eve döndük. Çocuklar okuldan ve hafta boyunca öğrendiklerinden bahsettiler.",
+    "id": "Kemarin malam kami berjalan di sepanjang sungai dan kemudian pulang ke rumah untuk menyiapkan makan malam bagi seluruh keluarga. Anak-anak bercerita tentang sekolah.",
+}
+
+
+def test_languages_without_a_profile_are_rejected(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    profiles = langid.fit(docs, per_language=100)
+    foreign = spark.createDataFrame([(i, t, d, "a", 0) for i, (t, d) in enumerate((t, d) for t in FOREIGN.values() for d in (None, "en", "pl"))], DOCS)
+    assert not any(x.keep for x in langid.identify(foreign, profiles).collect())
+    own = langid.identify(docs, profiles).where("language = declared").collect()
+    assert np.mean([x.keep for x in own]) > 0.995
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     profiles = langid.fit(spark.createDataFrame(language_rows(3, 60), DOCS))
     rows = langid.identify(odd_docs, profiles).collect()
