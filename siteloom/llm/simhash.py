@@ -1,6 +1,7 @@
 """Near duplicates by SimHash and meet-in-the-middle ball hashing.
 
-A fingerprint has ``BANDS`` parts of ``BITS`` bits, each bit the sign of a vote of the document's distinct content words.
+A fingerprint has ``BANDS`` parts of ``BITS`` bits, each bit the sign of a vote of the document's distinct content words,
+and of the character n-grams of runs in scripts without spaces, or of very many letters.
 Two documents collide when one part differs in at most ``RADIUS = 2`` bits: every part is emitted with all its variants
 within half of that radius (itself and each single flip), the variants are shuffled, and two parts at distance 2 or less
 share one. Collisions are deduplicated and verified by the Hamming distance of whole fingerprints; the groups are the connected
@@ -13,6 +14,7 @@ searched breadth first over the members' fingerprints, which finds the same comp
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,12 +24,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siteloom.llm.common import checkpoint, hashes, map_slices, mixed, row_of, segment_sums, words
+from siteloom.llm.common import checkpoint, hashes, map_slices, mixed, row_of, words
 
 #: Parts of a fingerprint, bits of a part, radius of a collision within a part, and of a verified pair over all bits.
 BANDS, BITS, RADIUS, MOST = 7, 28, 2, 40
 #: Letters of a content word at least; a document without one votes with all its words.
 LETTERS = 4
+#: Scripts without spaces between words, letters in a row that are no word either, and characters of the n-grams that vote in place of both.
+UNSPACED, RUN, GRAM = r"[\p{Han}\p{Hiragana}\p{Katakana}\p{Thai}\p{Lao}\p{Khmer}\p{Myanmar}\p{Tibetan}]", 40, 3
+_RUN = re.compile(rf"[^\W\d_]{{{RUN}}}")
 #: Members of a bucket up to which all pairs are emitted.
 PAIRWISE = 24
 #: Ids that are broadcast at most, of 8 bytes each.
@@ -43,6 +48,27 @@ def lanes(vocabulary: pa.Array) -> np.ndarray:
     return np.unpackbits(raw, axis=1, bitorder="little").view(np.uint64)
 
 
+def unspaced(vocabulary: pa.Array) -> np.ndarray:
+    """Which words are runs of text without spaces."""
+    found = pc.match_substring_regex(vocabulary, UNSPACED).to_numpy(zero_copy_only=False).copy()
+    for i in np.flatnonzero(pc.greater_equal(pc.utf8_length(vocabulary), RUN).to_numpy(zero_copy_only=False) & ~found):
+        found[i] = _RUN.search(vocabulary[i].as_py()) is not None
+    return found
+
+
+def spread(row: np.ndarray, ids: np.ndarray, vocabulary: pa.Array, runs: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Rows, word numbers and vocabulary with the n-grams of the words that are ``runs`` in their place."""
+    grams = [list({w[i : i + GRAM] for i in range(max(1, len(w) - GRAM + 1))}) for w in vocabulary.filter(pa.array(runs)).to_pylist()]
+    size = np.array([len(x) for x in grams])
+    coded = pa.array([x for each in grams for x in each], pa.large_string()).dictionary_encode()
+    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64) + len(vocabulary)
+    hit = runs[ids]
+    word = (np.cumsum(runs) - 1)[ids[hit]]
+    n = size[word]
+    at = np.arange(n.sum()) + np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(n) - n), n)
+    return np.concatenate([row[~hit], np.repeat(row[hit], n)]), np.concatenate([ids[~hit], codes[at]]), pa.concat_arrays([vocabulary.cast(pa.large_string()), coded.dictionary])
+
+
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """(n, BANDS) parts, and whether the text has any word; a null, empty or wordless text has no fingerprint."""
     n = len(texts)
@@ -50,8 +76,11 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     if not len(ids):
         return np.zeros((n, BANDS), np.int32), np.zeros(n, bool)
     row = row_of(offsets)
-    content = (pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False) >= LETTERS)[ids]
-    content |= ~(segment_sums(content.astype(np.int64), offsets) > 0)[row]
+    known, runs = len(vocabulary), unspaced(vocabulary)
+    if runs.any():
+        row, ids, vocabulary = spread(row, ids, vocabulary, runs)
+    content = (pc.utf8_length(vocabulary).to_numpy(zero_copy_only=False) >= LETTERS)[ids] | (ids >= known)
+    content |= ~(np.bincount(row[content], minlength=n) > 0)[row]
     key = np.unique(row[content] * len(vocabulary) + ids[content])
     row, ids = key // len(vocabulary), key % len(vocabulary)
     count = np.bincount(row, minlength=n)

@@ -67,6 +67,20 @@ def test_near_copies_are_found_and_others_left(r):
     assert not ((d.min(1) <= simhash.RADIUS) & (d.sum(1) <= simhash.MOST)).any()
 
 
+@pytest.mark.parametrize("first, last, mark", [(0x4E00, 0x5200, "。"), (0x3041, 0x3094, "、"), (0x0E01, 0x0E2E, ""), (0x61, 0x7A, "")])
+def test_near_copies_without_spaces_are_found_and_others_left(r, first, last, mark):
+    def text(n: int) -> str:
+        return "".join(mark if mark and r.random() < 0.05 else chr(r.randint(first, last)) for _ in range(n))
+
+    bases = [text(600) for _ in range(60)]
+    a, has = simhash.fingerprints(pa.array(bases))
+    b, _ = simhash.fingerprints(pa.array(["".join(text(1) if r.random() < 0.01 else c for c in t) for t in bases]))
+    d = np.bitwise_count((a ^ b).astype(np.uint32))
+    assert has.all() and ((d.min(1) <= simhash.RADIUS) & (d.sum(1) <= simhash.MOST)).mean() >= 0.95
+    d = np.bitwise_count((a[:-1] ^ b[1:]).astype(np.uint32))
+    assert not ((d.min(1) <= simhash.RADIUS) & (d.sum(1) <= simhash.MOST)).any()
+
+
 def test_collisions_are_all_pairs_within_the_radius(spark, r):
     """The ball hash alone against all pairs of one-part distances 0 to 4."""
     values = [r.getrandbits(simhash.BITS) for _ in range(20)]
