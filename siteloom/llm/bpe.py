@@ -2,17 +2,17 @@
 
 Texts are cut into pieces by the vocabulary's pattern; the distinct pieces of a slice fill padded matrices, one for each range of byte lengths. In
 each round every row merges its leftmost pair of minimum rank: pair ranks come from an open-addressing hash table of (left id, right id), the
-row is compacted by one column, and only the two pairs beside the merge are looked up again. Rows without a mergeable pair leave the matrix.
+row is compacted by one column, and only the two pairs beside the merge are looked up again. Rows without a mergeable pair leave the matrix. A piece too long for a matrix
+is cut into rows of its own, whose borders are then mended exactly (``merge_long``).
 
-Scale: map-only, no shuffle; what a worker holds is bounded by a slice of text. The vocabulary is a file whose path is a parameter; it is
-broadcast, never trained and never copied.
+Scale: map-only, no shuffle; what a worker holds is bounded by a slice of text. The vocabulary is a file whose path is a parameter; the driver reads it and broadcasts its
+bytes, so that executors need no copy. It is never trained.
 """
 
 from __future__ import annotations
 
 import base64
 import functools
-import heapq
 import itertools
 from pathlib import Path
 
@@ -29,8 +29,9 @@ from siteloom.llm.common import map_slices
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts texts into pieces (its README names the pattern).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Widths of the matrices; a piece of more bytes than the last is merged alone with a heap, in O(n log n).
+#: Widths of the matrices, and bytes of the rows that a piece of more bytes than the last is cut into (``merge_long``).
 WIDTHS = (2, 4, 6, 8, 10, 12, 16, 20, 26, 34, 48, 80, 160, 400)
+WINDOW = 128
 #: Bytes of text merged at once.
 SLICE = 3 << 20
 NONE = np.int32(2**31 - 1)
@@ -81,9 +82,13 @@ class Vocabulary:
 
 
 @functools.lru_cache(2)
-def load(path: str) -> Vocabulary:
+def of_file(raw: bytes) -> Vocabulary:
     """Of a file of lines ``base64(token) rank``."""
-    return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a})
+    return Vocabulary({base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a})
+
+
+def load(path: str) -> Vocabulary:
+    return of_file(Path(path).read_bytes())
 
 
 def merge_rows(matrix: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
@@ -119,45 +124,147 @@ def merge_rows(matrix: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarra
     return out, (out >= 0).sum(1)
 
 
-def merge_long(ids: list[int], v: Vocabulary) -> list[int]:
-    """The same merges of one long piece by a heap over a linked list."""
-    n = len(ids)
-    after, before, rank = list(range(1, n + 1)), list(range(-1, n - 1)), lambda a, b: int(v.rank(np.array([a]), np.array([b]))[0])
-    first = v.rank(np.array(ids[:-1]), np.array(ids[1:]))
-    heap = [(int(r), i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-    heapq.heapify(heap)
-    while heap:
-        r, i, a, b = heapq.heappop(heap)
-        j = after[i] if ids[i] == a else n
-        if j >= n or ids[j] != b:
-            continue
-        ids[i], ids[j], after[i] = r, -1, after[j]
-        if after[i] < n:
-            before[after[i]] = i
-            if (x := rank(r, ids[after[i]])) != NONE:
-                heapq.heappush(heap, (x, i, r, ids[after[i]]))
-        if (p := before[i]) >= 0 and (x := rank(ids[p], r)) != NONE:
-            heapq.heappush(heap, (x, p, ids[p], r))
-    return [x for x in ids if x >= 0]
+def matrix_of(data: np.ndarray, offsets: np.ndarray, rows: np.ndarray, width: int, v: Vocabulary) -> np.ndarray:
+    """Byte ids of pieces, padded with -1."""
+    column = np.arange(max(2, width))
+    inside = column < (offsets[rows + 1] - offsets[rows])[:, None]
+    return np.where(inside, v.byte_ids[data[np.minimum(offsets[rows, None] + column, len(data) - 1)]], np.int32(-1))
+
+
+def merge_wide(matrix: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Ids of one wide row: a round takes all pairs of the row's minimum rank, from the left and without overlap, up to the first whose merge makes a pair of lower rank; so the
+    merges and their order are those of single steps."""
+    ids = matrix.copy()
+    ranks = v.rank(ids[:-1], ids[1:])
+    while len(ranks) and (best := ranks.min()) != NONE:
+        at = np.flatnonzero(ranks == best)
+        # runs of adjacent places overlap: every second one of a run counts
+        run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+        at = at[(np.arange(len(at)) - np.repeat(run, np.diff(np.append(run, len(at))))) % 2 == 0]
+        before = np.where(at > 0, ids[at - 1], -1)
+        before[1:][at[1:] - 2 == at[:-1]] = best
+        after = np.where(at + 2 < len(ids), ids[np.minimum(at + 2, len(ids) - 1)], -1)
+        merged = np.full(len(at), best, np.int32)
+        lower = np.flatnonzero((v.rank(before, merged) < best) | (v.rank(merged, after) < best))
+        if len(lower):
+            at = at[: lower[0] + 1]
+        ids[at] = best
+        ids = np.delete(ids, at + 1)
+        own = at - np.arange(len(at))  # where the merged ids lie now
+        ranks = np.delete(ranks, at)
+        left, right = own[own > 0], own[own < len(ids) - 1]
+        ranks[left - 1] = v.rank(ids[left - 1], ids[left])
+        ranks[right] = v.rank(ids[right], ids[right + 1])
+    return ids
+
+
+def merge_many(parts: list[np.ndarray], v: Vocabulary) -> list[np.ndarray]:
+    """Ids of byte strings (uint8)."""
+    if not parts:
+        return []
+    flat, starts = encode_bytes(np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])]).astype(np.int64), v)
+    return np.split(flat, starts[1:-1])
+
+
+def merge_long(data: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """Ids of one piece wider than the matrices, exactly, through rows of at most ``WINDOW`` bytes.
+
+    A sequence of tokens is the encoding of its bytes where each two neighbours, encoded together, come out as themselves: the first merge across a border would also be made
+    between these two alone. Within a window that holds, so only the borders of windows are checked. Where a border fails, half a window to both sides is encoded together;
+    where that fails as well, both windows become one, wider than a matrix row if need be.
+    """
+    parts = [data[i : i + WINDOW] for i in range(0, len(data), WINDOW)]
+    found = merge_many(parts, v)
+    sizes = np.diff(v.offsets)
+
+    def text(ids: np.ndarray) -> np.ndarray:
+        return v.data[ragged_index(v.offsets[ids], sizes[ids])]
+
+    def whole(pairs: list[tuple[int, int]]) -> np.ndarray:
+        """Which pairs of tokens stay apart."""
+        distinct, where = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0, return_inverse=True)
+        apart = [x.tolist() == p for x, p in zip(merge_many([text(p) for p in distinct], v), distinct.tolist(), strict=True)]
+        return np.array(apart, bool)[where.ravel()]
+
+    while len(parts) > 1:
+        bad = np.flatnonzero(~whole([(a[-1], b[0]) for a, b in itertools.pairwise(found)]))
+        if not len(bad):
+            break
+        # the half of the bytes next to the border, to the end of a token
+        cut = [(len(found[k]) - int(np.searchsorted(np.cumsum(sizes[found[k]][::-1]), len(parts[k]) // 2)), 1 + int(np.searchsorted(np.cumsum(sizes[found[k + 1]]), len(parts[k + 1]) // 2))) for k in bad]
+        cut = [(max(1, a), min(b, len(found[k + 1]) - 1)) for k, (a, b) in zip(bad, cut, strict=True)]
+        bridges = merge_many([np.concatenate([text(found[k][a:]), text(found[k + 1][:b])]) for k, (a, b) in zip(bad, cut, strict=True)], v)
+        fits = [0 < b and a < len(found[k]) for k, (a, b) in zip(bad, cut, strict=True)]
+        at = [i for i, f in enumerate(fits) if f]
+        good = np.zeros(len(bad), bool)
+        if at:
+            good[at] = whole([(found[bad[i]][cut[i][0] - 1], bridges[i][0]) for i in at]) & whole([(bridges[i][-1], found[bad[i] + 1][cut[i][1]]) for i in at])
+        joined: dict[int, tuple] = {int(k): (c, x) for k, c, x, g in zip(bad, cut, bridges, good, strict=True) if g}
+        failed = set(bad[~good].tolist())
+        parts, found = _stitched(parts, found, joined, failed)
+        fresh = [i for i, x in enumerate(found) if x is None]
+        for i, ids in zip(fresh, merge_many([parts[i] for i in fresh], v), strict=True):
+            found[i] = ids
+    return np.concatenate(found)
+
+
+def _stitched(parts: list, found: list, joined: dict[int, tuple], failed: set[int]) -> tuple[list, list]:
+    """Windows with bridged borders as one part, and with failed borders as one part that is to be encoded again (None)."""
+    out_parts, out_found, k = [], [], 0
+    while k < len(parts):
+        last = k
+        while last in joined or last in failed:
+            last += 1
+        own = range(k, last + 1)
+        if any(i in failed for i in own):
+            ids = None
+        else:
+            pieces = []
+            for i in own:
+                begin = joined[i - 1][0][1] if i - 1 in joined and i > k else 0
+                end = joined[i][0][0] if i in joined else len(found[i])
+                pieces.append(found[i][begin:end])
+                if i in joined:
+                    pieces.append(joined[i][1])
+            ids = np.concatenate(pieces)
+        out_parts.append(np.concatenate([parts[i] for i in own]) if len(own) > 1 else parts[k])
+        out_found.append(ids)
+        k = last + 1
+    return out_parts, out_found
 
 
 def encode_pieces(pieces: pa.Array, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(flat ids, n + 1 offsets) of distinct pieces."""
     data, offsets = bytes_of(pieces)
     lengths = np.diff(offsets)
+    long = np.flatnonzero(lengths > WIDTHS[-1])
+    if not len(long):
+        return encode_bytes(data, offsets, v)
+    short = np.flatnonzero(lengths <= WIDTHS[-1])
+    flat, starts = encode_bytes(data[ragged_index(offsets[short], lengths[short])], np.concatenate([[0], np.cumsum(lengths[short])]), v)
+    merged = [merge_long(data[offsets[i] : offsets[i + 1]], v) for i in long]
+    counts = np.zeros(len(lengths), np.int64)
+    counts[short], counts[long] = np.diff(starts), [len(x) for x in merged]
+    ends = np.concatenate([[0], np.cumsum(counts)])
+    out = np.zeros(ends[-1], np.int32)
+    out[ragged_index(ends[short], counts[short])] = flat
+    out[ragged_index(ends[long], counts[long])] = np.concatenate(merged)
+    return out, ends
+
+
+def encode_bytes(data: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """(flat ids, n + 1 offsets) of byte strings: those up to the widest matrix in matrices, a wider one as a row of its own."""
+    lengths = np.diff(offsets)
     counts, found = np.zeros(len(lengths), np.int64), []
     for low, width in itertools.pairwise((0, *WIDTHS)):
         for rows in np.array_split(own := np.flatnonzero((lengths > low) & (lengths <= width)), max(1, len(own) * width >> 20)):
             if len(rows):
-                column = np.arange(max(2, width))
-                inside = column < lengths[rows, None]
-                matrix = np.where(inside, v.byte_ids[data[np.minimum(offsets[rows, None] + column, len(data) - 1)]], np.int32(-1))
-                ids, counts[rows] = merge_rows(matrix, v)
+                ids, counts[rows] = merge_rows(matrix_of(data, offsets, rows, width, v), v)
                 found.append((rows, ids[ids >= 0]))
     for row in np.flatnonzero(lengths > WIDTHS[-1]):
-        ids = merge_long(v.byte_ids[data[offsets[row] : offsets[row + 1]]].tolist(), v)
+        ids = merge_wide(v.byte_ids[data[offsets[row] : offsets[row + 1]]], v)
         counts[row] = len(ids)
-        found.append((np.array([row]), np.array(ids, np.int32)))
+        found.append((np.array([row]), ids))
     starts = np.concatenate([[0], np.cumsum(counts)])
     flat = np.zeros(starts[-1], np.int32)
     for rows, ids in found:
@@ -195,9 +302,10 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, te
     An empty table gives no rows. Columns not named in ``keep`` are not read, so none can clash.
     """
     names = ["doc_id", *(c for c in keep if c != "doc_id")]
+    shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        v, texts = load(path), batch.column(text)
+        v, texts = of_file(shared.value), batch.column(text)
         ids, offsets = encode(texts, v, regex.compile(pattern))
         data, ends, fine = decode(ids, offsets, v)
         raw, at = bytes_of(texts)
@@ -217,8 +325,10 @@ def tokenize(docs: DataFrame, path: str = VOCABULARY, pattern: str = PATTERN, te
 def detokenize(rows: DataFrame, path: str = VOCABULARY, tokens: str = "tokens") -> DataFrame:
     """(doc_id, text) of rows (doc_id, tokens). Null tokens and rows with an unknown or null id give a null text; bytes that are no UTF-8 are replaced by U+FFFD."""
 
+    shared = rows.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
+
     def run(batches):
-        v = load(path)
+        v = of_file(shared.value)
         for batch in batches:
             column = batch.column("tokens")
             offsets = column.offsets.to_numpy().astype(np.int64)

@@ -1,6 +1,6 @@
 """Token ids as binary: a static range asymmetric numeral system over independent, interleaved blocks.
 
-One frequency table, counted over all rows and scaled to ``2 ** SCALE``, is shared by all blocks. A row's ids are cut into blocks of ``BLOCK``; within a block ``LANES``
+One frequency table, counted over all rows and scaled to ``2 ** SCALE`` (more for very large vocabularies), is shared by all blocks. A row's ids are cut into blocks of ``BLOCK``; within a block ``LANES``
 64-bit states take turns and share one stream of 32-bit words. Every ``STEPS`` steps a checkpoint holds all states and the place in the stream, so each such segment
 decodes on its own; a CRC-32 covers each block's ids. All segments of a slice run through numpy together, one step of all lanes at a time.
 
@@ -26,24 +26,43 @@ WORD = np.uint64(32)
 BLOCKS = "doc_id long, block int, n_symbols int, crc32 long, states binary, pointers binary, words binary"
 
 
+def scaled(counts: np.ndarray, size: int) -> np.ndarray:
+    """Frequencies in proportion to counts that sum to ``size`` exactly (0 where nothing is counted), at least 1 for each symbol that was counted.
+
+    What a share exceeds 1 by is scaled to what is left once each symbol has its 1; the largest remainders round up, the lower symbol of equals.
+    """
+    at = np.flatnonzero(counts > 0)
+    freq = np.zeros(len(counts), np.int64)
+    if not len(at):
+        return freq
+    left = size - len(at)
+    share = np.maximum(counts[at] * (size / counts[at].sum()) - 1, 0)
+    if not share.sum():
+        share = np.ones(len(at))
+    share *= left / share.sum()
+    whole = np.minimum(np.floor(share).astype(np.int64), left)
+    up = np.argsort(whole - share, kind="stable")
+    rest = left - int(whole.sum())
+    if rest >= 0:
+        whole += rest // len(at)
+        whole[up[: rest % len(at)]] += 1
+    else:  # products rounded up to whole numbers
+        whole[whole.argmax()] += rest
+    freq[at] = 1 + whole
+    assert freq.sum() == size and freq[at].min() >= 1
+    return freq
+
+
 class Table:
-    """Frequencies that sum to ``2 ** SCALE``; a symbol that was counted has at least 1, others cannot be encoded."""
+    """Frequencies that sum to ``2 ** scale``; a symbol that was counted has at least 1, others cannot be encoded. A table of more than an eighth of ``2 ** SCALE`` symbols is scaled to
+    eight times their number, so that no vocabulary is too large."""
 
     def __init__(self, counts: np.ndarray):
-        seen = counts > 0
-        if seen.sum() > 1 << SCALE:
-            raise ValueError(f"more than {1 << SCALE} distinct ids")
-        total = max(1, int(counts.sum()))
-        freq = np.where(seen, np.maximum(1, np.floor(counts / total * (1 << SCALE))), 0).astype(np.int64)
-        excess, order = int(freq.sum()) - (1 << SCALE), np.argsort(-freq, kind="stable")
-        if excess < 0 and seen.any():
-            freq[order[0]] -= excess
-        for i in order:  # each gives up at most half
-            if excess <= 0:
-                break
-            give = min(excess, max(1, freq[i] // 2), freq[i] - 1)
-            freq[i] -= give
-            excess -= give
+        seen = int((counts > 0).sum())
+        self.scale = max(SCALE, (8 * seen - 1).bit_length())
+        if self.scale > 31:
+            raise ValueError(f"{seen} distinct ids leave no room in a state")
+        freq = scaled(np.asarray(counts), 1 << self.scale)
         self.freq = freq.astype(np.uint64)
         self.start = (np.cumsum(freq) - freq).astype(np.uint64)
         self.symbol = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
@@ -76,14 +95,14 @@ def encode(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray, table: Table
         valid = index < sizes[own, None]
         s = flat[np.minimum(starts[own, None] + index, len(flat) - 1)]
         f, c, at = table.freq[s], table.start[s], x[:n]
-        need = valid & (at >= f << np.uint64(63 - SCALE))
+        need = valid & (at >= f << np.uint64(63 - table.scale))
         words.append((at[need] & np.uint64(0xFFFFFFFF)).astype(np.uint32))
         owners.append(np.repeat(own, need.sum(1)))
         step_of.append(np.full(len(words[-1]), t, np.int32))
         at = np.where(need, at >> WORD, at)
         f = np.where(valid, f, np.uint64(1))
         q = at // f
-        x[:n] = np.where(valid, (q << np.uint64(SCALE)) + (at - q * f) + c, at)
+        x[:n] = np.where(valid, (q << np.uint64(table.scale)) + (at - q * f) + c, at)
         if t % STEPS == 0:
             states[first[own] + t // STEPS] = x[:n]
     owner, step, word = (np.concatenate([*a[::-1], np.zeros(0, d)]) for a, d in ((owners, np.int64), (step_of, np.int32), (words, np.uint32)))
@@ -104,7 +123,7 @@ def decode(sizes: np.ndarray, states: np.ndarray, pointers: np.ndarray, segments
     left, target = left[order], target[order]
     x, pointer = states[order], (word_starts[block] + pointers)[order].astype(np.int64)
     active = len(steps) - np.searchsorted(np.sort(steps), np.arange(steps.max(initial=0)), side="right")
-    out, lane, mask = np.zeros(sizes.sum(), np.int32), np.arange(LANES), np.uint64((1 << SCALE) - 1)
+    out, lane, mask = np.zeros(sizes.sum(), np.int32), np.arange(LANES), np.uint64((1 << table.scale) - 1)
     words = np.append(words, np.uint32(0)).astype(np.uint64)
     for t, n in enumerate(active):
         index = t * LANES + lane
@@ -112,7 +131,7 @@ def decode(sizes: np.ndarray, states: np.ndarray, pointers: np.ndarray, segments
         slot = at & mask
         s = table.symbol[slot.astype(np.int64)]
         out[(target[:n, None] + index)[valid]] = s[valid]
-        at = np.where(valid, table.freq[s] * (at >> np.uint64(SCALE)) + slot - table.start[s], at)
+        at = np.where(valid, table.freq[s] * (at >> np.uint64(table.scale)) + slot - table.start[s], at)
         need = valid & (at < LOW)
         place = np.cumsum(need, axis=1)
         word = words[np.minimum(pointer[:n, None] + place - 1, len(words) - 1)]
@@ -172,7 +191,10 @@ def encode_rows(rows: DataFrame, table: Table, ids: str = "ids", verify: bool =
 
 
 def decode_rows(blocks: DataFrame, table: Table) -> DataFrame:
-    """(doc_id, block, ids, exact): ids as little-endian uint32; exact is false, and ids null, where the checksum does not hold."""
+    """(doc_id, block, ids, exact): ids as little-endian uint32; exact is false, and ids null, where the checksum does not hold.
+
+    A block with a null in any column that decoding reads is left out; an empty block gives empty ids. Repeated blocks give repeated rows, an empty table none; other columns are not read.
+    """
     shared = blocks.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -185,4 +207,5 @@ def decode_rows(blocks: DataFrame, table: Table) -> DataFrame:
             raw = pa.array([x if ok else None for x, ok in zip(raw.to_pylist(), exact, strict=True)], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("block"), raw, pa.array(exact)], ["doc_id", "block", "ids", "exact"])
 
-    return blocks.select(*(c.split()[0] for c in BLOCKS.split(", "))).mapInArrow(run, "doc_id long, block int, ids binary, exact boolean")
+    names = [c.split()[0] for c in BLOCKS.split(", ")]
+    return blocks.select(*names).dropna(subset=names[2:]).mapInArrow(run, "doc_id long, block int, ids binary, exact boolean")

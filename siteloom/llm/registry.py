@@ -34,16 +34,20 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @functools.lru_cache(2)
-def _encoding(path: str) -> tiktoken.Encoding:
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, Path(path).read_bytes().splitlines()) if a}
+def _encoding(raw: bytes) -> tiktoken.Encoding:
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
     return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_ids(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
-    """(doc_id, ids) of the documents, ids as little-endian uint32; a null text has null ids."""
+    """(doc_id, ids) of the documents, ids as little-endian uint32; the vocabulary's bytes are broadcast.
+
+    A null text has null ids, an empty one none; a text of any length is encoded whole. Repeated rows give repeated rows, an empty table none; other columns are not read.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoding(path)
+        own = _encoding(shared.value)
         for batch in batches:
             for part in slices(batch):
                 rows = [None if t is None else own.encode_to_numpy(t, disallowed_special=()) for t in part.column(1).to_pylist()]

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import base64
 import random
+import time
 from pathlib import Path
 
 import numpy as np
@@ -51,7 +52,7 @@ def naive(piece: bytes, tokens: dict[bytes, int]) -> list[int]:
         parts[i : i + 2] = [parts[i] + parts[i + 1]]
 
 
-def test_matrices_and_heap_match_naive_merging():
+def test_matrices_and_windows_match_naive_merging(monkeypatch):
     """A small vocabulary where merging may lower ranks, against one merge at a time."""
     r = random.Random(5)
     tokens = {bytes([b]): b for b in range(256)}
@@ -63,7 +64,24 @@ def test_matrices_and_heap_match_naive_merging():
     flat, at = bpe.encode_pieces(pa.array(pieces), v)
     for i, p in enumerate(pieces):
         assert flat[at[i] : at[i + 1]].tolist() == naive(p.encode(), tokens)
-        assert bpe.merge_long([tokens[bytes([b])] for b in p.encode()], v) == naive(p.encode(), tokens)
+        raw = np.frombuffer(p.encode(), np.uint8)
+        assert len(p) < 2 or bpe.merge_wide(v.byte_ids[raw], v).tolist() == naive(p.encode(), tokens)
+        for window in (4, 9):
+            monkeypatch.setattr(bpe, "WINDOW", window)
+            assert bpe.merge_long(raw, v).tolist() == naive(p.encode(), tokens)
+
+
+def test_very_long_pieces_match_an_independent_encoder(reference):
+    """Pieces of one megabyte, at a time a byte that is not far from that of short ones."""
+    r = random.Random(8)
+    own = tiktoken.Encoding("whole", pat_str="(?s).+", mergeable_ranks=reference._mergeable_ranks, special_tokens={})
+    v = bpe.load(bpe.VOCABULARY)
+    letters = "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(1 << 20))
+    for text in (letters, "=" * 300_001, "abc" * 50_000, "".join(chr(r.randint(0x4E00, 0x9FFF)) for _ in range(50_000)), "".join(r.choice(["a", "a", "b"]) for _ in range(100_000))):
+        began = time.process_time()
+        found = bpe.merge_long(np.frombuffer(text.encode(), np.uint8), v)
+        assert time.process_time() - began < 20e-6 * len(text.encode()) + 1
+        assert found.tolist() == own.encode_ordinary(text)
 
 
 def test_tokenize_odd_rows(spark, odd_docs, no_docs, reference):
@@ -112,14 +130,55 @@ def test_rans_segments_decode_alone_and_size_is_near_entropy():
         assert (part == flat[k * step : (k + 1) * step]).all()
 
 
+@pytest.mark.parametrize("n", [1, 2, 3, 1000, 130_000, 200_000, 1 << 18, 300_000])
+@pytest.mark.parametrize("skewed", [False, True])
+def test_rans_table_sums_exactly_and_large_vocabularies_round_trip(n, skewed):
+    r = np.random.default_rng(n)
+    counts = r.integers(1, 50, n)
+    if skewed:
+        counts[n // 2] = 9 * counts.sum()
+    table = rans.Table(np.concatenate([[0], counts]))
+    assert int(table.freq.sum()) == 1 << table.scale == len(table.symbol) and table.freq[0] == 0 and (table.freq[1:] > 0).all()
+    flat = r.integers(1, n + 1, 5000)
+    sizes = np.array([3000, 0, 2000])
+    states, pointers, segments, words, n_words = rans.encode(flat, np.array([0, 3000, 3000]), sizes, table)
+    assert (rans.decode(sizes, states, pointers, segments, words, np.concatenate([[0], np.cumsum(n_words)])[:-1], table) == flat).all()
+
+
 def test_rans_table():
     assert int(rans.Table(np.array([0, 1, 0, 10**12])).freq.sum()) == 1 << rans.SCALE
     skewed = rans.Table(np.concatenate([np.ones(100000, int), [10**15]]))
-    assert int(skewed.freq.sum()) == 1 << rans.SCALE and skewed.freq.min() >= 1
+    assert int(skewed.freq.sum()) == 1 << skewed.scale and skewed.freq[:-1].min() >= 1
+    assert rans.Table(np.zeros(3, np.int64)).freq.sum() == 0
     with pytest.raises(ValueError, match="counted"):
         rans.encode(np.array([2]), np.array([0]), np.array([1]), rans.Table(np.array([1, 1, 0])))
 
 
+def scalar_rans(ids: list[int], table: rans.Table) -> tuple[list[list[int]], list[int]]:
+    """(states at each checkpoint, words in the order of decoding) of one block by the definition: one symbol at a time, in Python's whole numbers, from the last to the first."""
+    states, emitted, kept = [1 << 31] * rans.LANES, [], {}
+    for i in range(len(ids) - 1, -1, -1):
+        lane, f, start = i % rans.LANES, int(table.freq[ids[i]]), int(table.start[ids[i]])
+        if states[lane] >= f << (63 - table.scale):
+            emitted.append((i, states[lane] & 0xFFFFFFFF))
+            states[lane] >>= 32
+        states[lane] = (states[lane] // f << table.scale) + states[lane] % f + start
+        if i % (rans.LANES * rans.STEPS) == 0:
+            kept[i] = list(states)
+    return [kept[i] for i in sorted(kept)], [w for _, w in sorted(emitted)]
+
+
+@pytest.mark.parametrize("n", [1, 7, 8, 9, 2048, 2049, 5000])
+def test_rans_matches_a_scalar_coder(n):
+    r = np.random.default_rng(n)
+    table = rans.Table(np.bincount(r.geometric(0.02, 20000)))
+    seen = np.flatnonzero(table.freq)
+    flat = r.choice(seen, n)
+    states, _, _, words, _ = rans.encode(flat, np.array([0]), np.array([n]), table)
+    own, emitted = scalar_rans(flat.tolist(), table)
+    assert states.tolist() == own and words.tolist() == emitted
+
+
 def test_rans_rows(spark, odd_docs, no_docs):
     ids = registry.token_ids(odd_docs)
     table = rans.frequencies(ids)
