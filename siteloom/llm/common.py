@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import pickle
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -22,13 +23,15 @@ PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—¡
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that ``spark.checkpoint.dir`` names.
+    """Cut the lineage with a reliable checkpoint in the shared folder that ``spark.checkpoint.dir`` names.
 
-    A folder of our own is set only where the session has none, as in tests.
+    A session in one process, as in tests, may go without that setting and gets a folder of its own; on a cluster it is an error, as executors share no temporary folder.
     """
     context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="siteloom-checkpoint-"))
     return df.checkpoint(eager=True)
 

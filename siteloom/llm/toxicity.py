@@ -1,7 +1,7 @@
 """Toxicity by class-conditional Kneser-Ney models over shared backoff counts.
 
 Words are spelt by two Kneser-Ney models of character n-grams (up to ``ORDER`` symbols, within words, a start for each declared language), toxic and ordinary,
-fitted on labelled documents. Where a class has not seen an n-gram it backs off to one shared model: continuation counts (distinct symbols to the left) of
+fitted on labelled documents; a letter beyond the most frequent is spelt by digits of its code point, so that no two letters are taken for one. Where a class has not seen an n-gram it backs off to one shared model: continuation counts (distinct symbols to the left) of
 shorter n-grams over the whole corpus. So a rare expression weighs by what its spelling shares with labelled ones, and what neither class has
 seen says nothing. A document's score is the log-likelihood ratio of its distinct words (a word repeated is one piece of evidence) over their number, plus
 ``SHRINK`` words so that two words prove little; it is toxic where the score passes the threshold that separates held-out labelled documents best.
@@ -28,9 +28,11 @@ from siteloom.llm.common import checkpoint, filter_slices, in_one_task, labelled
 PER_CLASS = 3000
 #: Symbols of an n-gram at most, the discount, and words added to a document's length.
 ORDER, DISCOUNT, SHRINK = 6, 0.75, 60.0
-#: Codes of symbols: letters by frequency, then any other, the end, and the starts (any language, then each known one).
-BITS, LETTERS, STARTS = 9, 440, 68
-OTHER, END, START = LETTERS + 1, LETTERS + 2, LETTERS + 3
+#: Codes of symbols: the most frequent letters one each, the digits that spell any other letter, the end, and the starts (any language, then each known one).
+BITS, LETTERS, DIGITS, STARTS = 9, 186, 256, 68
+DIGIT, END, START = LETTERS + 1, LETTERS + DIGITS + 1, LETTERS + DIGITS + 2
+#: Code points: all of them have letters' codes or are spelt by two digits, from 65536 by three.
+POINTS = 0x110000
 #: Codes that a task holds before it passes on the distinct ones.
 HELD = 1 << 21
 #: Words spelt at once while fitting.
@@ -45,17 +47,17 @@ def masked(codes: np.ndarray, symbols: int) -> np.ndarray:
 class Spelling:
     """Symbols of letters and starts of languages."""
 
-    letters: np.ndarray  # by code point below 65536
+    letters: np.ndarray  # by code point; 0 for letters that digits spell
     languages: list[str]
 
     @staticmethod
     def of(texts: pa.Array, languages: list[str | None]) -> Spelling:
         _, ids, vocabulary = words(texts)
         point = np.frombuffer("".join(vocabulary.to_pylist()).encode("utf-32-le", "surrogatepass"), np.uint32)
-        count = np.bincount(np.minimum(point, 0xFFFF), minlength=0x10000)[:0xFFFF]
+        count = np.bincount(point, minlength=POINTS)
         order = np.argsort(-count, kind="stable")[:LETTERS]
         order = order[count[order] > 0]
-        letters = np.full(0x10000, OTHER, np.int64)
+        letters = np.zeros(POINTS, np.int16)
         letters[order] = np.arange(1, len(order) + 1)
         known, times = np.unique([x for x in languages if x is not None], return_counts=True)
         return Spelling(letters, known[np.argsort(-times, kind="stable")][: STARTS - 1].tolist())
@@ -64,15 +66,31 @@ class Spelling:
         known = {x: i + 1 for i, x in enumerate(self.languages)}
         return np.array([known.get(x, 0) for x in languages], np.int64)
 
+    def symbols(self, point: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Symbols of words, one after another, and how many each has; ``sizes`` counts their code points."""
+        code = self.letters[point].astype(np.int64)
+        rare = code == 0
+        if not rare.any():
+            return code, sizes
+        n = np.where(rare, np.where(point < 0x10000, 2, 3), 1)
+        at = np.cumsum(n) - n
+        out = np.zeros(int(n.sum()), np.int64)
+        out[at[~rare]] = code[~rare]
+        for k in range(3):  # the most significant digit first
+            own = rare & (n > k)
+            out[at[own] + k] = DIGIT + ((point[own].astype(np.int64) >> 8 * (n[own] - 1 - k)) & 0xFF)
+        total = np.concatenate([[0], np.cumsum(n)])
+        return out, np.diff(total[np.concatenate([[0], np.cumsum(sizes)])])
+
     def codes(self, vocabulary: pa.Array, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """n + 1 offsets, and of each symbol of each word but its start the code of the n-gram that ends there."""
         text = vocabulary.to_pylist()
-        sizes = np.fromiter(map(len, text), np.int64, len(text))
         point = np.frombuffer("".join(text).encode("utf-32-le", "surrogatepass"), np.uint32)
+        spelt, sizes = self.symbols(point, np.fromiter(map(len, text), np.int64, len(text)))
         ends = np.cumsum(sizes + 2)
         flat = np.full(ends[-1] if len(ends) else 0, END, np.int64)
         flat[ends - sizes - 2] = START + start
-        flat[ragged_index(ends - sizes - 1, sizes)] = self.letters[np.minimum(point, 0xFFFF)]
+        flat[ragged_index(ends - sizes - 1, sizes)] = spelt
         place = ragged_index(np.zeros(len(text), np.int64), sizes + 2)
         code = flat.copy()
         for k in range(1, ORDER):
@@ -174,7 +192,7 @@ def grouped(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def backoff(codes: np.ndarray, known: list[np.ndarray], counts: list[np.ndarray]) -> np.ndarray:
     """Shared probability of each code's last symbol, given its context without the leftmost symbol (and without a start)."""
-    p = np.full(len(codes), 1.0 / LETTERS)
+    p = np.full(len(codes), 1.0 / END)
     for k, (grams, count) in enumerate(zip(known, counts, strict=True)):
         contexts, total = grouped(grams >> BITS, count)
         _, lost = grouped(grams >> BITS, np.minimum(count, DISCOUNT))
@@ -323,6 +341,10 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", lang: str =
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pipeline stage: rows that are not toxic, with all their columns. A row with a null text stays."""
+    """Pipeline stage: rows that are not toxic, with all their columns.
+
+    A row with a null, empty or wordless text stays, and all stay where a class has no labels. A score equal to the threshold is not toxic. Repeated rows share a fate, texts of any length
+    are scored whole, an empty table stays empty, and columns of any name pass through.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
     return filter_slices(docs, lambda batch: ~flagged(shared.value.score(batch.column("text"), batch.column("lang").to_pylist()), shared.value) if shared.value else np.ones(batch.num_rows, bool))

@@ -59,7 +59,11 @@ def naive_score(model, text: str, lang: str | None) -> float:
     total, kinds = 0.0, {vocabulary[int(i)].as_py() for i in ids}
     start = toxicity.START + (model.spelling.languages.index(lang) + 1 if lang in model.spelling.languages else 0)
     for w in kinds:
-        symbols = [start, *(int(model.spelling.letters[min(ord(c), 0xFFFF)]) for c in w), toxicity.END]
+        symbols = [start]
+        for c in w:
+            digits = [ord(c) >> 8, ord(c) & 255] if ord(c) < 0x10000 else [ord(c) >> 16, ord(c) >> 8 & 255, ord(c) & 255]
+            symbols += [int(x)] if (x := model.spelling.letters[ord(c)]) else [toxicity.DIGIT + x for x in digits]
+        symbols.append(toxicity.END)
         for i in range(1, len(symbols)):
             code = 0
             for s in symbols[max(0, i - toxicity.ORDER + 1) : i + 1]:
@@ -76,6 +80,32 @@ def test_scores_match_naive(toxic_model):
         assert np.allclose(found, [naive_score(toxic_model, t, lang) for t in texts])
 
 
+def scripted(r: random.Random, first: int, n: int) -> str:
+    return "".join(chr(first + r.randrange(3000)) for _ in range(n))
+
+
+@pytest.mark.parametrize("first", [0x4E00, 0x20000])
+def test_toxicity_keeps_the_letters_of_large_scripts_apart(spark, first):
+    """Thousands of letters, also beyond 65536, more than have symbols of their own; expressions differ by rare letters alone."""
+    r = random.Random(3)
+    swears = [scripted(r, first, 3) for _ in range(4)]
+
+    def rows(seed: int, n: int) -> list[tuple]:
+        r, out = random.Random(seed), []
+        for i in range(n):
+            own, toxic = [scripted(r, first, r.randint(1, 4)) for _ in range(r.randint(15, 40))], int(i % 3 == 0)
+            for _ in range(4 * toxic):
+                own.insert(r.randrange(len(own)), r.choice(swears))
+            out.append((i, " ".join(own), "zh", "s", 0, toxic))
+        return out
+
+    model = toxicity.fit(*with_labels(spark, rows(1, 300), "toxic"))
+    assert len({int(x) for x in model.spelling.letters if x}) == toxicity.LETTERS
+    test = rows(2, 200)
+    flagged, truth = toxicity.flagged(model.score(pa.array([x[1] for x in test]), ["zh"] * len(test)), model), np.array([x[5] for x in test]) == 1
+    assert flagged[truth].mean() > 0.9 and flagged[~truth].mean() < 0.05
+
+
 def test_kneser_ney_probabilities_match_brute_force():
     """Class models and shared backoff from word lists, by the definition."""
     r = random.Random(6)
@@ -108,7 +138,7 @@ def test_kneser_ney_probabilities_match_brute_force():
             contexts[c][code >> toxicity.BITS] += n
 
     def shared(code):
-        p = 1 / toxicity.LETTERS
+        p = 1 / toxicity.END
         for k in range(toxicity.ORDER - 1):
             own = code & ((1 << toxicity.BITS * (k + 1)) - 1)
             first = own >> toxicity.BITS * k
@@ -222,6 +252,31 @@ def test_languages_without_a_profile_are_rejected(spark):
     assert np.mean([x.keep for x in own]) > 0.995
 
 
+def test_short_documents_are_contradicted_and_kept(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    profiles = langid.fit(docs)
+    short = [(i, " ".join(t.split()[: 3 + i % 6]), lang) for i, (t, lang) in enumerate(docs.where("length(text) > 300").select("text", "lang").limit(800).collect())]
+    right = [(i, t, lang, "a", 0) for i, t, lang in short]
+    wrong = [(i, t, {"en": "fr", "fr": "de", "de": "es", "es": "en"}[lang], "a", 0) for i, t, lang in short]
+    kept, lost = (np.mean([x.keep for x in langid.identify(spark.createDataFrame(rows, DOCS), profiles).collect()]) for rows in (right, wrong))
+    assert kept > 0.97 and lost < 0.5
+
+
+def test_letters_beyond_the_basic_plane(spark):
+    """Two languages in one supplementary script (letters of Gothic), told apart and kept."""
+    r, letters = random.Random(2), [chr(0x10330 + i) for i in range(26)]
+    text = lambda own: " ".join("".join(r.choice(own) for _ in range(r.randint(2, 6))) for _ in range(40))
+    rows = [(i, text(letters[:14] if i % 2 else letters[12:]), "xa" if i % 2 else "xb", "s", 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found = langid.identify(docs, langid.fit(docs)).collect()
+    assert all(x.language == x.declared for x in found) and np.mean([x.keep for x in found]) > 0.98
+
+
+def test_profiles_are_fitted_on_the_languages_of_most_documents(spark):
+    rows = [(i, "words of a text", f"l{i % 5}" if i < 50 else f"dirt{i}", "s", 0) for i in range(80)]
+    assert langid.fit(spark.createDataFrame(rows, DOCS), languages=5).languages == [f"l{i}" for i in range(5)]
+
+
 def test_language_odd_rows(spark, odd_docs, no_docs):
     profiles = langid.fit(spark.createDataFrame(language_rows(3, 60), DOCS))
     rows = langid.identify(odd_docs, profiles).collect()
