@@ -20,6 +20,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import regex
+import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -91,6 +92,13 @@ def load(path: str) -> Vocabulary:
     return of_file(Path(path).read_bytes())
 
 
+@functools.lru_cache(2)
+def counter(raw: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
+    """A native encoder of the same vocabulary and pattern, where only ids or their number are wanted."""
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+
 def merge_rows(matrix: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids padded with -1, count) of each row of byte ids padded with -1."""
     out, live = matrix.copy(), np.arange(len(matrix))

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import base64
-import functools
 from collections.abc import Iterator
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 
 from siteloom.llm import bpe, crf_lines, fm, langid, quotes, raking, rans, simhash, tiff, tiff_write, toxicity
@@ -33,12 +30,6 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-@functools.lru_cache(2)
-def _encoding(raw: bytes) -> tiktoken.Encoding:
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
-    return tiktoken.Encoding("own", pat_str=bpe.PATTERN, mergeable_ranks=ranks, special_tokens={})
-
-
 def token_ids(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     """(doc_id, ids) of the documents, ids as little-endian uint32; the vocabulary's bytes are broadcast.
 
@@ -47,7 +38,7 @@ def token_ids(docs: DataFrame, path: str = bpe.VOCABULARY) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(Path(path).read_bytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = _encoding(shared.value)
+        own = bpe.counter(shared.value)
         for batch in batches:
             for part in slices(batch):
                 rows = [None if t is None else own.encode_to_numpy(t, disallowed_special=()) for t in part.column(1).to_pylist()]
@@ -90,7 +81,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_raked_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The sampled documents and their probabilities."""
+    """The sampled documents, their tokens and topics, and the probabilities they were drawn at."""
     return raking.sample(table(spark, sf_dir, "documents"))
 
 

@@ -4,10 +4,11 @@ import random
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from llm_data import DOCS, prose
 
-from siteloom.llm import quotes, raking
+from siteloom.llm import bpe, quotes, raking
 
 
 def naive_rake(cells: pd.DataFrame, share: float) -> pd.Series:
@@ -51,15 +52,40 @@ def test_sampling_is_calibrated(spark):
     r = random.Random(2)
     rows = [(i, prose(r, r.randint(5, 40)), r.choice(["en", "en", "en", "de"]), r.choice(["a", "a", "a", "b", "c"]), 0) for i in range(6000)]
     docs = spark.createDataFrame(rows, DOCS).repartition(4)
-    raked = raking.rake(raking.cells(docs)).toPandas()
+    model = raking.fit_topics(docs)
+    measured = raking.measured(docs, model).toPandas().set_index("doc_id")
+    n = {x.doc_id: x.n_tokens for x in bpe.tokenize(docs).collect()}
+    assert (measured.tokens.sort_index() == pd.Series(n).sort_index()).all()
+    cells = measured.reset_index().groupby(["source", "lang", "topic"], as_index=False).tokens.sum().rename(columns={"tokens": "have"})
+    cells["want"] = naive_rake(cells, raking.SHARE)
     found = raking.sample(docs).toPandas()
-    n = {i: len(t.split()) for i, t, *_ in rows}
     assert (found.tokens == found.doc_id.map(n)).all()
+    p = found.merge(cells, on=["source", "lang", "topic"])
+    assert len(p) == len(found) and np.allclose(p.probability, p.want / p.have, rtol=1e-3)
     for margin in ("source", "lang", "topic"):
-        assert np.allclose(found.groupby(margin).tokens.sum(), raked.groupby(margin).want.sum(), rtol=0.12)
+        assert np.allclose(found.groupby(margin).tokens.sum(), cells.groupby(margin).want.sum(), rtol=0.15)
+    held = raking.reached(cells)
+    assert np.allclose(held.want, held.target, rtol=0.02) and abs(held.target.sum() / 3 / cells.have.sum() - raking.SHARE) < 1e-9
     assert {x.doc_id for x in raking.mix(docs).collect()} == set(found.doc_id)
 
 
+def test_topics_follow_vocabularies_within_languages(spark):
+    """Each language has its own words and, in its own words too, the same three subjects; a topic is a subject of a language, never a language."""
+    r = random.Random(4)
+    words = {(x, k): [prose(r, 1) + "xyz"[k] * 3 + x for _ in range(30)] for x in ("en", "de") for k in range(-1, 3)}
+    rows = []
+    for i in range(900):
+        x, k = r.choice(["en", "de"]), r.randrange(3)
+        rows.append((i, " ".join(r.choice(words[x, -1] if r.random() < 0.6 else words[x, k]) for _ in range(60)), x, f"subject{k}", 0))
+    docs = spark.createDataFrame(rows, DOCS)
+    found = raking.measured(docs, raking.fit_topics(docs)).toPandas()
+    kinds = found.groupby("topic").apply(lambda t: (t.groupby(["lang", "source"]).size().max() / len(t)), include_groups=False)
+    assert (kinds * found.groupby("topic").size()).sum() / len(found) > 0.95
+    assert found.groupby(["lang", "source"]).topic.agg(lambda t: t.value_counts(normalize=True).iloc[0]).min() > 0.4
+    empty = raking.fitted_topics(pa.array([], pa.large_string()), [])
+    assert empty.of(pa.array(["some words here", None, ""], pa.string()), pa.array(["en", None, "en"], pa.string())).tolist() == [0, 0, 0]
+
+
 def test_mixing_odd_rows(spark, odd_docs, no_docs):
     rows = raking.mix(odd_docs)
     assert rows.columns == odd_docs.columns
