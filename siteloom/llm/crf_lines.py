@@ -3,7 +3,8 @@
 Every line of a document is content or boilerplate. Lines emit features of their bytes and words; a chain over the lines of a document adds weights for
 neighbouring labels. Viterbi decoding, all documents of a slice side by side, finds the best labels; the share of a document's characters that lies in content
 lines decides whether it is retained. Fitted by gradient ascent on the conditional likelihood (forward-backward) over labelled documents, whose
-lines take their document's quality as label.
+lines take their document's quality as label, and over as many spliced ones: runs of lines of good and of bad documents in turn, so that chains change label and
+the weights of neighbouring labels are learnt from both.
 
 Scale: the labelled sample is bounded by ``PER_CLASS`` documents; labelling is map-only. A document of any number of lines is decoded whole.
 """
@@ -24,6 +25,8 @@ from siteloom.llm.stats import class_counts, distinct
 
 #: Labelled documents of each class at most, lines of a training chain (longer documents give several chains), steps and rate of the ascent.
 PER_CLASS, CHAIN, STEPS, RATE, DECAY = 1500, 24, 150, 0.08, 1e-3
+#: Lines that a document gives a spliced chain at most, and the orders in which a good (1) and a bad document (0) are spliced.
+RUN, ORDERS = 8, ((0, 1), (1, 0), (0, 1, 0), (1, 0, 1))
 #: Share of a document's characters in content lines from which it is retained.
 SHARE = 0.5
 BOILERPLATE, CONTENT = 0, 1
@@ -150,9 +153,34 @@ def marks(texts: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray, np.nda
     offsets, flat = lines(texts)
     if not len(flat):
         return offsets, np.zeros(0, np.int8), np.zeros(0, np.int64)
-    first = np.zeros(len(flat), bool)
+    return offsets, viterbi(features(flat, first_lines(offsets)) @ model.emit, offsets, model), pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+
+
+def spliced(flat: pa.Array, offsets: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(n + 1 offsets, line numbers, labels) of documents made of runs of lines of one good and one bad document each; every document of the larger class is used once, those of the other in turn.
+
+    A run is taken from where the last run of the same document ended, and from its start again at its end.
+    """
+    some = np.diff(offsets) > 0
+    good, bad = np.flatnonzero(some & (y == 1)), np.flatnonzero(some & (y == 0))
+    ends, lines_of, labels = [0], [], []
+    for i in range(max(len(good), len(bad))):
+        pair, at = {1: good[i % len(good)], 0: bad[i % len(bad)]}, {1: 0, 0: 0}
+        for c in ORDERS[i % len(ORDERS)]:
+            n = offsets[pair[c] + 1] - offsets[pair[c]]
+            size = min(n, 1 + (i * 5 + len(ends) * 3 + c) % RUN)
+            start = at[c] if at[c] + size <= n else 0
+            lines_of.append(offsets[pair[c]] + start + np.arange(size))
+            labels.append(np.full(size, c))
+            at[c] = start + size
+        ends.append(sum(map(len, lines_of[-len(ORDERS[i % len(ORDERS)]) :])) + ends[-1])
+    return np.array(ends), np.concatenate(lines_of), np.concatenate(labels)
+
+
+def first_lines(offsets: np.ndarray) -> np.ndarray:
+    first = np.zeros(offsets[-1], bool)
     first[offsets[:-1][np.diff(offsets) > 0]] = True
-    return offsets, viterbi(features(flat, first) @ model.emit, offsets, model), pc.utf8_length(flat).to_numpy(zero_copy_only=False).astype(np.int64)
+    return first
 
 
 def fit_sample(texts: pa.Array, y: np.ndarray) -> Model | None:
@@ -161,10 +189,10 @@ def fit_sample(texts: pa.Array, y: np.ndarray) -> Model | None:
     row = row_of(offsets)
     if not len(flat) or any(not (y[row] == c).any() for c in (0, 1)):
         return None
-    first = np.zeros(len(flat), bool)
-    first[offsets[:-1][np.diff(offsets) > 0]] = True
     starts = np.flatnonzero((ragged_index(np.zeros(len(texts), np.int64), np.diff(offsets)) % CHAIN) == 0)
-    return train(features(flat, first), np.append(starts, len(flat)), y[row])
+    ends, own, labels = spliced(flat, offsets, y)
+    x = np.concatenate([features(flat, first_lines(offsets)), features(flat.take(pa.array(own)), first_lines(ends))])
+    return train(x, np.concatenate([starts, len(flat) + ends]), np.concatenate([y[row], labels]))
 
 
 def _fit(rows: pa.Table) -> Model | None:

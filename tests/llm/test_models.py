@@ -7,6 +7,7 @@ import itertools
 import math
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -346,6 +347,34 @@ def test_line_labels_on_held_out_documents(spark):
         assert abs(found[i].content_share - share) < 1e-9 and found[i].keep == (share >= crf_lines.SHARE)
 
 
+def test_line_labels_on_held_out_spliced_documents():
+    """Half of the labelled documents train; of the other half, good and bad ones are spliced, so that chains change label."""
+    rows = duckdb.sql("select d.doc_id, d.text, l.quality from '/root/testdata/sf0.1/documents.parquet' d join (select doc_id, max(quality) as quality from '/root/testdata/sf0.1/labels.parquet' group by doc_id) l using (doc_id) where l.quality is not null and d.text is not null").fetchall()
+    rows.sort(key=lambda x: x[0] * 2654435761 % 2**32)
+    model = crf_lines.fit_sample(pa.array([x[1] for x in rows[::2]]), np.array([x[2] for x in rows[::2]]))
+    assert model.move[0, 0] > model.move[0, 1] and model.move[1, 1] > model.move[1, 0]
+    r, texts, truth = random.Random(1), [], []
+    good, bad = ([[y.strip() for y in x[1].split("\n") if y.strip()] for x in rows[1::2] if x[2] == q] for q in (1, 0))
+    for _ in range(400):
+        g, b = [(x, "C") for x in r.choice(good)], [(x, "B") for x in r.choice(bad)]
+        own = r.choice([g + b, b + g, b[: 1 + len(b) // 2] + g + b[1 + len(b) // 2 :], g[: 1 + len(g) // 2] + b + g[1 + len(g) // 2 :]])
+        texts.append("\n".join(x for x, _ in own))
+        truth += [m for _, m in own]
+    offsets, labels, _ = crf_lines.marks(pa.array(texts), model)
+    right = np.array([m == "C" for m in truth]) == (labels == crf_lines.CONTENT)
+    assert right.mean() > 0.93
+    assert np.mean([0 < labels[a:b].mean() < 1 for a, b in itertools.pairwise(offsets)]) > 0.9
+
+
+def test_spliced_chains_hold_lines_and_labels():
+    texts = pa.array(["a\nb\nc", "X", None, "d", "Y\nZ", "\n \n"])
+    offsets, flat = crf_lines.lines(texts)
+    ends, own, labels = crf_lines.spliced(flat, offsets, np.array([1, 0, 1, 1, 0, 0]))
+    assert ends[0] == 0 and ends[-1] == len(own) == len(labels) and (np.diff(ends) > 0).all()
+    assert all((flat[int(i)].as_py() in "abcd") == (c == 1) for i, c in zip(own, labels, strict=True))
+    assert all(len(set(labels[a:b].tolist())) == 2 for a, b in itertools.pairwise(ends))
+
+
 def test_viterbi_matches_all_paths():
     r = np.random.default_rng(3)
     for _ in range(20):
