@@ -1,12 +1,15 @@
 """Near duplicates by SimHash and meet-in-the-middle ball hashing.
 
-A fingerprint has ``BANDS`` parts of ``BITS`` bits, each bit the sign of a vote of the document's distinct content words,
-and of the character n-grams of runs in scripts without spaces, or of very many letters.
-Two documents collide when one part differs in at most ``RADIUS = 2`` bits: every part is emitted with all its variants
-within half of that radius (itself and each single flip), the variants are shuffled, and two parts at distance 2 or less
+A fingerprint has ``PARTS`` parts of 28 bits, each bit the sign of a vote of the document's distinct content words,
+and of the character n-grams of runs in scripts without spaces, or of very many letters. It is searched in bands: runs of its bits, in their own order and then in fixed random orders.
+Two documents collide when one band differs in at most ``RADIUS = 2`` bits: every band is emitted with all its variants
+within half of that radius (itself and each single flip), the variants are shuffled, and two bands at distance 2 or less
 share one. Collisions are deduplicated and verified by the Hamming distance of whole fingerprints; the groups are the connected
 components of verified pairs, and the smallest doc_id of each stays.
 
+Bands are as many as it takes for a pair at any distance that is accepted to collide with a probability of ``RECALL``; up to 20 bits of 196 a collision is certain. Bands are as long as it
+takes for documents to collide by chance a few times only, which follows from their number (``search``).
+
 Scale: only (variant, id) pairs of 16 bytes are shuffled, never texts. Identical fingerprints are collapsed before, so
 a group of any number of exact copies emits the variants of one. A bucket of up to ``PAIRWISE`` members emits all pairs; a larger one is
 searched breadth first over the members' fingerprints, which finds the same components without its pairs.
@@ -14,6 +17,7 @@ searched breadth first over the members' fingerprints, which finds the same comp
 
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 
@@ -26,8 +30,10 @@ from pyspark.sql import functions as F
 
 from siteloom.llm.common import checkpoint, hashes, map_slices, mixed, row_of, words
 
-#: Parts of a fingerprint, bits of a part, radius of a collision within a part, and of a verified pair over all bits.
-BANDS, BITS, RADIUS, MOST = 7, 28, 2, 40
+#: Parts of a fingerprint, bits of a part, radius of a collision within a band, distance of a verified pair over all bits, and the least probability that a pair at that distance collides.
+PARTS, BITS, RADIUS, MOST, RECALL = 7, 28, 2, 30, 0.9
+#: Bits that a band has beyond those that number the documents, at least; low bits of a key that name the flip.
+SPARE, FLIP = 6, 6
 #: Letters of a content word at least; a document without one votes with all its words.
 LETTERS = 4
 #: Scripts without spaces between words, letters in a row that are no word either, and characters of the n-grams that vote in place of both.
@@ -37,8 +43,9 @@ _RUN = re.compile(rf"[^\W\d_]{{{RUN}}}")
 PAIRWISE = 24
 #: Ids that are broadcast at most, of 8 bytes each.
 BROADCAST = 500_000
-COLUMNS = [f"b{i}" for i in range(BANDS)]
-LANES = -(-BANDS * BITS // 8)
+COLUMNS = [f"b{i}" for i in range(PARTS)]
+WHOLE = PARTS * BITS
+LANES = -(-WHOLE // 8)
 
 
 def lanes(vocabulary: pa.Array) -> np.ndarray:
@@ -70,11 +77,11 @@ def spread(row: np.ndarray, ids: np.ndarray, vocabulary: pa.Array, runs: np.ndar
 
 
 def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(n, BANDS) parts, and whether the text has any word; a null, empty or wordless text has no fingerprint."""
+    """(n, PARTS) parts, and whether the text has any word; a null, empty or wordless text has no fingerprint."""
     n = len(texts)
     offsets, ids, vocabulary = words(texts)
     if not len(ids):
-        return np.zeros((n, BANDS), np.int32), np.zeros(n, bool)
+        return np.zeros((n, PARTS), np.int32), np.zeros(n, bool)
     row = row_of(offsets)
     known, runs = len(vocabulary), unspaced(vocabulary)
     if runs.any():
@@ -97,7 +104,7 @@ def fingerprints(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     sums = np.zeros((n, LANES * 8), np.int32)
     present = np.flatnonzero(count)
     sums[present] = np.add.reduceat(votes.astype(np.int32), first[:-1], axis=0)
-    bits = (2 * sums[:, : BANDS * BITS] > count[:, None]).reshape(n, BANDS, BITS)
+    bits = (2 * sums[:, :WHOLE] > count[:, None]).reshape(n, PARTS, BITS)
     return (bits @ (1 << np.arange(BITS, dtype=np.int64))).astype(np.int32), count > 0
 
 
@@ -107,32 +114,58 @@ def fingerprint_table(docs: DataFrame, text: str = "text") -> DataFrame:
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         parts, has = fingerprints(batch.column(text))
         has &= pc.is_valid(batch.column("doc_id")).to_numpy(zero_copy_only=False)
-        return pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(has)), *(pa.array(parts[has, i]) for i in range(BANDS))], ["doc_id", *COLUMNS])
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").filter(pa.array(has)), *(pa.array(parts[has, i]) for i in range(PARTS))], ["doc_id", *COLUMNS])
 
     return map_slices(docs.withColumn("doc_id", F.col("doc_id").cast("long")), ["doc_id", text], run, "doc_id long, " + ", ".join(f"{c} int" for c in COLUMNS), text)
 
 
-def variants(reps: DataFrame) -> DataFrame:
-    """(key, doc_id): key holds the part's number, a variant of it, and in the 5 low bits which flip made it (0: none)."""
-    keys = [f"transform(sequence(0, {BITS}), j -> shiftleft(shiftleft({i}L, {BITS}) + ({c} ^ if(j > 0, shiftleft(1, j - 1), 0)), 5) + j)" for i, c in enumerate(COLUMNS)]
-    return reps.select(F.explode(F.expr(f"concat({', '.join(keys)})")).alias("key"), "doc_id")
+def search(n: int) -> tuple[int, int]:
+    """(bits of a band, number of bands) for so many distinct fingerprints."""
+    bits = min(58 - FLIP - 10, max(BITS, n.bit_length() + SPARE))
+    meets = sum(math.comb(MOST, k) * math.comb(WHOLE - MOST, bits - k) for k in range(RADIUS + 1)) / math.comb(WHOLE, bits)
+    return bits, max(PARTS, math.ceil(math.log(1 - RECALL) / math.log(1 - meets)))
+
+
+def bands(parts: np.ndarray, bits: int, number: int) -> np.ndarray:
+    """(n, number) runs of ``bits`` bits of fingerprints (n, PARTS), none of which share a bit within one order of all bits; the first order is their own."""
+    each = WHOLE // bits
+    whole = ((parts[:, :, None] >> np.arange(BITS)) & 1).reshape(len(parts), WHOLE).astype(np.int64)
+    out, power = np.zeros((len(parts), number), np.int64), 1 << np.arange(bits, dtype=np.int64)
+    for k in range(number):
+        order = np.random.default_rng(k // each).permutation(WHOLE) if k >= each else np.arange(WHOLE)
+        out[:, k] = whole[:, order[k % each * bits : (k % each + 1) * bits]] @ power
+    return out
+
+
+def variants(reps: DataFrame, bits: int = BITS, number: int = PARTS) -> DataFrame:
+    """(key, doc_id): key holds the band's number, a variant of it, and in the FLIP low bits which flip made it (0: none)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = bands(np.stack([batch.column(c).to_numpy() for c in COLUMNS], 1), bits, number) if batch.num_rows else np.zeros((0, number), np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(found) + 1, dtype=np.int32) * number), pa.array(found.ravel()))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists], ["doc_id", "bands"])
+
+    cut = reps.select("doc_id", *COLUMNS).mapInArrow(run, "doc_id long, bands array<bigint>")
+    flips = f"transform(sequence(0, {bits}), j -> shiftleft(shiftleft(cast(i as bigint), {bits}) + (v ^ if(j > 0, shiftleft(1L, j - 1), 0L)), {FLIP}) + j)"
+    return cut.select(F.explode(F.expr(f"flatten(transform(bands, (v, i) -> {flips}))")).alias("key"), "doc_id")
 
 
 def collisions(rows: DataFrame) -> DataFrame:
     """(a, b, hot): pairs a < b that share a variant; of a bucket above PAIRWISE, (member, null, bucket) instead.
 
-    Rows come sorted by bucket and stream through; only one bucket's members are held at a time. A pair that meets in several buckets of a part is emitted in one only:
-    parts that are equal meet as themselves, a part and its flip where the smaller flip number is 0 and not in both.
+    Rows come sorted by bucket and stream through; only one bucket's members are held at a time. A pair that meets in several buckets of a band is emitted in one only:
+    bands that are equal meet as themselves, a part and its flip where the smaller flip number is 0 and not in both.
     """
 
     def emit(key: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        bucket = key >> 5
+        bucket = key >> FLIP
         starts = np.flatnonzero(np.diff(bucket, prepend=bucket[0] - 1))
         sizes = np.diff(np.append(starts, len(bucket)))
         a, b, hot_id, hot = [], [], [], []
         for m in np.unique(sizes[(sizes > 1) & (sizes <= PAIRWISE)]):
             at = starts[sizes == m][:, None] + np.arange(m)
-            flips, own = key[at] & 31, ids[at]
+            flips, own = key[at] & ((1 << FLIP) - 1), ids[at]
             for i in range(m - 1):
                 # both by a flip of the same bit: equal parts, which meet unflipped as well
                 fine = (flips[:, i : i + 1] != flips[:, i + 1 :]) | (flips[:, i : i + 1] == 0)
@@ -140,7 +173,7 @@ def collisions(rows: DataFrame) -> DataFrame:
                 a.append(np.minimum(x, y))
                 b.append(np.maximum(x, y))
         for s, m in zip(starts[sizes > PAIRWISE], sizes[sizes > PAIRWISE], strict=True):
-            if (key[s] & 31) and key[s] == key[s + m - 1]:
+            if (key[s] & ((1 << FLIP) - 1)) and key[s] == key[s + m - 1]:
                 continue  # equal parts only: they meet unflipped
             hot_id.append(ids[s : s + m])
             hot.append(bucket[s : s + m])
@@ -157,8 +190,8 @@ def collisions(rows: DataFrame) -> DataFrame:
             key, ids = (batch.column(i).to_numpy() for i in range(2))
             if not len(key):
                 continue
-            cut = int(np.searchsorted(key, key[-1] >> 5 << 5))
-            if kept and kept[-1][0][-1] >> 5 != key[-1] >> 5 or cut:
+            cut = int(np.searchsorted(key, key[-1] >> FLIP << FLIP))
+            if kept and kept[-1][0][-1] >> FLIP != key[-1] >> FLIP or cut:
                 yield from emit(np.concatenate([*(k for k, _ in kept), key[:cut]]), np.concatenate([*(i for _, i in kept), ids[:cut]]))
                 kept = []
             kept.append((key[cut:], ids[cut:]))
@@ -166,7 +199,7 @@ def collisions(rows: DataFrame) -> DataFrame:
             yield from emit(np.concatenate([k for k, _ in kept]), np.concatenate([i for _, i in kept]))
 
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(parts, F.expr("shiftright(key, 5)")).sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot long")
+    return rows.repartition(parts, F.expr(f"shiftright(key, {FLIP})")).sortWithinPartitions("key").mapInArrow(run, "a long, b long, hot long")
 
 
 def distance(left: str, right: str) -> F.Column:
@@ -224,10 +257,10 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
     mapped to itself. Ties cannot occur: ids order the group. Texts of any length vote whole. Other columns are not read.
     """
     prints = checkpoint(fingerprint_table(docs, text).dropDuplicates())
-    same = prints.groupBy(*COLUMNS).agg(F.min("doc_id").alias("rep"))
+    same = checkpoint(prints.groupBy(*COLUMNS).agg(F.min("doc_id").alias("rep")))
     reps = same.select(F.col("rep").alias("doc_id"), *COLUMNS)
     copies = prints.join(same, COLUMNS).where("doc_id != rep").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    found = checkpoint(collisions(variants(reps)))
+    found = checkpoint(collisions(variants(reps, *search(same.count()))))
     a, b = reps.alias("l"), reps.alias("r")
     pairs = found.where("hot is null").select("a", "b").distinct()
     verified = pairs.join(a, F.col("a") == F.col("l.doc_id")).join(b, F.col("b") == F.col("r.doc_id")).where(distance("l", "r") <= MOST).select("a", "b")
@@ -236,19 +269,24 @@ def near_duplicates(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: the rows of ``docs`` without those of documents that another of their group stands for.
+    """Pipeline stage: the rows of ``docs`` without those of documents that another of their group stands for; the smallest id of a group stays.
 
-    Rows without id, text or word stay. Of rows that share a doc_id, one stays: such ids are found on the id column alone, and only their rows are shuffled whole.
+    Rows without id, text or word stay. Of rows that share a doc_id and a text, one stays. Rows that share a doc_id but not a text are documents of their own, ordered behind those whose
+    id is theirs alone; such ids are found on the id column, and only their rows are shuffled whole. An empty table stays empty; columns of any name pass through.
     """
-    gone = checkpoint(near_duplicates(docs).select("doc_id").distinct())
     repeated = checkpoint(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id"))
-    left = chosen(docs, gone, "left_anti")
     if repeated.isEmpty():
-        return left.select(*docs.columns)
-    again = chosen(left, repeated, "left_semi").dropDuplicates(["doc_id"])
-    return chosen(left, repeated, "left_anti").unionByName(again).select(*docs.columns)
-
-
-def chosen(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+        return chosen(docs, checkpoint(near_duplicates(docs).select("doc_id").distinct()), "left_anti", "doc_id").select(*docs.columns)
+    node = "node"
+    while node in {c.lower() for c in docs.columns}:
+        node += "_"
+    own = F.xxhash64("doc_id", F.coalesce("text", F.lit("\x00"))).bitwiseAND(F.lit(2**61 - 1)) + F.lit(2**62)
+    parts = chosen(docs, repeated, "left_anti", "doc_id").withColumn(node, F.col("doc_id").cast("long")), chosen(docs, repeated, "left_semi", "doc_id").withColumn(node, own).dropDuplicates([node])
+    found = near_duplicates(parts[0].unionByName(parts[1]).select(F.col(node).alias("doc_id"), "text"))
+    gone = checkpoint(found.select(F.col("doc_id").alias(node)).distinct())
+    return chosen(parts[0], gone, "left_anti", node).unionByName(chosen(parts[1], gone, "left_anti", node)).select(*docs.columns)
+
+
+def chosen(docs: DataFrame, ids: DataFrame, how: str, key: str) -> DataFrame:
     """``docs`` with or without the ids, which are broadcast up to BROADCAST of them, so that no text moves; beyond that a shuffle join."""
-    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, "doc_id", how)
+    return docs.join(F.broadcast(ids) if ids.count() <= BROADCAST else ids, key, how)
