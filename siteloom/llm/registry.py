@@ -97,7 +97,7 @@ def queries() -> dict:
 
 #: The mail of op5 need not be written out in SQL: a message's lines are its turn's own at level 0 and its predecessors' at levels 1 to 3. It holds where no turn quotes by itself.
 QUOTES_SQL = r"""
-WITH RECURSIVE turns AS (SELECT conv_id * 100000 + turn AS id, role, text, lag(text, 1) OVER w AS p1, lag(text, 2) OVER w AS p2, lag(text, 3) OVER w AS p3 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
+WITH RECURSIVE turns AS (SELECT CAST(conv_id AS BIGINT) * 4294967296 + turn AS id, role, text, lag(text, 1) OVER w AS p1, lag(text, 2) OVER w AS p2, lag(text, 3) OVER w AS p3 FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)),
 parts AS (SELECT id, 0 AS level, text AS part FROM turns UNION ALL SELECT id, 1, p1 FROM turns UNION ALL SELECT id, 2, p2 FROM turns UNION ALL SELECT id, 3, p3 FROM turns),
 split AS (SELECT id, level, string_split_regex(part, '\r\n|\n|\r') AS lines FROM parts WHERE part IS NOT NULL),
 numbered AS (SELECT id, level, unnest(lines) AS line, unnest(range(len(lines))) AS spot FROM split),

@@ -132,7 +132,7 @@ def test_rebuilds_conversations_from_mail(spark):
     turns = [(c, t, "user" if t % 2 == 0 else "assistant", prose(r, r.randint(3, 30)) + (f"\n{prose(r, 8)}" if t % 3 else "")) for c in range(25) for t in range(r.randint(1, 9))]
     table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
     found = quotes.conversations(quotes.as_mail(table)).collect()
-    assert {(x.conversation_id // 100000, x.turn, x.role, x.text) for x in found} == {(c, t, role, text) for c, t, role, text in turns}
+    assert {(x.conversation_id // quotes.TURNS, x.turn, x.role, x.text) for x in found} == {(c, t, role, text) for c, t, role, text in turns}
     assert all(x.depth == x.turn for x in found)
 
 
@@ -141,9 +141,9 @@ def test_short_turns_keep_a_conversation_whole(spark, short):
     """Also where other conversations, interleaved with it, have the same short turn."""
     texts = [["the first words of harbour " + c, "the answer about ships " + c, short, "what follows after that " + c, short, "the last words of all " + c] for c in "ab"]
     mail = quotes.as_mail(spark.createDataFrame([(c, t, "user", x) for c in range(2) for t, x in enumerate(texts[c])], "conv_id long, turn long, role string, text string"))
-    mail = mail.withColumn("position", mail.message_id % 100000 * 2 + (mail.message_id / 100000).cast("long"))
+    mail = mail.withColumn("position", mail.message_id % quotes.TURNS * 2 + (mail.message_id / quotes.TURNS).cast("long"))
     found = quotes.conversations(mail).collect()
-    assert {(x.conversation_id // 100000, x.turn, x.depth, x.message_id % 100000, x.text) for x in found} == {(c, t, t, t, x or "") for c in range(2) for t, x in enumerate(texts[c])}
+    assert {(x.conversation_id // quotes.TURNS, x.turn, x.depth, x.message_id % quotes.TURNS, x.text) for x in found} == {(c, t, t, t, x or "") for c in range(2) for t, x in enumerate(texts[c])}
 
 
 def test_short_first_turn_and_trimmed_quotes(spark):
@@ -169,6 +169,23 @@ def test_shared_lines_link_to_the_last_before(spark):
     assert all(found[i].parent_id == i - 1 for i in range(1, 2000, 2)) and all(found[i].parent_id is None for i in range(0, 2000, 2))
 
 
+def test_lines_spread_over_ranges_find_the_last_owner(spark):
+    """A few hot lines, more rows each than a range holds, against all rows before; ranges without an owner too."""
+    r = random.Random(6)
+    rows = []
+    for i in range(3000):
+        h = r.choice([5, 5, 5, 5, 9, 9, 11, r.randrange(1000)])
+        rows.append((i, i // 3, 0 if r.random() < (0.002 if h == 5 else 0.3) else r.choice([1, 2]), h, h, 0))
+    found = {x.message_id: x.original_id for x in quotes.originals(spark.createDataFrame(rows, "message_id long, position long, level int, hash long, hash2 long, at int").repartition(7)).collect()}
+    owner, expected = {}, {}
+    for i, _, level, h, _, _ in rows:
+        if level == 0:
+            owner[h] = i
+        elif h in owner:
+            expected[i] = owner[h]
+    assert found == expected
+
+
 def test_quotes_odd_rows(spark):
     rows = [(1, 1, "x", "some original words"), (1, 1, "x", "some original words"), (2, None, None, None), (3, 3, "x", ""), (None, 4, "x", "> some original words"), (5, 5, "x", ">>>>\n> \n" + "> some original words\n" * 3000), (6, 0, "x", "> some original words")]
     table = spark.createDataFrame([(*x, 1, "k") for x in rows], MAIL + ", depth int, own string")
