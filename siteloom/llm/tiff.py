@@ -30,7 +30,7 @@ SCHEMA = "doc_id long, page int, width int, height int, bits int, samples int, c
 
 
 def directories(data: bytes) -> Iterator[dict[int, tuple]]:
-    """Tag -> values of each image directory; a directory that was walked before ends the chain."""
+    """Tag -> values of each image directory, each followed by its subordinate ones (tag 330); a directory that was walked before ends its chain."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
     if order is None or len(data) < 8:
         raise ValueError("no TIFF header")
@@ -38,10 +38,12 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
     if version not in (42, 43):
         raise ValueError("no TIFF version")
     big = version == 43
-    place = struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]
     count_at, entry, word = ("Q", 20, "Q") if big else ("H", 12, "I")
-    seen = set()
-    while place and place not in seen:
+    todo, seen = [struct.unpack_from(order + ("Q" if big else "I"), data, 8 if big else 4)[0]], set()
+    while todo:
+        place = todo.pop()
+        if not place or place in seen:
+            continue
         seen.add(place)
         (n,) = struct.unpack_from(order + count_at, data, place)
         place += struct.calcsize(order + count_at)
@@ -58,7 +60,7 @@ def directories(data: bytes) -> Iterator[dict[int, tuple]]:
             if kind in _LETTERS:
                 tags[tag] = struct.unpack_from(f"{order}{count}{_LETTERS[kind]}", data, value)
         yield tags
-        (place,) = struct.unpack_from(order + word, data, place + n * entry)
+        todo += [struct.unpack_from(order + word, data, place + n * entry)[0], *reversed(tags.get(330, ()))]
 
 
 def packbits(data: bytes, limit: int) -> bytes:
@@ -117,6 +119,9 @@ def inflate(data: bytes, limit: int) -> bytes:
     return zlib.decompressobj().decompress(data, limit)
 
 
+#: Bits of a sample that each predictor is undone for, and each byte with its bits in the other order (fill order 2).
+PREDICTED = {1: (1, 2, 4, 8, 16, 32, 64), 2: (8, 16, 32, 64), 3: (16, 32, 64)}
+REVERSED = bytes(int(f"{b:08b}"[::-1], 2) for b in range(256))
 DECODERS = {NONE: lambda data, limit: bytes(data[:limit]), LZW: lzw, ADOBE_DEFLATE: inflate, DEFLATE: inflate, PACKBITS: packbits}
 
 
@@ -124,11 +129,13 @@ def undo(block: np.ndarray, predictor: int, bits: int, samples: int, order: str)
     """``block``: (rows, bytes of a row) as decompressed; what comes back is little-endian."""
     size = max(1, bits // 8)
     rows = len(block)
+    if predictor == 1 and size == 1:
+        return block
     if predictor == 3:  # bytes of floats by significance, each row a running sum
         block = np.cumsum(block.reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, size, -1)
         return np.ascontiguousarray(block.transpose(0, 2, 1)[:, :, ::-1]).reshape(rows, -1)
-    if size == 1 or bits % 8:
-        return np.cumsum(block.reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, -1) if predictor == 2 and bits == 8 else block
+    if size == 1:
+        return np.cumsum(block.reshape(rows, -1, samples), axis=1, dtype=np.uint8).reshape(rows, -1)
     values = block.view(f"{order}u{size}").astype(f"<u{size}")
     if predictor == 2:
         values = np.cumsum(values.reshape(rows, -1, samples), axis=1, dtype=values.dtype).reshape(rows, -1)
@@ -147,6 +154,11 @@ def page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
         raise ValueError(f"page of {width} x {height} x {samples} at {depths} bits")
     if compression not in DECODERS:
         raise ValueError(f"compression {compression}")
+    if bits not in PREDICTED.get(predictor, ()):
+        raise ValueError(f"predictor {predictor} at {bits} bits")
+    fill = one(266, 1)
+    if fill not in (1, 2):
+        raise ValueError(f"fill order {fill}")
     wide, high = (one(322, 0), one(323, 0)) if tiled else (width, min(one(278, height), height))
     offsets, counts = tags.get(324 if tiled else 273, ()), tags.get(325 if tiled else 279, ())
     planes, inner = (samples, 1) if planar == 2 else (1, samples)
@@ -159,7 +171,8 @@ def page(data: bytes, tags: dict[int, tuple]) -> tuple[dict, bytes]:
     out = np.zeros((planes, height, page_bytes), np.uint8)
     for i, (plane, y, x) in enumerate(itertools.product(range(planes), range(down), range(across))):
         rows = high if tiled else min(high, height - y * high)
-        raw = DECODERS[compression](data[offsets[i] : offsets[i] + counts[i]], rows * row_bytes)
+        packed = data[offsets[i] : offsets[i] + counts[i]]
+        raw = DECODERS[compression](packed.translate(REVERSED) if fill == 2 else packed, rows * row_bytes)
         block = np.zeros(rows * row_bytes, np.uint8)  # what is cut off stays 0
         block[: len(raw)] = np.frombuffer(raw, np.uint8)
         block = undo(block.reshape(rows, row_bytes), predictor, bits, inner, order)
@@ -194,7 +207,8 @@ def pages(data: bytes) -> Iterator[tuple[int, dict, bytes | None, str | None]]:
 def decode(files: DataFrame, column: str = "image") -> DataFrame:
     """One row a page (SCHEMA) of files (doc_id, image: binary).
 
-    A damaged page, or a header or directory chain that breaks off, is a row with an error and null numbers; pages before and after it are decoded. A null or empty image gives no
+    A damaged page, or a header or directory chain that breaks off, is a row with an error and null numbers; pages before and after it are decoded. So is a page of a form that is not decoded: another
+    compression, predictor, depth or fill order, or more than MOST (1 GiB) of samples. Subordinate images are pages behind their own. A null or empty image gives no
     rows. A strip that ends early is filled with zeros. Repeated rows give repeated pages; an empty table none; other columns are not read.
     """
     names = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -1,14 +1,14 @@
-"""TIFF files from texts, as media to decode: the bytes of a text are the grey samples of its pages.
+"""TIFF files from texts, as media to decode: the bytes of a text are the samples of its pages, the least significant of a sample first.
 
-The mode, and with it byte order, compression, predictor and strips or tiles, follows from the document's number, so that a table of documents holds all of them.
+The mode, and with it byte order, compression, predictor, strips or tiles, samples and their bits, planes and the size of places, follows from the document's number, so that a table of documents holds all of them.
 """
 
 from __future__ import annotations
 
-import itertools
 import struct
 import zlib
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -17,25 +17,48 @@ from pyspark.sql import DataFrame
 from siteloom.llm import tiff
 from siteloom.llm.common import slices
 
-WIDTH, HEIGHT = 64, 256
-#: (byte order, compression, predictor, tile size or 0, rows of a strip)
-MODES = [("<", tiff.NONE, 1, 0, 64), (">", tiff.PACKBITS, 1, 0, 32), ("<", tiff.LZW, 2, 0, 128), (">", tiff.ADOBE_DEFLATE, 2, 0, 256), ("<", tiff.ADOBE_DEFLATE, 1, 32, 0), (">", tiff.LZW, 1, 64, 0), ("<", tiff.DEFLATE, 2, 16, 0), (">", tiff.PACKBITS, 2, 32, 0)]
+#: Pixels of a row, and bytes of a page.
+WIDTH, PAGE = 64, 64 * 256
+
+
+class Mode(NamedTuple):
+    order: str
+    compression: int
+    predictor: int
+    tile: int  # pixels of a tile's side; 0: strips
+    strip: int  # rows of a strip
+    samples: int = 1
+    bits: int = 8
+    planes: bool = False
+    big: bool = False
+
+
+MODES = [
+    Mode("<", tiff.NONE, 1, 0, 64), Mode(">", tiff.PACKBITS, 1, 0, 32), Mode("<", tiff.LZW, 2, 0, 128), Mode(">", tiff.ADOBE_DEFLATE, 2, 0, 256), Mode("<", tiff.ADOBE_DEFLATE, 1, 32, 0), Mode(">", tiff.LZW, 1, 64, 0),
+    Mode("<", tiff.DEFLATE, 2, 16, 0), Mode(">", tiff.PACKBITS, 2, 32, 0), Mode("<", tiff.LZW, 2, 0, 32, samples=3), Mode(">", tiff.DEFLATE, 2, 0, 64, bits=16), Mode("<", tiff.ADOBE_DEFLATE, 3, 0, 32, bits=32),
+    Mode(">", tiff.PACKBITS, 1, 0, 64, samples=3, planes=True), Mode("<", tiff.LZW, 1, 0, 128, big=True), Mode(">", tiff.ADOBE_DEFLATE, 2, 32, 0, samples=4, bits=16, big=True), Mode("<", tiff.DEFLATE, 3, 16, 0, samples=2, bits=64),
+]
 
 
 def packbits(data: bytes) -> bytes:
-    out = bytearray()
-    for byte, run in ((k, len(list(g))) for k, g in itertools.groupby(data)) if data.count(data[:1]) == len(data) else ():
-        while run > 0:
-            n = min(run, 128)
-            out += bytes([257 - n if n > 1 else 0, byte])
-            run -= n
-    if not out:  # literal runs, and zeros at the end as runs
-        body = data.rstrip(b"\x00")
-        for i in range(0, len(body), 128):
-            part = body[i : i + 128]
-            out += bytes([len(part) - 1]) + part
-        if len(body) < len(data):
-            out += packbits(data[len(body) :])
+    """Runs of three equal bytes or more as runs, what lies between as literals."""
+    raw, out, at = np.frombuffer(data, np.uint8), bytearray(), 0
+
+    def literal(end: int) -> None:
+        for i in range(at, end, 128):
+            part = data[i : min(end, i + 128)]
+            out.append(len(part) - 1)
+            out.extend(part)
+
+    starts = np.flatnonzero(np.diff(raw.astype(np.int16), prepend=-1))
+    sizes = np.diff(np.append(starts, len(raw)))
+    for start, size in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist(), strict=True):
+        literal(start)
+        at = start + size
+        for left in range(size, 0, -128):
+            n = min(left, 128)
+            out += bytes([257 - n if n > 1 else 0, data[start]])
+    literal(len(data))
     return bytes(out)
 
 
@@ -75,45 +98,62 @@ def lzw(data: bytes) -> bytes:
 ENCODERS = {tiff.NONE: bytes, tiff.PACKBITS: packbits, tiff.LZW: lzw, tiff.ADOBE_DEFLATE: lambda x: zlib.compress(x, 1), tiff.DEFLATE: lambda x: zlib.compress(x, 1)}
 
 
-def ahead(block: np.ndarray, predictor: int) -> np.ndarray:
-    return np.diff(block, axis=1, prepend=np.zeros((len(block), 1), np.uint8)) if predictor == 2 else block
-
-
-def write(data: bytes, mode: tuple[str, int, int, int, int]) -> bytes:
-    """Pages of WIDTH x HEIGHT grey bytes, the last one as high as it needs; no bytes make no pages."""
-    order, compression, predictor, tile, strip = mode
-    out, link = bytearray((b"II" if order == "<" else b"MM") + struct.pack(order + "HI", 42, 0)), 4
-    for start in range(0, len(data), WIDTH * HEIGHT):
-        own = data[start : start + WIDTH * HEIGHT]
-        height = -(-len(own) // WIDTH)
-        image = np.frombuffer(own.ljust(height * WIDTH, b"\x00"), np.uint8).reshape(height, WIDTH)
-        if tile:
-            wide = np.zeros((-(-height // tile) * tile, -(-WIDTH // tile) * tile), np.uint8)
-            wide[:height, :WIDTH] = image
-            blocks = [wide[y : y + tile, x : x + tile] for y in range(0, wide.shape[0], tile) for x in range(0, wide.shape[1], tile)]
-        else:
-            blocks = [image[y : y + strip] for y in range(0, height, strip)]
+def ahead(block: np.ndarray, mode: Mode, samples: int) -> bytes:
+    """A block (rows, pixels, samples, bytes of a sample, least significant first) as it lies in the file, before compression."""
+    size = block.shape[3]
+    if mode.predictor == 3:
+        rows = block.reshape(len(block), -1, size)[:, :, ::-1].transpose(0, 2, 1).reshape(len(block), -1, samples)
+        return np.diff(rows, axis=1, prepend=np.zeros((len(rows), 1, samples), np.uint8)).tobytes()
+    values = np.ascontiguousarray(block).view(f"<u{size}")[..., 0]
+    if mode.predictor == 2:
+        values = np.diff(values, axis=1, prepend=np.zeros((len(values), 1, samples), values.dtype))
+    return values.astype(f"{mode.order}u{size}").tobytes()
+
+
+def write(data: bytes, mode: Mode) -> bytes:
+    """Pages of WIDTH pixels and PAGE bytes at most, the last one as high as it needs; no bytes make no pages."""
+    order, size = mode.order, mode.bits // 8
+    row = WIDTH * mode.samples * size
+    word, count = ("Q", "Q") if mode.big else ("I", "H")
+    out = bytearray(b"II" if order == "<" else b"MM") + (struct.pack(order + "HHHQ", 43, 8, 0, 0) if mode.big else struct.pack(order + "HI", 42, 0))
+    link = len(out) - struct.calcsize(word)
+    per_page = PAGE // row * row
+    for start in range(0, len(data), per_page):
+        own = data[start : start + per_page]
+        height = -(-len(own) // row)
+        image = np.frombuffer(own.ljust(height * row, b"\x00"), np.uint8).reshape(height, WIDTH, mode.samples, size)
+        layers = [image[:, :, k : k + 1] for k in range(mode.samples)] if mode.planes else [image]
+        blocks = []
+        for layer in layers:
+            if tile := mode.tile:
+                wide = np.zeros((-(-height // tile) * tile, -(-WIDTH // tile) * tile, *layer.shape[2:]), np.uint8)
+                wide[:height, :WIDTH] = layer
+                blocks += [wide[y : y + tile, x : x + tile] for y in range(0, wide.shape[0], tile) for x in range(0, wide.shape[1], tile)]
+            else:
+                blocks += [layer[y : y + mode.strip] for y in range(0, height, mode.strip)]
         offsets, counts = [], []
         for block in blocks:
-            packed = ENCODERS[compression](ahead(block, predictor).tobytes())
+            packed = ENCODERS[mode.compression](ahead(block, mode, block.shape[2]))
             offsets.append(len(out))
             counts.append(len(packed))
             out += packed
-        tags = {256: ("I", [WIDTH]), 257: ("I", [height]), 258: ("H", [8]), 259: ("H", [compression]), 262: ("H", [1]), 277: ("H", [1]), 317: ("H", [predictor])}
-        tags |= {322: ("H", [tile]), 323: ("H", [tile]), 324: ("I", offsets), 325: ("I", counts)} if tile else {273: ("I", offsets), 278: ("I", [strip]), 279: ("I", counts)}
-        entries = bytearray()
+        tags = {256: ("I", [WIDTH]), 257: ("I", [height]), 258: ("H", [mode.bits] * mode.samples), 259: ("H", [mode.compression]), 262: ("H", [2 if mode.samples == 3 else 1]), 277: ("H", [mode.samples]), 284: ("H", [2 if mode.planes else 1]), 317: ("H", [mode.predictor])}
+        tags |= {322: ("H", [mode.tile]), 323: ("H", [mode.tile]), 324: (word, offsets), 325: ("I", counts)} if mode.tile else {273: (word, offsets), 278: ("I", [mode.strip]), 279: ("I", counts)}
+        if mode.predictor == 3:
+            tags[339] = ("H", [3] * mode.samples)
+        entries, inline = bytearray(), struct.calcsize(order + word)
         for tag, (kind, values) in sorted(tags.items()):
             raw = struct.pack(f"{order}{len(values)}{kind}", *values)
-            if len(raw) > 4:
+            if len(raw) > inline:
                 out += b"\x00" * (len(out) % 2)
-                raw, place = struct.pack(order + "I", len(out)), raw
+                raw, place = struct.pack(order + word, len(out)), raw
                 out += place
-            entries += struct.pack(order + "HHI", tag, {"H": 3, "I": 4}[kind], len(values)) + raw.ljust(4, b"\x00")
+            entries += struct.pack(order + "HH" + word, tag, {"H": 3, "I": 4, "Q": 16}[kind], len(values)) + raw.ljust(inline, b"\x00")
         out += b"\x00" * (len(out) % 2)
-        struct.pack_into(order + "I", out, link, len(out))
-        out += struct.pack(order + "H", len(tags)) + entries
+        struct.pack_into(order + word, out, link, len(out))
+        out += struct.pack(order + count, len(tags)) + entries
         link = len(out)
-        out += b"\x00\x00\x00\x00"
+        out += bytes(inline)
     return bytes(out)
 
 

@@ -18,7 +18,8 @@ def test_round_trip(mode, r):
     for t in texts(r):
         data, got, numbers = t.encode(), b"", []
         for number, about, pixels, error in tiff.pages(tiff_write.write(data, mode)):
-            assert error is None and about["compression"] == mode[1] and len(pixels) == about["width"] * about["height"]
+            assert error is None and about["compression"] == mode[1] and len(pixels) == about["width"] * about["height"] * about["samples"] * about["bits"] // 8
+            assert (about["samples"], about["bits"], about["predictor"], about["tiled"]) == (mode.samples, mode.bits, mode.predictor, mode.tile > 0)
             numbers.append(number)
             got += pixels
         assert got[: len(data)] == data and not got[len(data) :].strip(b"\x00") and numbers == list(range(len(numbers)))
@@ -70,8 +71,46 @@ def test_bilevel_packbits():
     assert error is None and about["bits"] == 1 and pixels == bytes([0b10101010, 0b11000000] * 3)
 
 
+def packed_codes(codes: list[tuple[int, int]]) -> bytes:
+    bits = "".join(f"{code:0{width}b}" for code, width in codes)
+    return int(bits.ljust(-(-len(bits) // 8) * 8, "0"), 2).to_bytes(-(-len(bits) // 8))
+
+
+def test_lzw_known_vectors():
+    """The example of the TIFF 6.0 specification; codes of the string behind the table's end; a cleared table; and the width that grows at 511."""
+    assert tiff.lzw(packed_codes([(x, 9) for x in (256, 7, 258, 8, 8, 258, 6, 6, 257)]), 99) == bytes([7, 7, 7, 8, 8, 7, 7, 6, 6])
+    assert tiff.lzw(packed_codes([(x, 9) for x in (256, 65, 258, 259, 257)]), 99) == b"A" + b"AA" + b"AAA"
+    assert tiff.lzw(packed_codes([(x, 9) for x in (256, 65, 66, 256, 66, 258, 257)]), 99) == b"AB" + b"B" + b"BB"
+    singles = [(256, 9)] + [(i % 256, 9) for i in range(254)]  # 253 strings: the table ends at 510 and the next code has 10 bits
+    assert tiff.lzw(packed_codes([*singles, (258, 10), (257, 10)]), 999) == bytes(i % 256 for i in range(254)) + bytes([0, 1])
+    with pytest.raises(ValueError, match="beyond"):
+        tiff.lzw(packed_codes([(x, 9) for x in (256, 65, 300, 257)]), 99)
+
+
+def test_fill_order_subordinate_images_and_forms_that_are_not_decoded():
+    body = bytes([0b10101010, 0b11000000] * 3)
+    tags = {256: (3, [10]), 257: (3, [3]), 259: (3, [1]), 273: (4, [8]), 279: (4, [len(body)])}
+    ((_, _, pixels, error),) = tiff.pages(build("<", tags | {266: (3, [2])}, body.translate(tiff.REVERSED)))
+    assert error is None and pixels == body
+    for bad in ({266: (3, [3])}, {317: (3, [2])}, {317: (3, [9])}, {317: (3, [3]), 258: (3, [8])}, {259: (3, [7])}, {258: (3, [12])}):
+        ((_, about, pixels, error),) = tiff.pages(build("<", tags | bad, body))
+        assert error and pixels is None and about == {}
+    grey = {256: (3, [2]), 257: (3, [1]), 258: (3, [8]), 273: (4, [8]), 279: (4, [2])}
+    first = build("<", grey | {330: (4, [0, 0])}, b"ab")
+    sub = [build("<", grey, x)[10:] for x in (b"cd", b"ef")]  # a directory alone; its strip is set below
+    at = len(first)
+    data = bytearray(first + sub[0] + sub[1])
+    places = [at, at + len(sub[0])]
+    spot = first.rindex(struct.pack("<II", 0, 0))
+    struct.pack_into("<II", data, spot, *places)
+    found = list(tiff.pages(bytes(data)))
+    assert [x[0] for x in found] == [0, 1, 2] and all(x[3] is None and x[2] == b"ab" for x in found)
+
+
 def test_packbits_runs():
     assert tiff.packbits(bytes([254, 7, 128, 1, 8, 9]), 99) == bytes([7, 7, 7, 8, 9])
+    assert tiff_write.packbits(bytes([1, 2, 2, 2, 2, 3])) == bytes([0, 1, 253, 2, 0, 3])
+    assert tiff_write.packbits(b"z" * 300) == bytes([129, 122, 129, 122, 213, 122])
 
 
 def test_damage_is_an_error_row_and_not_a_crash(spark, no_docs):
