@@ -36,24 +36,30 @@ def similarity(distance: Column) -> Column:
     return (F.lit(64) - distance) / F.lit(64.0) * F.lit(100.0)
 
 
-def fingerprint(text: str | None) -> int:
-    """64 votes of the words' MD5: each of at least three letters that is no stop word votes by its first eight bytes."""
+_STOP = frozenset(STOP)
+
+
+def fingerprints(texts: list[str | None]) -> np.ndarray:
+    """Of each text 64 votes of its words' MD5: each of at least three letters that is no stop word votes by its first eight bytes, as often as it occurs; a distinct word is hashed once."""
     import regex
 
-    votes = np.zeros(64, np.int64)
-    for w in regex.split(NOT_WORD, (text or "").lower()):
-        if len(w) > 2 and w not in _STOP:
-            votes += 2 * np.unpackbits(np.frombuffer(hashlib.md5(w.encode()).digest()[:8], np.uint8), bitorder="little").astype(np.int64) - 1
-    return int(np.packbits(votes > 0, bitorder="little").view("<i8")[0])
+    split = regex.compile(NOT_WORD).split
+    number: dict[str, int] = {}
+    ids = [[number.setdefault(w, len(number)) for w in split((t or "").lower()) if len(w) > 2 and w not in _STOP] for t in texts]
+    digests = b"".join(hashlib.md5(w.encode()).digest()[:8] for w in number)
+    bits = 2 * np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32) - 1
+    votes = np.stack([bits[own].sum(0) if own else np.zeros(64, np.int32) for own in ids]) if ids else np.zeros((0, 64), np.int32)
+    return np.packbits(votes > 0, axis=1, bitorder="little").view("<i8")[:, 0] if len(votes) else np.zeros(0, np.int64)
 
 
-_STOP = frozenset(STOP)
+def fingerprint(text: str | None) -> int:
+    return int(fingerprints([text])[0])
 
 
 @F.pandas_udf(T.LongType())
 def simhash(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     for t in texts:
-        yield t.map(fingerprint)
+        yield pd.Series(fingerprints(t.tolist()), dtype="int64")
 
 
 def word_set(text: Column) -> Column:
@@ -98,11 +104,11 @@ def labelled(value: Column, labels: dict, default: Column) -> Column:
     return reduce(lambda c, kv: c.when(value == F.lit(kv[0]), F.lit(kv[1])), labels.items(), F.when(F.lit(False), "")).otherwise(default)
 
 
-REDIRECT_KINDS = {301: "Moved permanently", 302: "Found (temporary)", 303: "See other", 307: "Temporary redirect", 308: "Permanent redirect"}
+REDIRECT_KINDS = {301: "Permanent Redirect (301)", 302: "Temporary Redirect (302)", 303: "See Other (303)", 307: "Temporary Redirect (307)", 308: "Permanent Redirect (308)"}
 
 
 def redirect_kind(status: Column) -> Column:
-    return labelled(status, REDIRECT_KINDS, F.format_string("Redirect %d", status))
+    return labelled(status, REDIRECT_KINDS, F.format_string("Redirect (%d)", status))
 
 
 def sitemap_priority(depth: Column) -> Column:

@@ -15,7 +15,7 @@ LINK_TYPES = {0: "Hyperlink", 1: "Image", 2: "Script", 3: "Stylesheet", 4: "Othe
 TABLES = {
     "projects": "project_id int, name string, base_url string, user_agent string, max_depth int, max_urls int, respect_robots boolean, last_opened timestamp",
     "urls": "url_id long, project_id int, address string, depth int, status tinyint, http_status int, content_type string, content_length long, first_seen timestamp, last_crawled timestamp, robots_allowed boolean, redirect_target string, is_redirect_loop boolean",
-    "page_html": "url_id long, html string",
+    "page_html": "url_id long, project_id int, address string, html string",
     "headers": "url_id long, name string, value string, seq int",
     "links": "project_id int, from_url_id long, to_url_id long, anchor_text string, link_type tinyint, rel string, is_nofollow boolean, is_ugc boolean, is_sponsored boolean, dom_path string",
     "redirects": "url_id long, from_url string, to_url string, status_code int, position int",

@@ -16,6 +16,12 @@ from siteloom.sources import files, html_dom
 ROW = ["project_id", "task_key", "url_id", "page", "issue", "severity", "explanation", "fields"]
 
 
+def small(df: DataFrame) -> DataFrame:
+    """A hint to broadcast ``df`` where the optimizer's size of it allows, which holds for any number of projects; beyond, the join is planned by its size."""
+    limit = 32 << 20
+    return F.broadcast(df) if html_dom.estimated_bytes(df) <= limit else df
+
+
 def text(x) -> Column:
     return x if isinstance(x, Column) else F.lit(x)
 
@@ -38,7 +44,7 @@ def pages(crawl: model.Crawl, completed_only: bool = False) -> DataFrame:
     features = crawl.features if crawl.features is not None else html_dom.features(crawl.urls, crawl.page_html)
     urls = crawl.urls.where(F.col("status") == model.COMPLETED) if completed_only else crawl.urls
     projects = crawl.projects.select("project_id", "base_url")
-    ctx = urls.join(F.broadcast(projects), "project_id").join(features, "url_id", "left").join(files.header_map(crawl.headers), "url_id", "left")
+    ctx = urls.join(small(projects), "project_id").join(features, "url_id", "left").join(files.header_map(crawl.headers), "url_id", "left")
     ctx = ctx.withColumns({"page": F.col("address"), "headers": F.coalesce("headers", F.expr("cast(map() as map<string,string>)")), "has_html": F.col("visible").isNotNull()})
     ctx = ctx.withColumn("internal", ~U.is_external(F.col("base_url"), F.col("address")))
     return ctx.withColumns(extracted())

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
 from siteloom.model import ERROR, INFO, WARNING, Crawl
-from siteloom.operators.base import rows, rule, standard
+from siteloom.operators.base import rows, rule, small, standard
 
 #: (first bit, bits) of the bands.
 BANDS = [(0, 22), (22, 21), (43, 21)]
@@ -89,26 +89,26 @@ def duplicates(crawl: Crawl, ctx: DataFrame, arrival: bool = False) -> DataFrame
     both = pairs.select("project_id", F.col("a").alias("hash"), F.col("b").alias("other"), "distance").unionByName(pairs.select("project_id", F.col("b").alias("hash"), F.col("a").alias("other"), "distance"))
     about = both.join(hashes.select("project_id", F.col("hash").alias("other"), "n", "first"), ["project_id", "other"]).groupBy("project_id", "hash").agg(F.sum("n").alias("n_near"), F.min_by("first", F.struct("distance", "first")).alias("nearest"), F.min("distance").alias("distance"))
     near = base.withColumnRenamed("simhash", "hash").join(about, ["project_id", "hash"]).withColumn("percent", X.similarity(F.col("distance")))
-    close = rows(near, "DuplicateContent", [rule(F.lit(True), F.format_string("Near Duplicate (%d pages, %.0f%% similar)", F.col("n_near") + 1, "percent"), WARNING, "", DuplicateOf=F.col("nearest"), Similarity=F.col("percent").cast("int"))])
+    close = rows(near, "DuplicateContent", [rule(F.lit(True), F.format_string("Near Duplicate (%d pages, %.0f%% similar)", F.col("n_near"), "percent"), WARNING, "", DuplicateOf=F.col("nearest"), Similarity=F.col("percent").cast("int"))])
     share = F.col("main_length") / F.col("body_length")
-    thin = rows(own, "DuplicateContent", [rule((F.col("depth") <= 2) & (F.col("body_length") >= 100) & (share < 0.4), F.format_string("High Boilerplate Ratio (%.0f%%)", (1 - share) * 100), WARNING, "", DuplicateOf="", Similarity=0)])
+    thin = rows(own, "DuplicateContent", [rule((F.col("depth") <= 2) & (F.col("body_length") >= 100) & (share < 0.4), F.format_string("High Boilerplate Ratio (%d%%)", ((1 - share) * 100).cast("int")), WARNING, "", DuplicateOf="", Similarity=0)])
     return exact.unionByName(close).unionByName(thin).unionByName(domain_variants(crawl))
 
 
 def domain_variants(crawl: Crawl) -> DataFrame:
     """What probes of a site's other three addresses found."""
-    probes = crawl.variant_probe.join(F.broadcast(crawl.projects.select("project_id", "base_url")), "project_id").withColumns({"url_id": F.lit(None).cast("long"), "page": F.col("base_url")})
+    probes = crawl.variant_probe.join(small(crawl.projects.select("project_id", "base_url")), "project_id").withColumns({"url_id": F.lit(None).cast("long"), "page": F.col("base_url")})
     status, target = F.col("status"), F.col("location")
     right = (U.origin(target) == U.origin(F.col("base_url")))
     moved, permanent = status.between(300, 399), status.isin(301, 308)
-    r = lambda when, issue, severity: rule(when, F.concat(F.lit(issue + ": "), F.col("variant_url")), severity, "", DuplicateOf=F.col("variant_url"), Similarity=0)
+    r = lambda when, issue, severity: rule(when, F.format_string(issue, status) if "%" in issue else issue, severity, "", DuplicateOf=F.col("variant_url"), Similarity=0)
     return rows(probes, "DuplicateContent", [
         r((F.col("failure") == "timeout"), "Domain Variant Timeout", WARNING),
         r((F.col("failure") == "unreachable"), "Domain Variant Unreachable", WARNING),
         r(F.col("failure").isNotNull() & ~F.col("failure").isin("timeout", "unreachable"), "Domain Variant Error", WARNING),
-        r(F.col("failure").isNull() & permanent & right, "Domain Variant Correct", INFO),
+        r(F.col("failure").isNull() & permanent & right, "Domain Variant Correct (%d)", INFO),
         r(F.col("failure").isNull() & permanent & ~right, "Domain Variant Wrong Target", WARNING),
-        r(F.col("failure").isNull() & moved & ~permanent, "Domain Variant Temporary Redirect", ERROR),
+        r(F.col("failure").isNull() & moved & ~permanent, "Domain Variant Temporary Redirect (%d)", ERROR),
         r(F.col("failure").isNull() & status.between(200, 299), "Domain Variant Duplicate Content", ERROR),
-        r(F.col("failure").isNull() & (status >= 400), "Domain Variant Error", WARNING),
+        r(F.col("failure").isNull() & (status >= 400), "Domain Variant Error (HTTP %d)", WARNING),
     ])

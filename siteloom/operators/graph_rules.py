@@ -34,15 +34,23 @@ def hop_map(crawl: Crawl, during: DataFrame | None = None) -> DataFrame:
     return every.groupBy("project_id", U.normalize(F.col("from_url")).alias("source")).agg(F.max_by(F.struct("to_url", "status_code"), F.struct("rank", "position", "to_url")).alias("x")).select("project_id", "source", F.col("x.to_url").alias("target"), F.col("x.status_code").alias("code"))
 
 
-def chains(starts: DataFrame, hops: DataFrame, most: int = HOPS) -> DataFrame:
-    """``starts`` (project_id, start) with path (normalised, the start first) and loop, after the start's hop and up to ``most`` further ones."""
-    now = starts.withColumns({"path": F.array(U.normalize(F.col("start"))), "at": U.normalize(F.col("start")), "loop": F.lit(False)})
-    step = hops.select("project_id", F.col("source").alias("at"), U.normalize(F.col("target")).alias("following"))
-    for _ in range(most + 1):
-        going = F.col("following").isNotNull() & ~F.col("loop")
-        again = going & F.array_contains("path", F.col("following"))
-        now = now.join(step, ["project_id", "at"], "left").select(*starts.columns, F.when(going, F.concat("path", F.array("following"))).otherwise(F.col("path")).alias("path"), F.when(going & ~again, F.col("following")).alias("at"), (F.col("loop") | F.coalesce(again, F.lit(False))).alias("loop"))
-    return now.drop("at")
+def walk(starts: DataFrame, hops: DataFrame, most: int = HOPS) -> DataFrame:
+    """``starts`` (project_id, page, code, to) with hops, an array of (source, target, code), and loop.
+
+    The first hop is the page's own. Up to ``most`` more are looked up, each from where the last one led; the first whose source was visited before is added and ends a loop.
+    """
+    hop = lambda source, target, code: F.struct(source.alias("source"), target.alias("target"), code.cast("int").alias("code"))
+    now = starts.withColumns({"hops": F.array(hop(F.col("page"), F.col("to"), F.col("code"))), "seen": F.array(U.normalize(F.col("page"))), "at": U.normalize(F.col("to")), "loop": F.lit(False)})
+    step = hops.select("project_id", F.col("source").alias("at"), F.col("target").alias("next_to"), F.col("code").alias("next_code"))
+    for _ in range(most):
+        going = F.col("next_to").isNotNull() & ~F.col("loop")
+        again = going & F.array_contains("seen", F.col("at"))
+        address = F.element_at("hops", -1)["target"]
+        now = now.join(step, ["project_id", "at"], "left").select(
+            *starts.columns, F.when(going, F.concat("hops", F.array(hop(address, F.col("next_to"), F.col("next_code"))))).otherwise(F.col("hops")).alias("hops"), F.when(going & ~again, F.concat("seen", F.array("at"))).otherwise(F.col("seen")).alias("seen"),
+            F.when(going & ~again, U.normalize(F.col("next_to"))).alias("at"), (F.col("loop") | F.coalesce(again, F.lit(False))).alias("loop"),
+        )
+    return now.drop("at", "seen")
 
 
 def script_targets() -> Column:
@@ -54,6 +62,10 @@ def script_targets() -> Column:
     return F.get(F.filter(found, fine), F.lit(0))
 
 
+#: What each redirect code means.
+SUMMARIES = {301: "passes signals on to the new address", 302: "for short moves, the old address stays indexed", 303: "follow up with GET, as after forms", 307: "temporary, keeps the method", 308: "permanent, keeps the method"}
+
+
 def redirects(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     hops, known = hop_map(crawl), statuses(crawl)
     own = ctx.where("internal").withColumn("norm", U.normalize(F.col("page")))
@@ -68,11 +80,12 @@ def redirects(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     temporary = status.isin(302, 307)
     slash = (F.regexp_replace(source, "/+$", "") == F.regexp_replace(target, "/+$", "")) & (source.endswith("/") != target.endswith("/"))
     age = F.regexp_extract(F.coalesce(header("cache-control"), F.lit("")), r"(?i)max-age=(\d+)", 1).try_cast("long")
+    summary = F.coalesce(*(F.when(status == k, F.lit(v)) for k, v in SUMMARIES.items()), F.lit("an uncommon code, check that it is meant"))
     r = lambda when, issue, severity, to=target: rule(when, issue, severity, "", Source=source, Target=to, StatusCode=status)
     page = rows(own, "Redirects", [
-        r(F.col("is_loop"), "Infinite redirect loop", ERROR),
-        r(F.col("three") & ~F.col("is_loop") & ~has, "Redirect is missing a Location header", ERROR, F.lit("")),
-        r(moved, F.concat(X.redirect_kind(status), F.lit(" - "), F.lit("leads to another address")), INFO),
+        rule(F.col("is_loop"), "Infinite redirect loop", ERROR, "", Source=source, Target="(Loop)", StatusCode=0),
+        r(F.col("three") & ~F.col("is_loop") & ~has, "Redirect is missing a Location header", ERROR, F.lit("(missing location header)")),
+        r(moved, F.concat(X.redirect_kind(status), F.lit(" - "), summary), INFO),
         r(moved & temporary, "Temporary redirect detected", WARNING),
         r(moved & (s == "https") & (t == "http"), "Redirect downgrades HTTPS to HTTP", ERROR),
         r(moved & (s == "http") & (t == "https"), "Redirect upgrades HTTP to HTTPS", INFO),
@@ -85,11 +98,13 @@ def redirects(crawl: Crawl, ctx: DataFrame) -> DataFrame:
         r(moved & F.col("target_status").between(300, 399), "Redirect target itself redirects", WARNING),
         r(moved & temporary & (age > 86400), F.format_string("Temporary redirect cached for %d days", (age / 86400).cast("long")), WARNING),
     ])
-    walked = chains(own.where(~F.col("is_loop") & F.col("hop_target").isNotNull()).select("project_id", "url_id", "page", "http_status", F.col("page").alias("start")), hops)
-    n = F.size("path") - 1
+    walked = walk(own.where(moved).select("project_id", "url_id", "page", F.col("http_status").alias("code"), F.col("target").alias("to")), hops)
+    n = F.size("hops")
+    last = F.element_at("hops", -1)
+    story = F.concat(F.array_join(F.transform("hops", lambda h: F.concat(h["source"], F.lit(" ("), h["code"].cast("string"), F.lit(")"))), " -> "), F.lit(" -> "), last["target"])
     long = rows(walked, "Redirects", [
-        rule(F.col("loop"), F.format_string("Redirect Loop (%d hops)", n), ERROR, F.array_join("path", " → "), Source=F.col("page"), Target=F.element_at("path", -1), StatusCode=F.col("http_status")),
-        rule(~F.col("loop") & (n >= 2), F.format_string("Redirect Chain (%d hops)", n), F.when(n >= 3, ERROR).otherwise(WARNING), F.array_join("path", " → "), Source=F.col("page"), Target=F.element_at("path", -1), StatusCode=F.col("http_status")),
+        rule(F.col("loop"), F.format_string("Redirect Loop (%d hops)", n), ERROR, story, Source=F.col("page"), Target=last["target"], StatusCode=last["code"]),
+        rule(~F.col("loop") & (n >= 2), F.format_string("Redirect Chain (%d hops)", n), F.when(n >= 3, ERROR).otherwise(WARNING), story, Source=F.col("page"), Target=last["target"], StatusCode=last["code"]),
     ])
     return page.unionByName(long)
 
@@ -109,21 +124,21 @@ def canonical(crawl: Crawl, ctx: DataFrame, compat: bool = False) -> DataFrame:
     mismatch = U.normalize_with_query(F.col("canonical_html")) != U.normalize_with_query(F.col("canonical_http"))
     r = lambda when, issue, severity, state="": rule(when, issue, severity, "", CanonicalURL=F.coalesce(c, F.lit("")), Status=state)
     page = rows(own, "Canonical", [
-        r(c.isNull() & (F.col("depth") <= 2), "Missing Canonical", INFO, "Missing"),
-        r(F.col("has_multiple_canonicals"), "Multiple Canonicals", ERROR, F.format_string("%d tags", F.size("canonicals"))),
-        r(cross, "Cross-Domain Canonical", WARNING, "Other domain"),
-        r(other & ~cross, "Canonical to Other Page", INFO, "Canonicalized"),
-        r(other & F.col("second").isNotNull() & (U.comparable(F.col("second")) != F.col("me")), F.concat(F.lit("Canonical Chain: "), c, F.lit(" → "), F.col("second")), WARNING, "Chain"),
+        r(c.isNull() & (F.col("depth") <= 2), "Missing Canonical", INFO, "Info"),
+        r(F.col("has_multiple_canonicals"), "Multiple Canonicals", ERROR, "Conflict"),
+        r(cross, "Cross-Domain Canonical", WARNING, "External Domain"),
+        r(other & ~cross, "Canonical to Other Page", INFO, "OK"),
+        r(other & F.col("second").isNotNull() & (U.comparable(F.col("second")) != F.col("me")), F.concat(F.lit("Canonical Chain: "), c, F.lit(" → "), F.col("second")), WARNING, "Chain Detected"),
         r(c.isNotNull() & wrong, F.format_string("Canonical Target Error (HTTP %d)", F.coalesce(status, F.lit(0))), ERROR, F.format_string("HTTP %d", F.coalesce(status, F.lit(0)))),
-        r(c.isNotNull() & F.col("robots_noindex"), "Canonical + Noindex Conflict", WARNING, "Conflict"),
+        r(c.isNotNull() & F.col("robots_noindex"), "Canonical + Noindex Conflict", WARNING, "Conflicting Directives"),
         r(other & paged & first, "Pagination Canonical Issue", WARNING, "Points to Page 1"),
         r(mismatch, "Canonical HTML/HTTP Mismatch", WARNING, "Mismatch"),
-        r(c.isNotNull() & F.col("http_status").between(300, 399), F.format_string("Canonical on Redirect (HTTP %d)", F.col("http_status")), WARNING, "Redirect"),
+        r(c.isNotNull() & F.col("http_status").between(300, 399), F.format_string("Canonical on Redirect (HTTP %d)", F.col("http_status")), WARNING, F.format_string("HTTP %d", F.col("http_status"))),
     ])
     hops = edges.select("project_id", "source", F.col("target"), F.lit(0).alias("code"))
     starts = own.where(other).select("project_id", "url_id", "page", "c", F.col("me").alias("start"))
     walked = loops(starts, hops)
-    return page.unionByName(rows(walked, "Canonical", [rule(F.col("loop"), "Canonical Loop", ERROR, F.array_join("path", " → "), CanonicalURL=F.col("c"), Status="Loop")]))
+    return page.unionByName(rows(walked, "Canonical", [rule(F.col("loop"), F.concat(F.lit("Canonical Loop: "), F.array_join("path", " → ")), ERROR, "", CanonicalURL=F.col("c"), Status="Loop Detected")]))
 
 
 def loops(starts: DataFrame, edges: DataFrame, most: int = HOPS) -> DataFrame:
@@ -212,14 +227,18 @@ def broken_links(crawl: Crawl, ctx: DataFrame, agent: str = "") -> DataFrame:
     return rows(once, "BrokenLinks", [rule(F.lit(True), F.col("name"), F.col("severity"), "", LinkedFrom=F.col("page"), BrokenLink=F.col("url"), Status=F.coalesce(F.col("code").cast("string"), F.lit("")), LinkText=F.col("text"), LinkType=F.initcap("type"), IsExternal=F.when(F.col("external"), "Yes").otherwise("No"), Occurrences=F.col("n"))])
 
 
+FRIENDLY = {0: "hyperlink", 1: "image link", 2: "script", 3: "stylesheet", 4: "resource"}
+
+
 def link_graph(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     """A row for each stored link of an internal page; an unknown target is ``Unknown``."""
     target = crawl.urls.select(F.col("url_id").alias("to_url_id"), F.col("address").alias("to"))
     own = ctx.where("internal").select("project_id", "url_id", "page")
     edges = crawl.links.select(F.col("from_url_id").alias("url_id"), "to_url_id", "anchor_text", "link_type").join(own, "url_id").join(target, "to_url_id", "left")
     kind, anchor = X.labelled(F.col("link_type").cast("int"), LINK_TYPES, F.lit("Other")), F.trim(F.coalesce("anchor_text", F.lit("")))
-    issue = F.when(anchor != "", F.concat(kind, F.lit(": "), X.preview(anchor))).otherwise(F.concat(kind, F.lit(" without anchor text")))
-    return rows(edges, "LinkGraph", [rule(F.lit(True), issue, INFO, "", FromURL=F.col("page"), ToURL=F.coalesce("to", F.lit("Unknown")), AnchorText=anchor, LinkType=kind)])
+    named = X.labelled(F.col("link_type").cast("int"), FRIENDLY, F.lit("resource"))
+    issue = F.concat(F.lit("Internal "), named, F.when(anchor != "", " with anchor text").otherwise(" without anchor text"))
+    return rows(edges, "LinkGraph", [rule(F.lit(True), issue, INFO, "", FromURL=F.col("page"), ToURL=F.coalesce("to", F.lit("Unknown")), AnchorText=F.when(anchor != "", anchor).otherwise("(no text)"), LinkType=kind)])
 
 
 def reached(starts: DataFrame, edges: DataFrame, max_depth: int, max_urls: int) -> DataFrame:

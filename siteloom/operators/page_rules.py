@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.functions import text as X
@@ -31,14 +31,14 @@ def url_rules(url: Column) -> list[Column]:
     parts = F.size(F.split(F.substring(q, 2, 100000), "&"))
     has_query = q != ""
     return [
-        rule(F.length(bare) > 100, named(F.length(bare), "URL length exceeds 100 characters (%d)"), WARNING, "Shorten the URL."),
-        rule((F.length(bare) > 75) & (F.length(bare) <= 100), named(F.length(bare), "URL length exceeds 75 characters (%d)"), INFO, "Consider a shorter URL."),
-        rule(url != F.lower(url), "Uppercase characters in URL", WARNING, "Mixed case makes duplicates of one page."),
+        rule(F.length(bare) > 100, "URL length > 100 characters (excluding query)", WARNING, "Shorten the URL."),
+        rule((F.length(bare) > 75) & (F.length(bare) <= 100), "URL length > 75 characters (excluding query)", INFO, "Consider a shorter URL."),
+        rule(url != F.lower(url), "Uppercase characters detected in URL", WARNING, "Mixed case makes duplicates of one page."),
         rule(has_query & (parts > 3), named(parts, "Too many query parameters (%d)"), INFO, "Many parameters multiply URLs."),
         rule(has_query & url.rlike(r"(?i)[?&](page|p|pg|offset|start)="), "Pagination parameter detected in URL", INFO, "Check that pages of a series are canonical."),
         rule(has_query & session.isNotNull(), session, ERROR, "Keep sessions out of URLs.", Indexable="No"),
         rule(url.rlike(r"[^a-zA-Z0-9\-_.~:/?#\[\]@!$&'()*+,;=%]"), "Special characters found in URL", INFO, "Percent-encode what is not safe."),
-        rule(U.path(url).contains("_"), "Underscore detected in URL path", INFO, "Separate words by hyphens."),
+        rule(U.path(url).contains("_"), "Underscore detected in path", INFO, "Separate words by hyphens."),
     ]
 
 
@@ -55,8 +55,8 @@ def inventory(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     shared = {"ContentType": F.col("content_type"), "Status": F.col("http_status"), "Depth": F.col("depth"), "Indexable": F.when(F.col("is_indexable"), "Yes").otherwise("No")}
     found = rows(own, "Inventory", [
         *url_rules(F.col("address")),
-        rule(third & (length < 900), named(length, "Very short content (%d characters)"), WARNING, "Thin pages rank poorly."),
-        rule(third & length.between(900, 1799), named(length, "Limited content length (%d characters)"), INFO, "Consider more substance."),
+        rule(third & (length < 900), "Very short content (<900 characters)", WARNING, "Thin pages rank poorly."),
+        rule(third & length.between(900, 1799), "Limited content length (<1800 characters)", INFO, "Consider more substance."),
         rule(third & (n > 10), named(n, "More than 10 third-party domains (%d)"), WARNING, "Each domain costs connections."),
     ])
     details = own.select("url_id", F.create_map(*[c for k, v in shared.items() for c in (F.lit(k), v.cast("string"))]).alias("shared"))
@@ -104,8 +104,8 @@ def security(crawl: Crawl, ctx: DataFrame) -> DataFrame:
 
 def robots(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     known = crawl.robots_txt.select(F.col("host").alias("robots_host")).distinct()
-    first = F.row_number().over(Window.partitionBy("project_id").orderBy(F.col("depth"), "url_id")) == 1
-    own = ctx.where(F.col("internal")).withColumn("own_host", U.host(F.col("address"))).join(known, F.col("own_host") == F.col("robots_host"), "left").withColumns({"first": first, "html": is_html() & F.col("has_html"), "tag": F.lower(F.coalesce("x_robots_tag", F.lit("")))})
+    start = ctx.where("internal").groupBy("project_id").agg(F.min_by("url_id", F.struct("depth", "url_id")).alias("start_id"))  # a site's first page
+    own = ctx.where(F.col("internal")).withColumn("own_host", U.host(F.col("address"))).join(known, F.col("own_host") == F.col("robots_host"), "left").join(start, "project_id", "left").withColumns({"first": F.col("url_id") == F.col("start_id"), "html": is_html() & F.col("has_html"), "tag": F.lower(F.coalesce("x_robots_tag", F.lit("")))})
     html, tag, shallow = F.col("html"), F.col("tag"), F.col("depth") <= 2
     shared = {"RobotsMeta": F.coalesce("robots_meta", F.lit("")), "XRobotsTag": F.coalesce("x_robots_tag", F.lit("")), "Indexable": F.when(F.col("is_indexable"), "Yes").otherwise("No")}
     r = lambda when, issue, severity, why="": rule(when, issue, severity, why, **shared)
@@ -119,7 +119,7 @@ def robots(crawl: Crawl, ctx: DataFrame) -> DataFrame:
         r(tag != "", "X-Robots-Tag Present", INFO),
         r(F.col("robots_conflict"), "Conflicting Robots Directives", WARNING, "Meta and header disagree."),
         r(~F.col("is_indexable") & shallow, F.format_string("Important Page Not Indexable (Depth %d) - %s", F.col("depth"), why), WARNING),
-        *(r(html & tag.contains(word), issue, INFO) for word, issue in (("noarchive", "Noarchive Directive"), ("nosnippet", "Nosnippet Directive"), ("noimageindex", "Noimageindex Directive"), ("unavailable_after", "Unavailable After Directive"), ("indexifembedded", "Indexifembedded Directive"))),
+        *(r(html & tag.contains(word), issue, INFO) for word, issue in (("noarchive", "Noarchive Directive"), ("nosnippet", "Nosnippet Directive"), ("noimageindex", "Noimageindex Directive"), ("unavailable_after", "Unavailable After Directive (Time-Limited)"), ("indexifembedded", "Indexifembedded Directive"))),
         r(html & (snippet != ""), F.concat(F.lit("Max-Snippet: "), snippet), F.when(snippet == "0", WARNING).otherwise(INFO)),
         r(html & (image != ""), F.concat(F.lit("Max-Image-Preview: "), image), F.when(image == "none", WARNING).otherwise(INFO)),
         r(html & (video != ""), F.concat(F.lit("Max-Video-Preview: "), video), F.when(video == "0", WARNING).otherwise(INFO)),
@@ -179,22 +179,23 @@ def titles(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     return page.unionByName(shared_values(crawl, own))
 
 
-def images(crawl: Crawl, ctx: DataFrame) -> DataFrame:
-    own = ctx.where(ok() & F.col("internal") & F.col("has_html")).select("project_id", "url_id", "page", F.explode("images").alias("i"))
-    src, alt, title, w, h = (F.coalesce(F.col(f"i.{c}"), F.lit("")) if c in ("src", "alt", "title") else F.col(f"i.{c}") for c in ("src", "alt", "title", "width", "height"))
+def image_rules(page: Column, i: Column) -> list[Column]:
+    """What one image of a page tells."""
+    src, alt, title = (F.coalesce(i[c], F.lit("")) for c in ("src", "alt", "title"))
+    w, h = i["width"], i["height"]
     data = F.lower(src).startswith("data:")
-    url = F.when(data, X.preview(src, 100)).otherwise(F.col("i.url"))
-    ext = F.lower(U.extension(F.col("i.url")))
-    legacy, external = ext.isin(".jpg", ".jpeg", ".png"), U.is_external_image(F.col("page"), F.col("i.url"))
+    url = F.when(data, X.preview(src, 100)).otherwise(i["url"])
+    ext = F.lower(U.extension(i["url"]))
+    legacy, external = ext.isin(".jpg", ".jpeg", ".png"), U.is_external_image(page, i["url"])
     r = lambda when, issue, severity, key="", size=None: rule(when, issue, severity, "", ImageURL=url, AltText=alt, FileSize=F.lit(None) if size is None else size, Key=key)
     real, size = (src != "") & ~data, (F.length(src) * 3 / 4).cast("int")
     named_alt = (src != "") & (F.trim(alt) != "") & ~data
-    decorative = F.lower("i.url").rlike("icon|spacer|divider|bullet") | F.lower(alt).rlike("decorative|spacer|decoration")
-    found = rows(own, "ImageAudit", [
+    decorative = F.lower(i["url"]).rlike("icon|spacer|divider|bullet") | F.lower(alt).rlike("decorative|spacer|decoration")
+    return [
         r(src == "", "Missing Image Source", ERROR),
         r(real & (w.isNull() | h.isNull()), "Missing Image Dimensions", WARNING),
-        r(real & (F.lower(F.coalesce("i.loading", F.lit(""))) != "lazy") & ((F.coalesce(w, F.lit(0)).cast("long") * F.coalesce(h, F.lit(0)) > 50000) | (w.isNull() & h.isNull())), "Missing Lazy Loading", INFO),
-        r(real & (F.trim("i.srcset") == "") & ~external & legacy & (w > 400), "Missing Responsive Images", INFO),
+        r(real & (F.lower(F.coalesce(i["loading"], F.lit(""))) != "lazy") & ((F.coalesce(w, F.lit(0)).cast("long") * F.coalesce(h, F.lit(0)) > 50000) | (w.isNull() & h.isNull())), "Missing Lazy Loading", INFO),
+        r(real & (F.trim(i["srcset"]) == "") & ~external & legacy & (w > 400), "Missing Responsive Images", INFO),
         r(real & legacy & ~external, "Legacy Image Format", INFO),
         r(real & external, "External Image Hotlink", INFO),
         r(real & (ext == ".svg") & (w.isNotNull() | h.isNotNull()), "SVG with Pixel Dimensions", INFO, F.concat_ws("|", w, h)),
@@ -205,10 +206,18 @@ def images(crawl: Crawl, ctx: DataFrame) -> DataFrame:
         r(named_alt & (F.trim(title) != "") & (F.lower(title) == F.lower(alt)), "Redundant Title Attribute", INFO, alt),
         r(named_alt & alt.rlike(r"(?i)^(image|picture|photo|img|graphic)(\s+of)?"), "Alt Text Bad Pattern", INFO, alt),
         r(data & ((size / 1024).cast("int") > 10), named((size / 1024).cast("int"), "Large Data URI (%dKB)"), WARNING, "", size),
-    ])
-    # one finding for each page, image and kind
-    once = found.groupBy("project_id", "task_key", "url_id", "page", "issue", "severity", "explanation", F.col("fields")["ImageURL"].alias("image"), F.col("fields")["Key"].alias("key")).agg(F.first(F.to_json("fields")).alias("fields"))
-    return once.withColumn("fields", F.map_filter(F.from_json("fields", "map<string,string>"), lambda k, v: k != "Key")).select(found.columns)
+    ]
+
+
+def images(crawl: Crawl, ctx: DataFrame) -> DataFrame:
+    """A page's images are judged and repeated findings (one for each image and kind, the first) dropped within the page's own array, so that nothing is shuffled."""
+    own = ctx.where(ok() & F.col("internal") & F.col("has_html"))
+    every = F.flatten(F.transform("images", lambda i: F.filter(F.array(*image_rules(F.col("page"), i)), lambda x: x.isNotNull())))
+    key = lambda x: F.concat_ws("\n", x["issue"], x["fields"]["ImageURL"], x["fields"]["Key"])
+    own = own.select("project_id", F.lit("ImageAudit").alias("task_key"), "url_id", "page", every.alias("every")).withColumn("keys", F.transform("every", key))
+    first = F.filter("every", lambda x, k: F.array_position("keys", key(x)) == k + 1)
+    found = own.select("project_id", "task_key", "url_id", "page", F.explode(first).alias("f")).select("project_id", "task_key", "url_id", "page", "f.issue", "f.severity", "f.explanation", "f.fields")
+    return found.withColumn("fields", F.map_filter("fields", lambda k, v: k != "Key"))
 
 
 MISSING_PAGE = sorted(["404", "coming soon", "has been deleted", "has been removed", "no items found", "no longer exists", "no results found", "not found", "nothing found", "oops! that page can", "page could not be found", "page does not exist", "page doesn't exist", "page not found", "sorry, but nothing matched", "the page you are looking for", "the page you requested", "under construction"], key=len)
@@ -228,7 +237,7 @@ def crawl_budget(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     ])
     rate = ctx.where(F.col("internal") & F.col("http_status").isNotNull()).groupBy("project_id").agg(F.count("*").alias("n"), F.count_if(F.col("http_status").between(500, 599)).alias("bad"), F.min("base_url").alias("page")).withColumn("url_id", F.lit(None).cast("long"))
     share = F.col("bad") / F.col("n") * 100
-    high = rows(rate, "CrawlBudget", [rule((F.col("n") >= 50) & (share > 5), F.format_string("High Server Error Rate (%.1f%%)", share), ERROR, "", Details=F.format_string("%d of %d pages", "bad", "n"), StatusCode=F.lit(None), Depth=F.lit(None))])
+    high = rows(rate, "CrawlBudget", [rule((F.col("n") >= 50) & (share > 5), F.format_string("High Server Error Rate (%d%%)", share.cast("int")), ERROR, "", Details=F.format_string("%d of %d pages", "bad", "n"), StatusCode=F.lit(None), Depth=F.lit(None))])
     return page.unionByName(high)
 
 

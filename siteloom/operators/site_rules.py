@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from siteloom.functions import urls as U
 from siteloom.model import ERROR, INFO, WARNING, Crawl
-from siteloom.operators.base import ROW, rows, rule, standard
+from siteloom.operators.base import ROW, rows, rule, small, standard
 from siteloom.operators.graph_rules import statuses
 from siteloom.sources import files, html_dom
 
@@ -40,21 +40,22 @@ def sitemap(crawl: Crawl, ctx: DataFrame, now: str | None = None, compat: bool =
     kind, urlset = F.col("kind"), F.col("kind") == "urlset"
     r = lambda when, issue, severity: rule(when, issue, severity, "", InSitemap="Yes", StatusCode=status)
     count = lambda c, t: F.format_string(t, c if not isinstance(c, str) else F.col(c))
-    missing, barred = status.isin(404, 410), status.isin(401, 403, 451)
+    mb = F.col("bytes") / F.lit(1048576.0)
+    missing, barred = status == 404, status.isin(401, 403, 451)
     page = rows(joined, "Sitemap", [
-        r(missing, "Sitemap Not Found", WARNING), r(barred, "Sitemap Restricted", INFO), r((status >= 400) & ~missing & ~barred, count(status, "Sitemap Error (HTTP %d)"), ERROR),
+        r(missing, "Sitemap Not Found", WARNING), r(barred, count(status, "Sitemap Restricted (HTTP %d)"), INFO), r((status >= 400) & ~missing & ~barred, count(status, "Sitemap Error (HTTP %d)"), ERROR),
         r(good & (kind == "empty"), "Sitemap Returned No Content", WARNING), r(good & (kind == "gzip"), "Gzip Decompression Error", ERROR),
-        r(F.col("bytes") > 50 << 20, "Sitemap Too Large (>50MB)", ERROR), r((F.col("bytes") > 40 << 20) & (F.col("bytes") <= 50 << 20), "Sitemap Large (>40MB)", WARNING),
-        r(good & kind.isin("urlset", "index") & ~F.col("namespaced"), "Missing Sitemap Namespace", WARNING),
-        r(good & (kind == "index"), count(F.size("children"), "Sitemap Index (%d sitemaps)"), INFO), r(good & (kind == "broken"), "Sitemap Parse Error", ERROR),
-        r(good & urlset & (n == 0), "Empty Sitemap", WARNING), r(urlset & (n > 50000), count(n, "URL Limit Exceeded (%d URLs)"), ERROR), r(urlset & n.between(45001, 50000), count(n, "Approaching URL Limit (%d URLs)"), WARNING),
-        r(good & urlset & n.between(1, 45000), count(n, "Sitemap Parsed (%d URLs)"), INFO),
-        r(urlset & (F.col("rated") >= 10) & (F.col("top") == F.col("rated")), "All URLs Have Priority 1.0", WARNING), r(urlset & (F.col("invalid") > 0), count("invalid", "Invalid URLs in Sitemap (%d)"), WARNING),
-        r(urlset & (F.col("future") > 0), count("future", "Future Lastmod Dates (%d)"), WARNING), r(urlset & (F.col("old") > 10), count("old", "Outdated URLs (%d)"), INFO), r(urlset & (F.col("off") > 0), count("off", "Invalid Priority Values (%d)"), ERROR),
+        r(F.col("bytes") > 50 << 20, count(mb, "Sitemap Too Large (%.2fMB)"), ERROR), r((F.col("bytes") > 40 << 20) & (F.col("bytes") <= 50 << 20), count(mb, "Sitemap Large (%.2fMB)"), WARNING),
+        r(good & kind.isin("urlset", "index") & ~F.col("namespaced"), "Invalid Sitemap XML (Missing Namespace)", WARNING),
+        r(good & (kind == "index"), count(F.size("children"), "Sitemap Index (%d sitemaps)"), INFO), r(good & (kind == "broken"), F.concat(F.lit("Sitemap Parse Error: "), F.coalesce("failure", F.lit(""))), ERROR),
+        r(good & urlset & (n == 0), "Empty Sitemap", WARNING), r(urlset & (n > 50000), count(n, "URL Limit Exceeded (%,d URLs)"), ERROR), r(urlset & n.between(45001, 50000), count(n, "Approaching URL Limit (%,d URLs)"), WARNING),
+        r(good & urlset & n.between(1, 45000), count(n, "Sitemap Parsed (%,d URLs)"), INFO),
+        r(urlset & (F.col("rated") >= 10) & (F.col("top") == F.col("rated")), "All Priority 1.0 (Defeats Purpose)", WARNING), r(urlset & (F.col("invalid") > 0), count("invalid", "Invalid URLs (%d)"), WARNING),
+        r(urlset & (F.col("future") > 0), count("future", "Future Lastmod Dates (%d)"), WARNING), r(urlset & (F.col("old") > 10), count("old", "Outdated URLs (%d > 2 years old)"), INFO), r(urlset & (F.col("off") > 0), count("off", "Invalid Priority Values (%d)"), ERROR),
     ])
     entries = joined.where(urlset).select("project_id", "url_id", "page", "http_status", F.explode("entries").alias("e")).select("project_id", "url_id", "page", "http_status", "e.at", U.normalize(F.col("e.loc")).alias("norm")).where("norm is not null")
     sampled = entries.where(F.col("at") < COMPARED).join(statuses(crawl), ["project_id", "norm"]).groupBy("project_id", "url_id", "page", "http_status").agg(F.count_if(F.col("target_status") == 404).alias("n404"), F.count_if(F.col("target_status") >= 500).alias("n500"), F.count_if(F.col("target_status").between(300, 399)).alias("n300"))
-    states = rows(sampled, "Sitemap", [r(F.col("n404") > 0, count("n404", "Sitemap Contains 404s (%d)"), ERROR), r(F.col("n500") > 0, count("n500", "Sitemap Contains 5xx Errors (%d)"), ERROR), r(F.col("n300") > 0, count("n300", "Sitemap Contains Redirects (%d)"), WARNING)])
+    states = rows(sampled, "Sitemap", [r(F.col("n404") > 0, count("n404", "Sitemap Contains 404s (%d URLs)"), ERROR), r(F.col("n500") > 0, count("n500", "Sitemap Contains 5xx Errors (%d URLs)"), ERROR), r(F.col("n300") > 0, count("n300", "Sitemap Contains Redirects (%d URLs)"), WARNING)])
     listed = entries.select("project_id", F.lower("norm").alias("norm")).distinct()
     crawled = standard(ctx).select("project_id", "url_id", "depth", F.lower(U.normalize(F.col("page"))).alias("norm"), "anchors", "page")
     linked = crawled.select("project_id", "norm", F.explode("anchors").alias("a")).select("project_id", F.col("norm").alias("own"), F.lower(U.normalize(F.col("a.url"))).alias("norm")).where("own != norm").select("project_id", "norm").distinct()
@@ -123,7 +124,7 @@ def validated(root: dict) -> list[tuple]:
         if notes:
             out.append((f"Product Recommendations ({len(notes)})", WARNING, ", ".join(notes[:2])))
         elif "aggregateRating" in root:
-            out.append(("Product Schema Complete with Star Ratings", INFO, "aggregateRating"))
+            out.append(("Complete with Star Ratings", INFO, "aggregateRating"))
     elif kind == "VideoObject":
         listed("Incomplete Video Schema", ERROR, lacking(root, "name", "description", "thumbnailUrl", "uploadDate", "contentUrl or embedUrl"))
         notes = [f"{n} is recommended" for n in lacking(root, "duration", "interactionStatistic")]
@@ -172,7 +173,7 @@ def validated(root: dict) -> list[tuple]:
             if lost:
                 out.append((f"FAQ Missing Answers ({lost})", WARNING, "acceptedAnswer"))
             else:
-                out.append((f"FAQ Complete ({len(texts)} questions)", INFO, "mainEntity"))
+                out.append((f"FAQ Complete ({len(texts)} Q&As)", INFO, "mainEntity"))
             if short:
                 out.append((f"FAQ Short Answers ({short})", INFO, "acceptedAnswer"))
     elif kind == "HowTo" and "step" not in root:
@@ -187,7 +188,7 @@ def json_ld(blocks: list[str]) -> tuple[list[tuple], list[str], list[tuple]]:
         try:
             root = json.loads(block)
         except ValueError as e:
-            found.append(("JSON-LD", "JSON Syntax Error", ERROR, str(e)))
+            found.append(("JSON-LD", f"JSON Syntax Error: {e}", ERROR, str(e)))
             continue
         for one in root if isinstance(root, list) else [root]:
             if not isinstance(one, dict):
@@ -234,16 +235,15 @@ def structured_data(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     ])
     every = joined.select("project_id", "url_id", "page", F.explode("businesses").alias("b"))
     differ = every.groupBy("project_id").agg(F.count_distinct(F.lower("b.name")).alias("names"), F.count_distinct(F.lower("b.address")).alias("places"), F.count_distinct("b.phone").alias("phones"), F.min(F.struct("url_id", "page")).alias("first")).select("project_id", "first.*", "names", "places", "phones")
-    nap = rows(differ, "StructuredData", [r((F.col("names") > 1) | (F.col("places") > 1) | (F.col("phones") > 1), "NAP Inconsistency", WARNING, "LocalBusiness", F.format_string("%d names, %d addresses, %d phones", "names", "places", "phones"))])
+    nap = rows(differ, "StructuredData", [r((F.col("names") > 1) | (F.col("places") > 1) | (F.col("phones") > 1), F.format_string("NAP Inconsistency (%d names, %d phones)", "names", "phones"), WARNING, "LocalBusiness", F.format_string("%d names, %d addresses, %d phones", "names", "places", "phones"))])
     return schemas.unionByName(page).unionByName(nap)
 
 
 def extraction(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     """A row for each page and enabled rule with values; a rule that fails is a row of its own."""
     own = ctx.where(F.col("has_html") & ok_pages()).select("project_id", "url_id", "page")
-    pages = own.join(crawl.page_html, "url_id")
     rules = crawl.extraction_rules.select("rule_id", "name", "selector")
-    found = html_dom.extractions(pages, crawl.extraction_rules).join(own, "url_id").join(F.broadcast(rules), "rule_id")
+    found = html_dom.extractions(crawl.page_html, crawl.extraction_rules).join(own, "url_id").join(small(rules), "rule_id")
     kept = F.filter(F.transform("values", lambda v: F.trim(v)), lambda v: v.isNotNull())
     return rows(found.withColumn("kept", kept), "CustomExtraction", [
         rule(F.size("kept") > 0, F.col("name"), INFO, "", RuleName=F.col("name"), ExtractedValue=F.array_join("kept", "\n"), Selector=F.col("selector"), Count=F.size("kept")),

@@ -207,7 +207,8 @@ def estimated_bytes(df: DataFrame) -> int:
 
 
 def features(urls: DataFrame, page_html: DataFrame) -> DataFrame:
-    """One row (SCHEMA) for each page with markup. A small table is spread over all cores first, a large one is split by its scan already and its markup never shuffled."""
+    """One row (SCHEMA) for each page with markup: map-only over (url_id, address, html). A table of less than SPREAD bytes a core is spread over all cores first; beyond that the scan splits it and its
+    markup is never shuffled. A table without an address column takes it from ``urls``, by a join that does move the markup."""
     struct = T.StructType.fromDDL(re.sub(r"\s+", " ", SCHEMA))
     kinds = to_arrow_schema(struct)
 
@@ -220,7 +221,9 @@ def features(urls: DataFrame, page_html: DataFrame) -> DataFrame:
     pages, cores = page_html.where("html is not null and trim(html) != ''"), page_html.sparkSession.sparkContext.defaultParallelism
     if estimated_bytes(page_html) < cores * SPREAD:
         pages = pages.repartition(cores, "url_id")
-    return urls.select("url_id", "address").join(pages, "url_id").select("url_id", "address", "html").mapInArrow(run, struct)
+    if "address" not in pages.columns:
+        pages = pages.join(urls.select("url_id", "address"), "url_id")
+    return pages.select("url_id", "address", "html").mapInArrow(run, struct)
 
 
 def host_of(url: str) -> str:
@@ -345,7 +348,7 @@ def select(root: Node, alternatives: list[list[tuple]]) -> list[Node]:
 
 
 def extractions(pages: DataFrame, rules: DataFrame) -> DataFrame:
-    """(url_id, rule_id, values, failure) of pages (url_id, html) crossed with enabled rules; a page is parsed once for all of them."""
+    """(url_id, rule_id, values, failure) of pages (url_id, project_id, html) crossed with enabled rules; a page is parsed once for all of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -366,4 +369,5 @@ def extractions(pages: DataFrame, rules: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["url_id", "rule_id", "values", "failure"])
 
     gathered = rules.where("is_enabled").groupBy("project_id").agg(F.sort_array(F.collect_list(F.struct("rule_id", "selector_type", "selector"))).alias("rules"))
-    return pages.join(F.broadcast(gathered), "project_id").select("url_id", "html", "rules").mapInPandas(run, "url_id long, rule_id int, values array<string>, failure string")
+    rules = F.broadcast(gathered) if estimated_bytes(gathered) <= SPREAD else gathered
+    return pages.join(rules, "project_id").select("url_id", "html", "rules").mapInPandas(run, "url_id long, rule_id int, values array<string>, failure string")

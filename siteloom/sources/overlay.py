@@ -66,4 +66,4 @@ def crawl(spark: SparkSession, sf_dir: str) -> model.Crawl:
     known = rows.select("project_id", F.col("page_id").alias("to_url_id"), U.normalize(F.col("url")).alias("norm")).dropDuplicates(["norm"])
     stored = edges.join(known, "norm").select("project_id", F.col("page_id").alias("from_url_id"), "to_url_id", F.col("anchor").alias("anchor_text"), F.lit(0).cast("tinyint").alias("link_type"), none("string").alias("rel"), F.lit(False).alias("is_nofollow"), F.lit(False).alias("is_ugc"), F.lit(False).alias("is_sponsored"), none("string").alias("dom_path"))
     hops = redirects(raw).select(F.col("page_id").alias("url_id"), F.col("source").alias("from_url"), F.col("target").alias("to_url"), F.col("code").alias("status_code"), F.lit(0).alias("position"))
-    return model.Crawl(spark, projects=projects, urls=urls, page_html=raw.select(F.col("page_id").alias("url_id"), "html"), links=stored, redirects=hops)
+    return model.Crawl(spark, projects=projects, urls=urls, page_html=rows.select(F.col("page_id").alias("url_id"), "project_id", F.col("url").alias("address"), "html"), links=stored, redirects=hops)

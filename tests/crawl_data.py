@@ -18,7 +18,7 @@ def crawl(spark, pages: list[dict], headers=(), links=(), redirects=(), sitemaps
     urls = [(i, 1, p["url"], p.get("depth", 1), 2, p.get("status", 200), p.get("type", "text/html; charset=utf-8"), 10, None, None, True, p.get("target"), p.get("loop", False)) for i, p in enumerate(pages, 1)]
     frame = lambda rows, name: spark.createDataFrame(list(rows), model.schema(name))
     return model.Crawl(
-        spark, projects=frame(PROJECT, "projects"), urls=frame(urls, "urls"), page_html=frame([(i, p["html"]) for i, p in enumerate(pages, 1) if p.get("html") is not None], "page_html"),
+        spark, projects=frame(PROJECT, "projects"), urls=frame(urls, "urls"), page_html=frame([(i, 1, p["url"], p["html"]) for i, p in enumerate(pages, 1) if p.get("html") is not None], "page_html"),
         headers=frame([(u, n, v, i) for i, (u, n, v) in enumerate(headers)], "headers"), links=frame(links, "links"), redirects=frame(redirects, "redirects"), sitemaps=frame(sitemaps, "sitemaps"),
         robots_txt=frame(robots, "robots_txt"), external_status=frame(external, "external_status"), variant_probe=frame(probes, "variant_probe"), extraction_rules=frame(rules, "extraction_rules"),
     )
