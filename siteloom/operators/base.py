@@ -13,6 +13,7 @@ from siteloom import model
 from siteloom.functions import urls as U
 from siteloom.sources import files, html_dom
 
+ROW_SCHEMA = "project_id int, task_key string, url_id long, page string, issue string, severity int, explanation string, fields map<string,string>"
 ROW = ["project_id", "task_key", "url_id", "page", "issue", "severity", "explanation", "fields"]
 
 

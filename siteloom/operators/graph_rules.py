@@ -142,14 +142,15 @@ def canonical(crawl: Crawl, ctx: DataFrame, compat: bool = False) -> DataFrame:
 
 
 def loops(starts: DataFrame, edges: DataFrame, most: int = HOPS) -> DataFrame:
-    """As ``chains``, over comparable URLs."""
-    now = starts.withColumns({"path": F.array("start"), "at": F.col("start"), "loop": F.lit(False)})
-    step = edges.select("project_id", F.col("source").alias("at"), U.comparable(F.col("target")).alias("following"))
+    """``starts`` (…, page, start) with path, the addresses as written, and loop: edges between comparable URLs are followed until one leads to a URL seen before."""
+    now = starts.withColumns({"path": F.array("page"), "seen": F.array("start"), "at": F.col("start"), "loop": F.lit(False)})
+    step = edges.select("project_id", F.col("source").alias("at"), F.col("target").alias("written"), U.comparable(F.col("target")).alias("following"))
     for _ in range(most):
         going = F.col("following").isNotNull() & ~F.col("loop")
-        again = going & F.array_contains("path", F.col("following"))
-        now = now.join(step, ["project_id", "at"], "left").select(*starts.columns, F.when(going, F.concat("path", F.array("following"))).otherwise(F.col("path")).alias("path"), F.when(going & ~again, F.col("following")).alias("at"), (F.col("loop") | F.coalesce(again, F.lit(False))).alias("loop"))
-    return now.drop("at")
+        again = going & F.array_contains("seen", F.col("following"))
+        longer = lambda c, x: F.when(going, F.concat(c, F.array(x))).otherwise(F.col(c)).alias(c)  # noqa: B023, E731
+        now = now.join(step, ["project_id", "at"], "left").select(*starts.columns, longer("path", "written"), longer("seen", "following"), F.when(going & ~again, F.col("following")).alias("at"), (F.col("loop") | F.coalesce(again, F.lit(False))).alias("loop"))
+    return now.drop("at", "seen")
 
 
 GENERIC = ["click here", "here", "learn more", "link", "more", "read more"]

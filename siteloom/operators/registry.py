@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import logging
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
@@ -15,12 +15,22 @@ from siteloom.plans.lineage import checkpoint
 Task = Callable[..., DataFrame]
 
 
+@dataclass(frozen=True)
+class Exporter:
+    key: str
+    name: str
+    extension: str
+    write: Callable[[DataFrame, str], None]
+
+
 @dataclass
 class Registry:
-    """Where tasks, exporters and report schemas are registered; all are enabled unless named otherwise."""
+    """Where tasks, exporters and report schemas are registered; all tasks are enabled unless named otherwise."""
 
     tasks: dict[str, tuple[int, Task]]
     disabled: frozenset[str] = frozenset()
+    exporters: dict[str, Exporter] = field(default_factory=dict)
+    schemas: dict[str, object] = field(default_factory=dict)
 
     def register(self, key: str, task: Task, priority: int = 100) -> None:
         """``task(crawl, ctx) -> rows``; a key can be taken once."""
@@ -28,20 +38,41 @@ class Registry:
             raise ValueError(f"task {key} is registered already")
         self.tasks[key] = (priority, task)
 
+    def register_exporter(self, key: str, name: str, extension: str, write: Callable[[DataFrame, str], None]) -> None:
+        """``write(findings, path)``; a key can be taken once."""
+        if key in self.exporters:
+            raise ValueError(f"exporter {key} is registered already")
+        self.exporters[key] = Exporter(key, name, extension, write)
+
+    def export(self, key: str, found: DataFrame, path: str) -> str:
+        """Write findings by a registered exporter; the path written, with its extension."""
+        own = self.exporters[key]
+        place = path if path.endswith(own.extension) else path + own.extension
+        own.write(found, place)
+        return place
+
+    def register_schema(self, schema) -> None:
+        """A task's report schema (``plans.report.ReportSchema``); one that is there is replaced."""
+        self.schemas[schema.task_key] = schema
+
     def ordered(self) -> list[tuple[str, Task]]:
         return [(k, t) for k, (p, t) in sorted(self.tasks.items(), key=lambda x: (x[1][0], x[0])) if k not in self.disabled]
 
-    def run(self, crawl: Crawl, only: list[str] | None = None, completed_only: bool = False) -> DataFrame:
-        """The findings of all tasks as one DataFrame. Building a task's plan may fail; it is logged and left out."""
+    def run(self, crawl: Crawl, only: list[str] | None = None, completed_only: bool = False, isolated: bool = False) -> DataFrame:
+        """The findings of all tasks as one DataFrame. A task whose plan cannot be built is logged and left out.
+
+        ``isolated``: each task also runs here, and its findings are written, so that one that fails while it runs is left out as well and the others are kept; that costs a job for each task.
+        """
         chosen = [(k, t) for k, t in self.ordered() if only is None or k in only]
         ctx = checkpoint(base.pages(crawl, completed_only))  # pages are parsed once, however often tasks read them
         parts = []
         for key, task in chosen:
             try:
-                parts.append(task(crawl, ctx).select(base.ROW))
+                found = task(crawl, ctx).select(base.ROW)
+                parts.append(checkpoint(found) if isolated else found)
             except Exception:
                 logging.getLogger(__name__).exception("task %s failed", key)
-        return graph_rules.union_all(parts)
+        return graph_rules.union_all(parts) if parts else crawl.spark.createDataFrame([], base.ROW_SCHEMA)
 
 
 def default(disabled: frozenset[str] = frozenset()) -> Registry:

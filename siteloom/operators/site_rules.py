@@ -236,7 +236,7 @@ def structured_data(crawl: Crawl, ctx: DataFrame) -> DataFrame:
     every = joined.select("project_id", "url_id", "page", F.explode("businesses").alias("b"))
     differ = every.groupBy("project_id").agg(F.count_distinct(F.lower("b.name")).alias("names"), F.count_distinct(F.lower("b.address")).alias("places"), F.count_distinct("b.phone").alias("phones"), F.min(F.struct("url_id", "page")).alias("first")).select("project_id", "first.*", "names", "places", "phones")
     nap = rows(differ, "StructuredData", [r((F.col("names") > 1) | (F.col("places") > 1) | (F.col("phones") > 1), F.format_string("NAP Inconsistency (%d names, %d phones)", "names", "phones"), WARNING, "LocalBusiness", F.format_string("%d names, %d addresses, %d phones", "names", "places", "phones"))])
-    return schemas.unionByName(page).unionByName(nap)
+    return schemas.unionByName(page).unionByName(latch(nap))
 
 
 def extraction(crawl: Crawl, ctx: DataFrame) -> DataFrame:

@@ -3,18 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import partial
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siteloom.functions import text as X
 from siteloom.functions import urls as U
-from siteloom.model import PRIORITY
 from siteloom.operators import base, dup_rules, graph_rules, page_rules, registry
 from siteloom.plans import report
 from siteloom.sources import overlay as O
-from siteloom.sources import files
+from siteloom.sources import files, planted
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -141,13 +139,13 @@ SESSION = "CASE " + " ".join(f"WHEN regexp_matches(url, '(?i){p}') THEN '{n} par
 
 
 @query(f"""SELECT page_id, issue FROM (
-SELECT page_id, CASE WHEN length({BARE}) > 100 THEN 'URL length exceeds 100 characters (' || length({BARE}) || ')' WHEN length({BARE}) > 75 THEN 'URL length exceeds 75 characters (' || length({BARE}) || ')' END AS issue FROM p
-UNION ALL SELECT page_id, CASE WHEN url <> lower(url) THEN 'Uppercase characters in URL' END FROM p
+SELECT page_id, CASE WHEN length({BARE}) > 100 THEN 'URL length > 100 characters (excluding query)' WHEN length({BARE}) > 75 THEN 'URL length > 75 characters (excluding query)' END AS issue FROM p
+UNION ALL SELECT page_id, CASE WHEN url <> lower(url) THEN 'Uppercase characters detected in URL' END FROM p
 UNION ALL SELECT page_id, CASE WHEN {QUERY} <> '' AND len(string_split(substring({QUERY}, 2), '&')) > 3 THEN 'Too many query parameters (' || len(string_split(substring({QUERY}, 2), '&')) || ')' END FROM p
 UNION ALL SELECT page_id, CASE WHEN {QUERY} <> '' AND regexp_matches(url, '(?i)[?&](page|p|pg|offset|start)=') THEN 'Pagination parameter detected in URL' END FROM p
 UNION ALL SELECT page_id, CASE WHEN {QUERY} <> '' THEN {SESSION} END FROM p
 UNION ALL SELECT page_id, CASE WHEN regexp_matches(url, '[^a-zA-Z0-9\\-_.~:/?#\\[\\]@!$&''()*+,;=%]') THEN 'Special characters found in URL' END FROM p
-UNION ALL SELECT page_id, CASE WHEN contains({path('url')}, '_') THEN 'Underscore detected in URL path' END FROM p) WHERE issue IS NOT NULL""")
+UNION ALL SELECT page_id, CASE WHEN contains({path('url')}, '_') THEN 'Underscore detected in path' END FROM p) WHERE issue IS NOT NULL""")
 def url_rules(spark, sf_dir):
     rows = pages(spark, sf_dir).select("page_id", "url")
     return rows.select("page_id", F.explode(F.filter(F.array(*page_rules.url_rules(F.col("url"))), lambda x: x.isNotNull())).alias("f")).select("page_id", "f.issue")
@@ -229,14 +227,6 @@ def redirect_targets(spark, sf_dir):
     return O.redirects(rows).join(statuses(rows).withColumnRenamed("norm", "target"), "target", "left").select("page_id", "source", "target", "code", "target_status", F.when(F.col("target_status") >= 500, 0).when(F.col("target_status") >= 300, 1).otherwise(2).alias("severity"))
 
 
-@query(", h AS (SELECT source, arg_max(target, {'page_id': page_id}) AS target FROM r GROUP BY source), " + ", ".join(f"c{k} AS (SELECT c.start, CASE WHEN h.target IS NOT NULL AND NOT c.loop THEN list_append(c.path, h.target) ELSE c.path END AS path, CASE WHEN h.target IS NOT NULL AND NOT c.loop AND NOT list_contains(c.path, h.target) THEN h.target END AS at, c.loop OR COALESCE(list_contains(c.path, h.target), false) AS loop FROM {'(SELECT DISTINCT source AS start, [source] AS path, source AS at, false AS loop FROM r)' if k == 1 else f'c{k - 1}'} c LEFT JOIN h ON h.source = c.at)" for k in range(1, 7)) + " SELECT start, CAST(len(path) - 1 AS INTEGER) AS hops, array_to_string(path, ' ') AS chain, loop FROM c6")
-def redirect_chain(spark, sf_dir):
-    hops = O.redirects(pages(spark, sf_dir)).groupBy("source").agg(F.max_by("target", "page_id").alias("target"))
-    starts = hops.select(F.col("source").alias("start"), F.lit(1).alias("project_id"))
-    found = graph_rules.chains(starts, hops.withColumn("project_id", F.lit(1)))
-    return found.select("start", (F.size("path") - 1).alias("hops"), F.array_join("path", " ").alias("chain"), "loop")
-
-
 @query("SELECT upper(sha256(text)) AS content_hash, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_docs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
@@ -255,14 +245,14 @@ def server_error_rate(spark, sf_dir):
     return pages(spark, sf_dir).agg(F.count("*").alias("pages"), bad.alias("errors"), F.round(bad * 100.0 / F.count("*"), 6).alias("percent"), ((F.count("*") >= 50) & (bad > F.count("*") * 0.05)).alias("alarming"))
 
 
-FOUND = "(SELECT page_id AS url_id, 'TitlesMeta' AS task_key, 'Title Too Short' AS issue_text, 1 AS severity FROM f WHERE length(title) < 30 UNION ALL SELECT page_id, 'Inventory', 'Uppercase characters in URL', 1 FROM p WHERE url <> lower(url) UNION ALL SELECT page_id, 'CrawlBudget', 'Server Error (HTTP ' || status || ')', CASE WHEN status = 500 THEN 0 ELSE 1 END FROM p WHERE status >= 400 UNION ALL SELECT page_id, 'Robots', 'Deep page', NULL FROM p WHERE depth = 4)"
+FOUND = "(SELECT page_id AS url_id, 'TitlesMeta' AS task_key, 'Title Too Short' AS issue_text, 1 AS severity FROM f WHERE length(title) < 30 UNION ALL SELECT page_id, 'Inventory', 'Uppercase characters detected in URL', 1 FROM p WHERE url <> lower(url) UNION ALL SELECT page_id, 'CrawlBudget', 'Server Error (HTTP ' || status || ')', CASE WHEN status = 500 THEN 0 ELSE 1 END FROM p WHERE status >= 400 UNION ALL SELECT page_id, 'Robots', 'Deep page', NULL FROM p WHERE depth = 4)"
 
 
 def found_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A few rules' rows as the report layer holds them."""
     f = features(spark, sf_dir)
     rows = lambda when, task, issue, severity: f.where(when).select(F.col("page_id").alias("url_id"), F.lit(task).alias("task_key"), base.text(issue).alias("issue_text"), severity.cast("int").alias("severity"))
-    parts = [rows("length(title) < 30", "TitlesMeta", "Title Too Short", F.lit(1)), rows("url != lower(url)", "Inventory", "Uppercase characters in URL", F.lit(1)), rows("status >= 400", "CrawlBudget", F.format_string("Server Error (HTTP %d)", "status"), F.when(F.col("status") == 500, 0).otherwise(1)), rows("depth = 4", "Robots", "Deep page", F.lit(None))]
+    parts = [rows("length(title) < 30", "TitlesMeta", "Title Too Short", F.lit(1)), rows("url != lower(url)", "Inventory", "Uppercase characters detected in URL", F.lit(1)), rows("status >= 400", "CrawlBudget", F.format_string("Server Error (HTTP %d)", "status"), F.when(F.col("status") == 500, 0).otherwise(1)), rows("depth = 4", "Robots", "Deep page", F.lit(None))]
     return graph_rules.union_all(parts).withColumns({"row_id": F.col("url_id"), "row_json": F.to_json(F.struct(F.col("issue_text").alias("Issue"))), "created": F.lit(None).cast("timestamp")})
 
 
@@ -298,8 +288,10 @@ def json_values(spark, sf_dir):
 
 @query("SELECT user_id, count(*) AS n, round(max(gap), 3) AS most, round(min(gap), 3) AS least FROM (SELECT user_id, epoch(ts) - lag(epoch(ts)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS gap FROM events) WHERE gap IS NOT NULL GROUP BY user_id")
 def politeness_gaps(spark, sf_dir):
-    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "ts", "event_id", F.col("ts").cast("timestamp").cast("double").alias("t"))
-    gaps = events.withColumn("gap", F.col("t") - F.lag("t").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))).where("gap is not null")
+    from siteloom.streaming import frontier
+
+    fetches = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"))
+    gaps = frontier.politeness(fetches).where("gap is not null").withColumnRenamed("host", "user_id")
     return gaps.groupBy("user_id").agg(F.count("*").alias("n"), F.round(F.max("gap"), 3).alias("most"), F.round(F.min("gap"), 3).alias("least"))
 
 
@@ -346,18 +338,9 @@ def kept_checkpoints(spark, sf_dir):
     return frontier.kept_checkpoints(rows).select(F.col("project_id").alias("conv_id"), F.col("created").alias("turn"), "role")
 
 
-def _task(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A task's own report over the pages as a crawl."""
-    found = registry.default().run(O.crawl(spark, sf_dir), [key])
-    return base.shaped(found, key)
-
-
-QUERIES |= {f"task_{k.lower()}": partial(_task, k) for k in PRIORITY}
-
-
 def all_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every task's findings as stored report rows, the clock left out."""
-    return report.stored(registry.default().run(O.crawl(spark, sf_dir)), F.lit(None).cast("timestamp"))
+    return report.stored(registry.default().run(planted.crawl(spark, sf_dir)), F.lit(None).cast("timestamp"))
 
 
 def page_features(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -371,8 +354,12 @@ QUERIES |= {"all_findings": all_findings, "page_features": page_features}
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    from siteloom.plans import tasks
+
+    return QUERIES | tasks.QUERIES
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(ORACLES)
+    from siteloom.plans import tasks
+
+    return ORACLES | tasks.ORACLES

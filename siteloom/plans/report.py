@@ -70,7 +70,27 @@ def stored(found: DataFrame, created: Column | None = None) -> DataFrame:
 
 
 def write(rows: DataFrame, path: str) -> None:
-    rows.write.mode("append").partitionBy("task_key").parquet(path)
+    """Rows by task and project; those that a run writes replace the same task's and project's of an earlier run, and others stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("task_key", "project_id").parquet(path)
+
+
+def deleted(rows: DataFrame, project: int | None = None, task: str | None = None) -> DataFrame:
+    """Rows but those of a project, of a task, or of a task of a project; with neither, none stays."""
+    gone = F.lit(True)
+    for column, value in (("project_id", project), ("task_key", task)):
+        gone = gone & (F.col(column).eqNullSafe(value) if value is not None else F.lit(True))
+    return rows.where(~gone)
+
+
+def of_url(rows: DataFrame, url_id: int) -> DataFrame:
+    """The findings of one page, by task in its priority and then severity."""
+    rank = F.coalesce(F.try_element_at(F.create_map(*(F.lit(x) for kv in model.PRIORITY.items() for x in kv)), F.col("task_key")), F.lit(100))
+    return rows.where(F.col("url_id") == url_id).orderBy(rank, "task_key", "severity", "issue_text", "row_id")
+
+
+def counts(rows: DataFrame, by: str) -> DataFrame:
+    """(by, n): how many rows each project, status, state, task or severity has."""
+    return rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(by)
 
 
 def get(column: str, name: str, kind: str = "string") -> Column:
