@@ -24,11 +24,11 @@ DETAIL = {
 
 
 def task(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(url_id, issue, severity, detail) of one task's findings; the parser's own words are cut from syntax errors."""
+    """(url_id, issue, severity, detail) of one task's findings, -1 for the URL of a whole site's; the parser's own words are cut from syntax errors."""
     found = registry.default().run(planted.crawl(spark, sf_dir), [key])
     detail = F.concat_ws("|", *(F.coalesce(F.try_element_at("fields", F.lit(c)), F.lit("")) for c in DETAIL[key]))
     broken = F.col("issue").startswith("JSON Syntax Error")
-    return found.select("url_id", F.when(broken, "JSON Syntax Error").otherwise(F.col("issue")).alias("issue"), "severity", F.when(broken, "").otherwise(detail).alias("detail"))
+    return found.select(F.coalesce("url_id", F.lit(-1)).alias("url_id"), F.when(broken, "JSON Syntax Error").otherwise(F.col("issue")).alias("issue"), "severity", F.when(broken, "").otherwise(detail).alias("detail"))
 
 
 QUERIES: dict[str, Callable] = {f"task_{k.lower()}": partial(task, k) for k in PRIORITY}
@@ -135,11 +135,11 @@ MAP = "CAST(1000000000 + project_id - 1 AS BIGINT)"
 sitemap = [rule(w, i, s, "'Yes'", "maps", u) for w, i, s, u in (
     ("project_id = 4", "'Sitemap Not Found'", 1, MAP), ("n BETWEEN 1 AND 45000", "'Sitemap Parsed (' || format('{:,}', n) || ' URLs)'", 2, MAP), ("n_rated >= 10", "'All Priority 1.0 (Defeats Purpose)'", 1, MAP), ("n_future > 0", "'Future Lastmod Dates (' || n_future || ')'", 1, MAP), ("n_old > 10", "'Outdated URLs (' || n_old || ' > 2 years old)'", 2, MAP),
     ("n_off > 0", "'Invalid Priority Values (' || n_off || ')'", 0, MAP), ("n404 > 0", "'Sitemap Contains 404s (' || n404 || ' URLs)'", 0, MAP), ("n500 > 0", "'Sitemap Contains 5xx Errors (' || n500 || ' URLs)'", 0, MAP), ("n300 > 0", "'Sitemap Contains Redirects (' || n300 || ' URLs)'", 1, MAP),
-    ("project_id < 4 AND n_lonely > 0", "'Orphan URLs in Sitemap (' || n_lonely || ')'", 1, "CAST(NULL AS BIGINT)"), ("n > 0 AND n_unlisted > 0", "'URLs Missing from Sitemap (' || n_unlisted || ')'", 2, "CAST(NULL AS BIGINT)"),
+    ("project_id < 4 AND n_lonely > 0", "'Orphan URLs in Sitemap (' || n_lonely || ')'", 1, "CAST(-1 AS BIGINT)"), ("n > 0 AND n_unlisted > 0", "'URLs Missing from Sitemap (' || n_unlisted || ')'", 2, "CAST(-1 AS BIGINT)"),
 )]
 COPIES = f", y AS (SELECT k, count(*) OVER (PARTITION BY project_id) AS n FROM std WHERE {planted.COPY})\n"
 PROBED = [("Correct (301)", 2), ("Temporary Redirect (302)", 0), ("Wrong Target", 1), ("Duplicate Content", 0), ("Timeout", 1), ("Error (HTTP 503)", 1), ("Unreachable", 1)]
-copies = [rule("n > 1", "'Exact Duplicate (' || n || ' pages)'", 0, "'100'", "y"), *(f"SELECT CAST(NULL AS BIGINT), 'Domain Variant {i}', CAST({s} AS INTEGER), '0'" for i, s in PROBED)]
+copies = [rule("n > 1", "'Exact Duplicate (' || n || ' pages)'", 0, "'100'", "y"), *(f"SELECT CAST(-1 AS BIGINT), 'Domain Variant {i}', CAST({s} AS INTEGER), '0'" for i, s in PROBED)]
 ORIGIN = audit.origin("address")
 BROKEN = f""", page AS (SELECT * FROM x WHERE html AND ok), hyper AS (SELECT k, project_id, address, 'Hyperlink' AS type, k + 4 AS b, nofollow FROM page WHERE outs > 0 UNION ALL SELECT k, project_id, address, 'Hyperlink', k + 8, false FROM page WHERE outs > 1),
 inner_links AS (SELECT h.k, h.nofollow, {planted.address('b')} AS url, t.status AS code FROM hyper h LEFT JOIN x t ON t.k = h.b WHERE (h.k % 37 = 11) = (h.b % 37 = 11)),
@@ -156,7 +156,7 @@ MATCHES = " + ".join(f"CAST(contains({c}, '{w}') AS INTEGER)" for w in WORDS for
 BUDGET = f", y AS (SELECT *, {MATCHES} AS matches FROM x WHERE internal AND html AND ok), rates AS (SELECT project_id, count(*) + 1 AS n, count(*) FILTER (WHERE status >= 500) AS bad FROM x WHERE internal GROUP BY project_id)\n"
 budget = [
     rule("internal AND status = 500", "'Server Error (HTTP 500)'", 1, "''", "x"), rule("matches > 0 OR length(body) < 200 AND regexp_matches(lower(title), 'error|not found')", "'Soft 404 (' || CASE WHEN matches = 1 AND length(body) > 500 THEN 'medium' ELSE 'high' END || ' confidence)'", 1, "''", "y"),
-    rule("n >= 50 AND bad > 0.05 * n", "'High Server Error Rate (' || CAST(floor(100.0 * bad / n) AS INTEGER) || '%)'", 0, "bad || ' of ' || n || ' pages'", "rates", "CAST(NULL AS BIGINT)"),
+    rule("n >= 50 AND bad > 0.05 * n", "'High Server Error Rate (' || CAST(floor(100.0 * bad / n) AS INTEGER) || '%)'", 0, "bad || ' of ' || n || ' pages'", "rates", "CAST(-1 AS BIGINT)"),
 ]
 BOAT, CDN, ICON, ROW, DATA, PLAIN = f"{ORIGIN} || '/a' || k || '.png|A boat in the harbour'", "'https://cdn.example.com/b' || k || '.webp|'", f"{ORIGIN} || '/icon.svg|icon'", f"{ORIGIN} || '/c.webp|image of ' || repeat('a long row ', 12)", "substring('data:image/png;base64,' || repeat('QUJD', 4000), 1, 100) || '...|'", "'http://plain.example.com/i.webp|plain picture of boats'"
 images = [rule(w, f"'{i}'", s, d) for w, i, s, d in (
