@@ -69,12 +69,12 @@ def map_slices(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
     return df.select(*columns).mapInArrow(run, schema)
 
 
-def filter_slices(df: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray], text: str = "text") -> DataFrame:
+def filter_slices(df: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Rows where ``mask`` holds, with all columns of ``df`` under their own names, without a shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, text):
+            for part in slices(batch, text, limit):
                 yield part.filter(pa.array(mask(part)))
             tidy()
 

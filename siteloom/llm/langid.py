@@ -33,6 +33,8 @@ EXCERPTS = (1, 2, 3, 5, 8, 13, 21)
 #: Held-out documents of about as many n-grams that calibrate a limit (MOST holds where there are fewer in all), the quantile of their distances, and the share of the way from there to 1 that is left free.
 HELD, QUANTILE, FREE = 100, 0.99, 0.25
 SEPARATOR = "\x00"
+#: Bytes of text ranked at once: each letter has three n-grams of eight bytes.
+SLICE = 1 << 20
 
 
 #: Code points that may be letters or marks (beyond them lie private ones and the variation selectors, which say nothing), and bits of a symbol.
@@ -224,7 +226,7 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str
         keep = accepted(found, declared.to_pylist(), p)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), declared, pa.array(found[0], pa.string()), pa.array(found[1]), pa.array(found[2]), pa.array(keep)], ["doc_id", "declared", "language", "distance", "next_distance", "keep"])
 
-    return map_slices(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), lang: F.col(lang).cast("string")}), ["doc_id", text, lang], run, "doc_id long, declared string, language string, distance double, next_distance double, keep boolean", text)
+    return map_slices(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), lang: F.col(lang).cast("string")}), ["doc_id", text, lang], run, "doc_id long, declared string, language string, distance double, next_distance double, keep boolean", text, SLICE)
 
 
 def keep_identified(docs: DataFrame) -> DataFrame:
@@ -239,4 +241,4 @@ def keep_identified(docs: DataFrame) -> DataFrame:
         declared = batch.column("lang").to_pylist()
         return accepted(shared.value.identify(batch.column("text"), declared), declared, shared.value)
 
-    return filter_slices(docs, mask)
+    return filter_slices(docs, mask, limit=SLICE)

@@ -35,8 +35,8 @@ DIGIT, END, START = LETTERS + 1, LETTERS + DIGITS + 1, LETTERS + DIGITS + 2
 POINTS = 0x110000
 #: Codes that a task holds before it passes on the distinct ones.
 HELD = 1 << 21
-#: Words spelt at once while fitting.
-CHUNK = 1 << 15
+#: Words spelt at once while fitting, and bytes of text scored at once.
+CHUNK, SLICE = 1 << 15, 2 << 20
 
 
 def masked(codes: np.ndarray, symbols: int) -> np.ndarray:
@@ -337,7 +337,7 @@ def score(docs: DataFrame, model: Model | None, text: str = "text", lang: str =
         s = m.score(batch.column(text), batch.column(lang).to_pylist()) if m else np.zeros(batch.num_rows)
         return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(s), pa.array(flagged(s, m))], ["doc_id", "score", "toxic"])
 
-    return map_slices(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), lang: F.col(lang).cast("string")}), ["doc_id", text, lang], run, "doc_id long, score double, toxic boolean", text)
+    return map_slices(docs.withColumns({"doc_id": F.col("doc_id").cast("long"), lang: F.col(lang).cast("string")}), ["doc_id", text, lang], run, "doc_id long, score double, toxic boolean", text, SLICE)
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -347,4 +347,4 @@ def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     are scored whole, an empty table stays empty, and columns of any name pass through.
     """
     shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
-    return filter_slices(docs, lambda batch: ~flagged(shared.value.score(batch.column("text"), batch.column("lang").to_pylist()), shared.value) if shared.value else np.ones(batch.num_rows, bool))
+    return filter_slices(docs, lambda batch: ~flagged(shared.value.score(batch.column("text"), batch.column("lang").to_pylist()), shared.value) if shared.value else np.ones(batch.num_rows, bool), limit=SLICE)
