@@ -253,5 +253,28 @@ def reached(starts: DataFrame, edges: DataFrame, max_depth: int, max_urls: int)
     return visited.orderBy("depth", "address").limit(max_urls)
 
 
+def simulated(starts: DataFrame, edges: DataFrame, max_depth: int, max_urls: int, barred: DataFrame | None = None) -> DataFrame:
+    """A crawl over known links: (address, depth, state) from ``starts`` (address) along ``edges`` (source, target, external).
+
+    A page below ``max_depth`` is expanded; an external target is a leaf at depth -1; what ``barred`` (address) holds, as robots.txt forbids it, is seen but neither fetched nor expanded.
+    Pages are taken by depth and address until ``max_urls`` are fetched; the rest stays queued. Each round is one join against what the last one found, and is checkpointed.
+    """
+    from siteloom.plans.lineage import checkpoint
+
+    none = starts.select("address").limit(0)
+    closed = barred.select("address").distinct() if barred is not None else none
+    seen = layer = checkpoint(starts.select("address").distinct().withColumns({"depth": F.lit(0), "external": F.lit(False)}))
+    for depth in range(1, max_depth + 1):
+        open_pages = layer.where("not external").join(closed, "address", "left_anti").select(F.col("address").alias("source"))
+        following = edges.join(open_pages, "source").groupBy(F.col("target").alias("address")).agg(F.min("external").alias("external")).join(seen.select("address"), "address", "left_anti")
+        layer = checkpoint(following.select("address", F.when(F.col("external"), -1).otherwise(depth).alias("depth"), "external"))
+        if layer.isEmpty():
+            break
+        seen = checkpoint(seen.unionByName(layer))
+    fetched = seen.where("not external").join(closed, "address", "left_anti").orderBy("depth", "address").limit(max_urls).select("address", F.lit("fetched").alias("state"))
+    kept = seen.join(fetched, "address", "left").join(closed.withColumn("closed", F.lit(True)), "address", "left")
+    return kept.select("address", "depth", F.when(F.col("state").isNotNull(), F.col("state")).when(F.col("closed"), "barred").when(F.col("external"), "external").otherwise("queued").alias("state"))
+
+
 def union_all(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)

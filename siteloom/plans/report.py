@@ -10,7 +10,9 @@ from pyspark.sql import types as T
 
 from siteloom import model
 from siteloom.functions import text as X
+from siteloom.functions import urls as U
 from siteloom.operators import base
+from siteloom.plans.workbook import write as write_workbook
 
 ISSUE_SIZE = 512
 KINDS = {"String": "string", "Integer": "bigint", "Decimal": "decimal(38,9)", "DateTime": "timestamp", "Boolean": "boolean", "Url": "string"}
@@ -165,14 +167,58 @@ def export_findings(found: DataFrame, path: str, tasks: list[str] | None = None,
     return [*keys, "Summary"]
 
 
+def workbook(found: DataFrame, path: str, rules: DataFrame | None = None, tasks: list[str] | None = None, severities: list[int] | None = None) -> list[str]:
+    """One workbook: a summary, a sheet for each task's report by severity, and, with ``rules``, extractions as a pivot of pages by rule; the names of the sheets."""
+    from siteloom.operators import site_rules
+
+    rows = found if severities is None else found.where(F.col("severity").isin(severities))
+    rows = rows if tasks is None else rows.where(F.col("task_key").isin(tasks))
+    keys = sorted((r.task_key for r in rows.select("task_key").distinct().collect()), key=lambda k: (model.PRIORITY.get(k, 100), k))
+    sheets = {"Summary": summary(rows)}
+    for key in keys:
+        own = rows.where(F.col("task_key") == key)
+        if key == "CustomExtraction" and rules is not None:
+            sheets[key] = site_rules.pivot(own, rules).orderBy("Page")
+        elif key in model.REPORTS:
+            shaped = base.shaped(own, key)
+            sheets[key] = shaped.drop("project_id", "url_id").orderBy(F.array_position(F.array(*(F.lit(x) for x in model.SEVERITIES)), F.col("Severity")), *shaped.columns[3:5])
+        else:  # a task without a report of its own
+            sheets[key] = own.select("page", "issue", "severity", "explanation").orderBy(F.desc("severity"), "page", "issue")
+    return write_workbook(path, sheets)
+
+
+STATES = ["Pending", "Crawling", "Completed", "Failed"]
+
+
 def url_sheet(ctx: DataFrame) -> DataFrame:
-    """URLs by address as a sheet shows them: Yes, No or nothing, External below depth 0."""
-    kinds = dict(ctx.dtypes)
-    shown = ["address", "http_status", "content_type", "content_length", "title", "html_lang", "canonical", "canonical_html", "canonical_http", "has_multiple_canonicals", "robots_meta", "x_robots_tag", "robots_noindex", "robots_nofollow", "robots_noarchive", "robots_nosnippet", "robots_noimageindex", "robots_conflict", "is_indexable", "refresh_delay", "refresh_target", "redirect_target", "is_redirect_loop", "first_seen", "last_crawled", "robots_allowed", "body_length", "main_length"]
-    columns = [(F.when(F.col(c), "Yes").when(~F.col(c), "No").otherwise("") if kinds[c] == "boolean" else F.coalesce(F.col(c).cast("string"), F.lit(""))).alias(c) for c in shown]
-    heads = [F.array_join(F.transform(F.filter("headings", lambda h, k=k: h["level"] == k), lambda h: h["text"]), " | ").alias(f"h{k}") for k in range(1, 7)]
-    depth = F.when(F.col("depth") < 0, "External").otherwise(F.col("depth").cast("string")).alias("depth")
-    return ctx.select(*columns, depth, *heads, F.try_element_at("headers", F.lit("cache-control")).alias("cache_control")).orderBy("address")
+    """URLs by address as a sheet shows them, in 52 columns: Yes, No or nothing, External at depth -1. What a browser alone tells (changes by script) is empty."""
+    blank, low = F.lit(""), F.lower
+    yes = lambda c: F.when(c, "Yes").otherwise("")
+    either = lambda c: F.when(c, "Yes").when(~c, "No").otherwise("")
+    shown = lambda c: F.coalesce((F.col(c) if isinstance(c, str) else c).cast("string"), blank)
+    when = lambda c: F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm:ss"), blank)
+    heads = {f"H{k}": F.array_join(F.transform(F.filter("headings", lambda h, k=k: h["level"] == k), lambda h: h["text"]), " | ") for k in range(1, 7)}
+    several, cross = F.col("has_multiple_canonicals"), F.coalesce(U.is_external(F.col("address"), F.col("canonical")), F.lit(False))
+    soft = low(F.coalesce("title", blank)).rlike("404|not found") & (F.col("http_status") == 200)
+    source = F.concat_ws(", ", F.when(F.col("robots_meta").isNotNull(), "meta"), F.when(F.col("x_robots_tag").isNotNull(), "header"))
+    flag = lambda name: either(F.when(F.col("has_html"), F.col(f"robots_{name}")))
+    columns = {
+        "Address": F.col("address"), "Status Code": F.coalesce("http_status", F.lit(0)), "Title": shown("title"), "Meta Description": shown(base.meta("description")), **{k: F.coalesce(v, blank) for k, v in heads.items()}, "Content Type": shown("content_type"), "Content Length": F.coalesce("content_length", F.lit(0)),
+        "Depth": F.when(F.col("depth") < 0, "External").otherwise(F.col("depth").cast("string")), "Status": F.coalesce(F.get(F.array(*(F.lit(x) for x in STATES)), F.col("status").cast("int")), blank), "Scheme": U.scheme(F.col("address")), "Host": U.host(F.col("address")), "Path": U.path(F.col("address")),
+        "Canonical (HTML)": shown("canonical_html"), "Canonical (HTTP)": shown("canonical_http"), "Has Multiple Canonicals": yes(several), "Has Cross-Domain Canonical": yes(cross), "Canonical Issues": F.concat_ws("; ", F.when(several, "several canonicals"), F.when(cross, "another domain")),
+        "Robots Allowed": either(F.col("robots_allowed")), "Noindex": flag("noindex"), "Nofollow": flag("nofollow"), "Noarchive": flag("noarchive"), "Nosnippet": flag("nosnippet"), "Noimageindex": flag("noimageindex"), "Robots Source": source, "X-Robots-Tag": shown("x_robots_tag"), "Has Robots Conflict": yes(F.col("robots_conflict")), "Is Indexable": either(F.col("is_indexable")),
+        "Redirect Target": shown("redirect_target"), "Is Redirect Loop": yes(F.col("is_redirect_loop")), "Redirect Chain Length": shown("redirect_chain_length") if "redirect_chain_length" in ctx.columns else blank, "Is Soft 404": yes(soft), "Has Meta Refresh": yes(F.col("refresh_target").isNotNull()), "Meta Refresh Delay": shown("refresh_delay"), "Meta Refresh Target": shown("refresh_target"),
+        "Has JS Changes": blank, "JS Changed Elements": blank, "Cache-Control": shown(base.header("cache-control")), "Vary": shown(base.header("vary")), "Content-Encoding": shown(base.header("content-encoding")), "Link Header": shown(base.header("link")), "Has HSTS": yes(base.header("strict-transport-security").isNotNull()),
+        "HTML Lang": shown("html_lang"), "Content-Language Header": shown(base.header("content-language")), "Content Hash": F.coalesce(X.sha256(F.col("visible")), blank), "SimHash": shown(F.when(F.col("visible").isNotNull(), X.simhash(F.col("visible")))), "First Seen": when("first_seen"), "Last Crawled": when("last_crawled"),
+    }
+    return ctx.select(*(v.alias(k) for k, v in columns.items())).orderBy("Address")
+
+
+def found_in(wide: DataFrame, text: str | None = None, severity: int | None = None) -> DataFrame:
+    """Rows of a pivot any of whose columns holds ``text``, whatever the case, and of a severity."""
+    out = wide if severity is None else wide.where(F.col("Severity") == severity)
+    wanted = (text or "").strip().lower()
+    return out if not wanted else out.where(F.exists(F.array(*(F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")) for c in wide.columns)), lambda v: F.contains(F.lower(v), F.lit(wanted))))
 
 
 def overview(ctx: DataFrame, text: str | None = None) -> DataFrame:
