@@ -18,6 +18,8 @@ from pyspark.sql import types as T
 
 #: Bytes of text that one slice of an Arrow batch holds, unless one row is longer; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and Python.
+BATCH_BYTES = 4 << 20
 #: Characters trimmed from both ends of a word.
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»“”‘’„…–—¡¿"
 
@@ -36,6 +38,13 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def bounded(spark: SparkSession) -> None:
+    """Lower the session's bound of bytes of an Arrow batch to BATCH_BYTES: batches of the default 10 000 rows hold tens of megabytes of text, in the JVM and in Python, for each task."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(name, "0b").rstrip("b") or 0) not in range(1, BATCH_BYTES + 1):
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def tidy() -> None:
     """Give freed memory back to the system: workers live on between stages, and what they keep counts against their executor."""
     pa.default_memory_pool().release_unused()
@@ -59,6 +68,8 @@ def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES
 def map_slices(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str | T.StructType, text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Only ``columns`` reach Python (the scan is pruned to them), in bounded slices; extra columns cannot clash."""
 
+    bounded(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, limit):
@@ -72,6 +83,8 @@ def map_slices(df: DataFrame, columns: list[str], fn: Callable[[pa.RecordBatch],
 def filter_slices(df: DataFrame, mask: Callable[[pa.RecordBatch], np.ndarray], text: str = "text", limit: int = SLICE_BYTES) -> DataFrame:
     """Rows where ``mask`` holds, with all columns of ``df`` under their own names, without a shuffle."""
 
+    bounded(df.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text, limit):
@@ -145,12 +158,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, per_class: i
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def in_one_task(rows: DataFrame, fn: Callable[[pa.Table], object]) -> object:
     """``fn`` of a bounded sample, run by an executor: only what it returns reaches the driver, whose memory stays small whatever the sample's texts weigh."""
     kind = rows.schema
+    bounded(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = [b for b in batches if b.num_rows]

@@ -159,7 +159,7 @@ def continuations(docs: DataFrame, spelling: Spelling, known: list[np.ndarray],
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            for part in slices(batch):
+            for part in slices(batch, limit=SLICE):
                 held.append(distinct(part.column(0)))
                 n += len(held[-1])
                 if n > HELD:
