@@ -41,7 +41,7 @@ def checkpoint(df: DataFrame) -> DataFrame:
 def bounded(spark: SparkSession) -> None:
     """Lower the session's bound of bytes of an Arrow batch to BATCH_BYTES: batches of the default 10 000 rows hold tens of megabytes of text, in the JVM and in Python, for each task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(name, "0b").rstrip("b") or 0) not in range(1, BATCH_BYTES + 1):
+    if int(spark.conf.get(name).rstrip("b")) > BATCH_BYTES:
         spark.conf.set(name, BATCH_BYTES)
 
 
