@@ -94,13 +94,6 @@ def dup_titles(spark, sf_dir):
     return rows.withColumn("n", F.count("*").over(Window.partitionBy(F.lower("title")))).where("n > 1").orderBy(F.desc("n"), "title", "page_id")
 
 
-@query("SELECT page_id, CASE WHEN length(title) = 0 THEN 'Missing Title' WHEN length(title) < 30 THEN 'Title Too Short' WHEN length(title) > 70 THEN 'Title Too Long (Will Truncate)' ELSE 'Title Long (May Truncate)' END AS issue, CAST(length(title) AS INTEGER) AS size FROM f WHERE length(title) < 30 OR length(title) > 60")
-def title_length_rules(spark, sf_dir):
-    n = F.length("title")
-    issue = F.when(n == 0, "Missing Title").when(n < 30, "Title Too Short").when(n > 70, "Title Too Long (Will Truncate)").otherwise("Title Long (May Truncate)")
-    return features(spark, sf_dir).where((n < 30) | (n > 60)).select("page_id", issue.alias("issue"), n.alias("size"))
-
-
 WIDTH = "CAST(length(title) * 8 + (length(title) - length(regexp_replace(title, '[\\p{Lu}]', '', 'g'))) * 4 - (length(title) - length(regexp_replace(title, '[il!|., ]', '', 'g'))) * 4 AS INTEGER)"
 
 
@@ -119,12 +112,6 @@ def lang_and_charset(spark, sf_dir):
     return features(spark, sf_dir).groupBy("lang", "charset").agg(F.count("*").alias("pages"), F.count_if(F.col("lang") == "").alias("without_lang"), F.count_if(~F.col("charset").isin("utf-8", "utf8")).alias("other_charset"))
 
 
-@query("SELECT page_id, CAST(n_h1 AS INTEGER) AS n_h1, CASE WHEN n_h1 = 0 THEN 'Missing H1 Tag' WHEN n_h1 > 1 THEN 'Multiple H1 Tags' WHEN h1 = '' THEN 'Empty H1 Tag' WHEN lower(h1) = lower(title) THEN 'Identical H1 and Title' ELSE 'ok' END AS issue FROM f")
-def h1_rules(spark, sf_dir):
-    issue = F.when(F.col("n_h1") == 0, "Missing H1 Tag").when(F.col("n_h1") > 1, "Multiple H1 Tags").when(F.col("h1") == "", "Empty H1 Tag").when(F.lower("h1") == F.lower("title"), "Identical H1 and Title").otherwise("ok")
-    return features(spark, sf_dir).select("page_id", "n_h1", issue.alias("issue"))
-
-
 SET = "list_distinct(list_filter(string_split_regex(lower({0}), '[^\\p{{L}}\\p{{N}}_]+'), lambda w: length(w) > 2))"
 
 
@@ -185,48 +172,11 @@ def link_graph(spark, sf_dir):
     return O.links(pages(spark, sf_dir)).select("page_id", "href", "anchor", "target")
 
 
-@query("SELECT p.page_id, count(l.page_id) AS outlinks, CASE WHEN count(l.page_id) = 0 THEN 'No Outlinks' WHEN count(l.page_id) <= 2 AND any_value(depth) <= 2 THEN 'Few Outlinks' ELSE 'ok' END AS issue FROM p LEFT JOIN l USING (page_id) GROUP BY p.page_id")
-def outlinks(spark, sf_dir):
-    rows = pages(spark, sf_dir)
-    n = O.links(rows).groupBy("page_id").agg(F.count("*").alias("outlinks"))
-    return rows.select("page_id", "depth").join(n, "page_id", "left").fillna(0, ["outlinks"]).select("page_id", "outlinks", F.when(F.col("outlinks") == 0, "No Outlinks").when((F.col("outlinks") <= 2) & (F.col("depth") <= 2), "Few Outlinks").otherwise("ok").alias("issue"))
-
-
 @query(f"SELECT {norm('target')} AS norm, count(*) AS inlinks, count(DISTINCT page_id) AS pages FROM l GROUP BY 1")
 def inlinks(spark, sf_dir):
     return O.links(pages(spark, sf_dir)).groupBy(U.normalize(F.col("target")).alias("norm")).agg(F.count("*").alias("inlinks"), F.count_distinct("page_id").alias("pages"))
 
 
-@query(f"SELECT page_id, url, depth FROM p WHERE depth > 1 AND {path('url')} <> '/' AND NOT EXISTS (SELECT 1 FROM l WHERE {norm('l.target')} = {norm('p.url')} AND {norm('l.url')} <> {norm('p.url')})")
-def orphan_pages(spark, sf_dir):
-    rows = pages(spark, sf_dir)
-    linked = O.links(rows).select(U.normalize(F.col("target")).alias("norm"), U.normalize(F.col("url")).alias("own")).where("norm != own").select("norm").distinct()
-    return rows.where((F.col("depth") > 1) & (U.path(F.col("url")) != "/")).select("page_id", "url", "depth", U.normalize(F.col("url")).alias("norm")).join(linked, "norm", "left_anti").drop("norm")
-
-
-@query("SELECT site, count(*) AS anchors, CAST(sum(CASE WHEN lower(anchor) IN ('the', 'of', 'and') THEN 1 ELSE 0 END) AS BIGINT) AS common, round(sum(CASE WHEN lower(anchor) IN ('the', 'of', 'and') THEN 1 ELSE 0 END) / count(*), 9) AS share FROM l WHERE anchor <> '' GROUP BY site")
-def anchor_ratio(spark, sf_dir):
-    common = F.count_if(F.lower("anchor").isin("the", "of", "and"))
-    return O.links(pages(spark, sf_dir)).where("anchor != ''").groupBy("site").agg(F.count("*").alias("anchors"), common.alias("common"), F.round(common / F.count("*"), 9).alias("share"))
-
-
-def statuses(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(U.normalize(F.col("url")).alias("norm")).agg(F.max_by("status", F.struct("depth", "page_id")).alias("target_status"))
-
-
-@query(f"SELECT page_id, target, CASE WHEN target_status IS NULL THEN 'Link Not Crawled' WHEN target_status >= 400 THEN 'Broken Hyperlink' ELSE 'Link Points to Redirect' END AS issue, count(*) AS occurrences FROM l LEFT JOIN s ON s.norm = {norm('l.target')} WHERE regexp_replace({host('l.url')}, '^www\\.', '') = regexp_replace({host('l.target')}, '^www\\.', '') AND (target_status IS NULL OR target_status >= 300) GROUP BY 1, 2, 3")
-def broken_links(spark, sf_dir):
-    rows = pages(spark, sf_dir)
-    links = O.links(rows).where(~U.is_external(F.col("url"), F.col("target"))).withColumn("norm", U.normalize(F.col("target"))).join(statuses(rows), "norm", "left").where("target_status is null or target_status >= 300")
-    return links.groupBy("page_id", "target", F.when(F.col("target_status").isNull(), "Link Not Crawled").when(F.col("target_status") >= 400, "Broken Hyperlink").otherwise("Link Points to Redirect").alias("issue")).agg(F.count("*").alias("occurrences"))
-
-
-@query("SELECT r.page_id, r.source, r.target, r.code, s.target_status, CASE WHEN s.target_status >= 500 THEN 0 WHEN s.target_status >= 300 THEN 1 ELSE 2 END AS severity FROM r LEFT JOIN s ON s.norm = r.target")
-def redirect_targets(spark, sf_dir):
-    rows = pages(spark, sf_dir)
-    return O.redirects(rows).join(statuses(rows).withColumnRenamed("norm", "target"), "target", "left").select("page_id", "source", "target", "code", "target_status", F.when(F.col("target_status") >= 500, 0).when(F.col("target_status") >= 300, 1).otherwise(2).alias("severity"))
-
-
 @query("SELECT upper(sha256(text)) AS content_hash, count(*) AS n, min(doc_id) AS first_doc, max(doc_id) AS last_doc FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1")
 def exact_dup_docs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").where("text is not null")
@@ -239,12 +189,6 @@ def dup_docs_on_arrival(spark, sf_dir):
     return docs.withColumn("seen", F.count("*").over(Window.partitionBy("hash").orderBy("doc_id").rowsBetween(Window.unboundedPreceding, 0))).where("seen > 1").drop("hash")
 
 
-@query("SELECT count(*) AS pages, CAST(sum(CASE WHEN status >= 500 THEN 1 ELSE 0 END) AS BIGINT) AS errors, round(100.0 * sum(CASE WHEN status >= 500 THEN 1 ELSE 0 END) / count(*), 6) AS percent, count(*) >= 50 AND sum(CASE WHEN status >= 500 THEN 1 ELSE 0 END) > 0.05 * count(*) AS alarming FROM p")
-def server_error_rate(spark, sf_dir):
-    bad = F.count_if(F.col("status") >= 500)
-    return pages(spark, sf_dir).agg(F.count("*").alias("pages"), bad.alias("errors"), F.round(bad * 100.0 / F.count("*"), 6).alias("percent"), ((F.count("*") >= 50) & (bad > F.count("*") * 0.05)).alias("alarming"))
-
-
 FOUND = "(SELECT page_id AS url_id, 'TitlesMeta' AS task_key, 'Title Too Short' AS issue_text, 1 AS severity FROM f WHERE length(title) < 30 UNION ALL SELECT page_id, 'Inventory', 'Uppercase characters detected in URL', 1 FROM p WHERE url <> lower(url) UNION ALL SELECT page_id, 'CrawlBudget', 'Server Error (HTTP ' || status || ')', CASE WHEN status = 500 THEN 0 ELSE 1 END FROM p WHERE status >= 400 UNION ALL SELECT page_id, 'Robots', 'Deep page', NULL FROM p WHERE depth = 4)"
 
 
@@ -274,12 +218,6 @@ def report_summary(spark, sf_dir):
     return report.summary(found_rows(spark, sf_dir))
 
 
-@query("SELECT site, max(CASE WHEN depth = 0 THEN title END) AS d0, max(CASE WHEN depth = 1 THEN title END) AS d1, max(CASE WHEN depth = 2 THEN title END) AS d2 FROM f GROUP BY site")
-def extraction_pivot(spark, sf_dir):
-    wide = features(spark, sf_dir).groupBy("site").pivot("depth", [0, 1, 2]).agg(F.max("title"))
-    return wide.withColumnsRenamed({"0": "d0", "1": "d1", "2": "d2"})
-
-
 @query("SELECT event_type, count(*) AS events, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS total, max(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS most FROM events GROUP BY event_type")
 def json_values(spark, sf_dir):
     events = spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("k", report.get("props", "k", "long"))

@@ -12,9 +12,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siteloom.model import PRIORITY
-from siteloom.operators import page_rules, registry
+from siteloom.operators import base, dup_rules, graph_rules, page_rules, registry, site_rules
 from siteloom.plans import audit
-from siteloom.sources import planted
+from siteloom.sources import lookups, planted
 
 #: Of each task the report columns that a query shows beside its issue.
 DETAIL = {
@@ -31,7 +31,31 @@ def task(key: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.coalesce("url_id", F.lit(-1)).alias("url_id"), F.when(broken, "JSON Syntax Error").otherwise(F.col("issue")).alias("issue"), "severity", F.when(broken, "").otherwise(detail).alias("detail"))
 
 
-QUERIES: dict[str, Callable] = {f"task_{k.lower()}": partial(task, k) for k in PRIORITY}
+def extraction_pivot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Extracted values by page and rule."""
+    crawl = planted.crawl(spark, sf_dir)
+    return site_rules.pivot(registry.default().run(crawl, ["CustomExtraction"]), crawl.extraction_rules)
+
+
+def orphan_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages without a link from another page, by an anti-join."""
+    return graph_rules.orphans(base.pages(planted.crawl(spark, sf_dir))).select("url_id", "page", "depth")
+
+
+def link_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that the parser finds, by type and flags."""
+    found = lookups.links(base.pages(planted.crawl(spark, sf_dir)))
+    return found.groupBy("project_id", "link_type", "is_nofollow").agg(F.count("*").alias("links"), F.count_distinct("norm").alias("targets"))
+
+
+def copies_on_arrival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact duplicates as pages arrive one after another."""
+    crawl = planted.crawl(spark, sf_dir)
+    found = dup_rules.duplicates(crawl, base.pages(crawl), arrival=True)
+    return found.where("url_id is not null and startswith(issue, 'Exact')").select("url_id", "issue", "severity")
+
+
+QUERIES: dict[str, Callable] = {f"task_{k.lower()}": partial(task, k) for k in PRIORITY} | {f.__name__: f for f in (extraction_pivot, orphan_pages, link_table, copies_on_arrival)}
 
 X0 = ", ".join(f"{sql} AS {name}" for name, sql in planted.COLUMNS.items() if name != "k")
 OUTS = "CASE WHEN outs > 0 THEN anchor ELSE '' END || CASE WHEN outs > 1 THEN 'Page about shipsElsewhereUp' ELSE '' END"
@@ -181,3 +205,10 @@ ORACLES = {f"task_{name}": " ".join((head + union(rules)).split("\n")) for name,
     ("inventory", WITH, inventory), ("security", WITH, security), ("robots", WITH, robots), ("redirects", RECURSIVE + REDIRECTS, redirects), ("canonical", WITH + CANONICAL, canonical), ("titlesmeta", WITH + TITLES, titles), ("hreflang", WITH + HREFLANG, hreflang), ("internallinking", WITH + LINKS, linking), ("sitemap", WITH + SITEMAP, sitemap),
     ("duplicatecontent", WITH + COPIES, copies), ("brokenlinks", WITH + BROKEN, broken), ("crawlbudget", WITH + BUDGET, budget), ("imageaudit", WITH, images), ("structureddata", WITH, structured), ("customextraction", WITH, extraction), ("linkgraph", WITH + GRAPH, graph),
 )}
+IMAGES = " UNION ALL ".join(f"SELECT project_id, 1, false, {u} FROM x WHERE html AND {w}" for w, u in (("n_images > 0", f"{ORIGIN} || '/a' || k || '.png'"), ("n_images > 0", f"{ORIGIN} || '/a' || k || '.png'"), ("n_images > 2", "'https://cdn.example.com/b' || k || '.webp'"), ("n_images > 3", f"{ORIGIN} || '/icon.svg'"), ("n_images > 4", f"{ORIGIN} || '/c.webp'"), ("insecure > 0", "'http://plain.example.com/i.webp'")))
+ORACLES |= {name: " ".join((head + sql).split("\n")) for name, head, sql in (
+    ("extraction_pivot", WITH, "SELECT address AS \"Page\", CAST(CASE WHEN project_id = 2 THEN 1 ELSE 2 END AS INTEGER) AS \"Severity\", '' AS \"Bold\", CASE WHEN project_id = 1 THEN CASE n_h1 WHEN 2 THEN 'One heading' || chr(10) || 'Two heading' ELSE h1 END ELSE '' END AS \"Heading\", CASE WHEN project_id = 2 THEN 'ERROR' ELSE '' END AS \"Links\", CASE WHEN project_id = 2 AND n_h1 = 1 AND starts_with(h1, 'Heading on') THEN CAST(k AS VARCHAR) ELSE '' END AS \"Number\" FROM std WHERE project_id = 2 OR project_id = 1 AND (n_h1 = 2 OR n_h1 = 1 AND h1 <> '')"),
+    ("orphan_pages", WITH + LINKS, "SELECT k AS url_id, address AS page, depth FROM y WHERE n_in = 0 AND depth > 1"),
+    ("link_table", WITH, f"SELECT project_id, CAST(kind_of AS TINYINT) AS link_type, is_nofollow, count(*) AS links, count(DISTINCT target_norm) AS targets FROM (SELECT project_id, kind_of, is_nofollow, {audit.norm('to_url')} AS target_norm FROM (SELECT project_id, 0 AS kind_of, nofollow AS is_nofollow, {planted.address('(k + 4)')} AS to_url FROM x WHERE html AND outs > 0 UNION ALL SELECT project_id, 0, false, {planted.address('(k + 8)')} FROM x WHERE html AND outs > 1 UNION ALL SELECT project_id, 0, false, 'https://ext.example.com/x' || (k % 5) FROM x WHERE html AND outs > 1 UNION ALL {IMAGES})) GROUP BY ALL"),
+    ("copies_on_arrival", WITH, f"SELECT k AS url_id, 'Exact Duplicate (' || n || ' pages)' AS issue, CAST(0 AS INTEGER) AS severity FROM (SELECT k, count(*) OVER (PARTITION BY project_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM std WHERE {planted.COPY}) WHERE n > 1"),
+)}

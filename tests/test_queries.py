@@ -38,7 +38,7 @@ def test_runs(spark, name):
 def test_every_task_finds_something_that_sql_tells():
     con = duckdb.connect()
     con.sql("create view pages as select * from '/root/testdata/sf0.01/pages.parquet'")
-    assert len(tasks.ORACLES) == 16 == len(model.PRIORITY)
+    assert sum(n.startswith("task_") for n in tasks.ORACLES) == 16 == len(model.PRIORITY)
     assert all(con.sql(sql).limit(1).fetchall() for sql in tasks.ORACLES.values())
 
 
