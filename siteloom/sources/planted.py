@@ -82,7 +82,7 @@ TARGET = f"CASE WHEN k % 80 = 2 THEN {address('(k + 20)')} WHEN k % 80 = 22 THEN
 
 def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """COLUMNS, DERIVED and target of each page, written once: what reads them would else repeat their expressions."""
-    base = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("k"))
+    base = spark.read.parquet(f"{sf_dir}/pages.parquet").select(F.col("page_id").alias("k")).repartition(spark.sparkContext.defaultParallelism)  # numbers alone move
     first = checkpoint(base.selectExpr(*(f"{sql} AS {name}" for name, sql in COLUMNS.items()), f"CASE WHEN {status('k')} IN (301, 302) THEN {TARGET} END AS target"))
     return first.selectExpr("*", *(f"{sql} AS {name}" for name, sql in DERIVED.items()))
 
