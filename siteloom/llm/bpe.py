@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siteloom.llm.arrays import binary_array, bytes_of, list_array, ragged_index
-from siteloom.llm.common import map_slices
+from siteloom.llm.common import BEGINS, ENDS, map_slices
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: How that vocabulary cuts texts into pieces (its README names the pattern).
@@ -99,6 +99,30 @@ def counter(raw: bytes, pattern: str = PATTERN) -> tiktoken.Encoding:
     return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.lru_cache(2)
+def token_bytes(raw: bytes) -> np.ndarray:
+    """Bytes of each token id."""
+    sizes = {int(b): len(base64.b64decode(a)) for a, b in map(bytes.split, raw.splitlines()) if a}
+    out = np.zeros(max(sizes) + 1, np.int64)
+    out[list(sizes)] = list(sizes.values())
+    return out
+
+
+def segment_tokens(segments: pa.Array, raw: bytes) -> np.ndarray:
+    """Tokens of each of the distinct ``common.segments``. Those that begin by a cut and end before one are encoded as one text, in which no piece crosses their borders; the others one by one."""
+    encoder, (data, at) = counter(raw), bytes_of(segments)
+    sizes, out = np.diff(at), np.zeros(len(segments), np.int64)
+    inner = sizes > 1
+    inner[inner] = (data[at[:-1][inner]] == 32) & BEGINS[data[at[:-1][inner] + 1]] & ENDS[data[at[1:][inner] - 1]]
+    own = np.flatnonzero(inner)
+    if len(own):
+        ids = encoder.encode_to_numpy(data[ragged_index(at[own], sizes[own])].tobytes().decode(), disallowed_special=())
+        out[own] = np.diff(np.searchsorted(np.cumsum(token_bytes(raw)[ids]), np.cumsum(sizes[own]), side="right"), prepend=0)
+    for i in np.flatnonzero(~inner):
+        out[i] = len(encoder.encode_to_numpy(segments[int(i)].as_py(), disallowed_special=()))
+    return out
+
+
 def merge_rows(matrix: np.ndarray, v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """(ids padded with -1, count) of each row of byte ids padded with -1."""
     out, live = matrix.copy(), np.arange(len(matrix))

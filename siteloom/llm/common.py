@@ -16,6 +16,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from siteloom.llm.arrays import bytes_of, ragged_index
+
 #: Bytes of text that one slice of an Arrow batch holds, unless one row is longer; bounds a worker's memory.
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch between the JVM and Python.
@@ -115,6 +117,35 @@ def words(texts: pa.Array, lower: bool = True) -> tuple[np.ndarray, np.ndarray,
     return offsets, ids.astype(np.int64), vocabulary
 
 
+#: Bytes that surely end or begin a character other than white space; of multi-byte characters those that white space may share are left out.
+ENDS, BEGINS = np.zeros(256, bool), np.zeros(256, bool)
+ENDS[[*range(0x21, 0x7F), *range(0x8B, 0xC0)]] = BEGINS[[*range(0x21, 0x7F), *range(0xC3, 0xF5)]] = True
+ENDS[[0x9F, 0xA0, 0xA8, 0xA9, 0xAF]] = BEGINS[[0xE1, 0xE2, 0xE3]] = False
+
+
+def segments(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """Segments of each text: row offsets (n + 1), segment numbers, and the distinct segments they number.
+
+    A text is cut before each single space that surely lies between characters other than white space; its segments in order are the text. Words never cross such a cut, nor do pieces of
+    byte-level BPE, so both may be told from the distinct segments alone. A null or empty text has none.
+    """
+    data, at = bytes_of(texts)
+    spaces = np.flatnonzero(data[1:-1] == 32) + 1
+    cut = np.zeros(len(data), bool)
+    cut[spaces[ENDS[data[spaces - 1]] & BEGINS[data[spaces + 1]]]] = True
+    cut[at[:-1][np.diff(at) > 0]] = True
+    starts = np.flatnonzero(cut)
+    coded = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(np.append(starts, len(data))), pa.py_buffer(data)]).dictionary_encode()
+    return np.searchsorted(starts, at), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), coded.dictionary.cast(pa.large_string())
+
+
+def segment_words(offsets: np.ndarray, segment: np.ndarray, distinct: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``words`` of texts cut by ``segments``."""
+    within, ids, vocabulary = words(distinct)
+    sizes = np.diff(within)[segment]
+    return np.concatenate([[0], np.cumsum(sizes)])[offsets], ids[ragged_index(within[segment], sizes)], vocabulary
+
+
 def hashes(vocabulary: pa.Array) -> np.ndarray:
     """64-bit hash of each word, the same in every process."""
     if not len(vocabulary):

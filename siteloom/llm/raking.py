@@ -6,7 +6,7 @@ until all three hold; a cell never takes more than it has. A cell's tokens after
 The targets are the corpus' own margins, tempered: a value with a share s of the tokens gets s ** TEMPER, normalised, of ``SHARE`` of all tokens, or all that it holds where that is less. A topic is the nearest of ``TOPICS`` centroids
 of hashed content words, found by spherical k-means on a bounded sample; what a language has in common is taken off first, so that topics cut across languages.
 
-Scale: texts are read twice, map-only: to count, combined for each task before cells are shuffled, and to draw. The sweeps run in one task, over cells alone; drawing joins the cells'
+Scale: texts are read once, map-only: what each document counts is written beside it; counts are combined for each task before cells are shuffled. Tokens are told from a slice's distinct segments between spaces. The sweeps run in one task, over cells alone; drawing joins the cells'
 probabilities to the documents, by a broadcast up to ``BROADCAST`` cells, which moves no text, and by a shuffle join beyond. Model and vocabulary are broadcasts of fixed size.
 """
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siteloom.llm import bpe
-from siteloom.llm.common import bounded, checkpoint, hashes, in_one_task, mixed, row_of, segment_sums, slices, tidy, words
+from siteloom.llm.common import bounded, checkpoint, hashes, in_one_task, mixed, row_of, segment_sums, segment_words, segments, slices, tidy, words
 
 SHARE, TOPICS, TOLERANCE = 0.5, 8, 1e-4
 #: Sweeps after which raking ends though cells still move: where targets ask for more than cells hold, they approach their bounds ever slower.
@@ -50,7 +50,11 @@ class Topics:
 
     def of(self, texts: pa.Array, languages: pa.Array) -> np.ndarray:
         """Of each text its topic; the lowest of equal ones, 0 for a text without content words."""
-        offsets, ids, vocabulary = words(texts)
+        return self.of_words(words(texts), languages)
+
+    def of_words(self, found: tuple[np.ndarray, np.ndarray, pa.Array], languages: pa.Array) -> np.ndarray:
+        """``of`` texts whose words are known."""
+        offsets, ids, vocabulary = found
         bucket, content = buckets(vocabulary)
         weight = self.weights[bucket] * content[:, None]
         n = segment_sums(content[ids].astype(np.int64), offsets)
@@ -129,13 +133,13 @@ def with_topics(docs: DataFrame, model: Topics, topic: str, tokens: str | None =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, raw = shared.value
-        encoder = bpe.counter(raw) if raw else None
         for batch in batches:
             for part in slices(batch, text):
                 columns = [part.column(f.name) for f in kept]
-                columns.append(pa.array(own.of(part.column(text), part.column("lang").cast(pa.string()))).cast(pa.string()))
-                if encoder:
-                    columns.append(pa.array([len(encoder.encode_to_numpy(t, disallowed_special=())) if t else 0 for t in part.column(text).to_pylist()], pa.int64()))
+                cut = segments(part.column(text))
+                columns.append(pa.array(own.of_words(segment_words(*cut), part.column("lang").cast(pa.string()))).cast(pa.string()))
+                if raw:
+                    columns.append(pa.array(segment_sums(bpe.segment_tokens(cut[2], raw)[cut[1]], cut[0]), pa.int64()))
                 yield pa.RecordBatch.from_arrays(columns, out.names)
             tidy()
 
@@ -243,10 +247,10 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     Rows of one doc_id whose source, language and topic are equal share a fate; a row without id is drawn by its text. Null sources and languages are margins of their own; a null, empty
     or wordless text has topic 0. Equal hashes, if any, share a fate. Texts of any length are counted whole; an empty table stays empty.
     """
-    model = fit_topics(docs)
-    chance = chances(measured(docs, model, seed))
-    topic, p, a, b = (fresh(docs.columns, x) for x in ("topic", "probability", "cell_source", "cell_lang"))
-    rows = with_topics(docs, model, topic).withColumns({a: margin("source"), b: margin("lang")})
+    topic, tokens, p, a, b = (fresh(docs.columns, x) for x in ("topic", "tokens", "probability", "cell_source", "cell_lang"))
+    rows = checkpoint(with_topics(docs, fit_topics(docs), topic, tokens))
+    chance = chances(rows.select("source", "lang", F.col(topic).alias("topic"), F.col(tokens).alias("tokens")))
+    rows = rows.withColumns({a: margin("source"), b: margin("lang")})
     return rows.join(chance.select(F.col("cell_source").alias(a), F.col("cell_lang").alias(b), F.col("topic").alias(topic), F.col("probability").alias(p)), [a, b, topic]).where(unit(seed) < F.col(p)).select(*docs.columns)
 
 

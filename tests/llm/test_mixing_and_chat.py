@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import random
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -8,7 +9,7 @@ import pyarrow as pa
 import pytest
 from llm_data import DOCS, prose
 
-from siteloom.llm import bpe, quotes, raking
+from siteloom.llm import bpe, common, quotes, raking
 
 
 def naive_rake(cells: pd.DataFrame, share: float) -> pd.Series:
@@ -95,6 +96,34 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert raking.mix(no_docs).count() == 0 == raking.sample(no_docs).count()
 
 
+def test_segments_give_words_and_tokens():
+    """Of texts with white space and punctuation of all kinds, as whole texts do."""
+    r = random.Random(8)
+    parts = ["a", "Bc", " ", "  ", "\n", "\t", "'s", "1", "é", "ß", "à", "\u00a0", "\u3000", "\u2009", "\u0085", "日", "!", "😀", "\x00", "\x1c", "\u00c0", "中文", " x", " y,"]
+    texts = pa.array(["".join(r.choice(parts) for _ in range(r.randrange(14))) for _ in range(5000)] + [None, prose(r, 3000)])
+    raw = Path(bpe.VOCABULARY).read_bytes()
+    offsets, segment, distinct = common.segments(texts)
+    found = common.segment_sums(bpe.segment_tokens(distinct, raw)[segment], offsets)
+    assert found.tolist() == [len(bpe.counter(raw).encode(t, disallowed_special=())) if t else 0 for t in texts.to_pylist()]
+    whole, cut = common.words(texts), common.segment_words(offsets, segment, distinct)
+    assert (whole[0] == cut[0]).all() and whole[2].take(pa.array(whole[1])).equals(cut[2].take(pa.array(cut[1])))
+
+
+def test_mixing_does_not_read_texts_again_to_draw(spark):
+    r = random.Random(9)
+    read = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            read.add(batch.num_rows)
+            yield batch
+
+    docs = spark.createDataFrame([(i, prose(r, 20), "en", "a", 0) for i in range(300)], DOCS)
+    mixed = raking.mix(docs.mapInArrow(count, docs.schema))
+    before = read.value
+    assert mixed.count() and read.value == before
+
+
 MAIL = "message_id long, position long, role string, text string"
 
 
