@@ -96,6 +96,36 @@ def test_mixing_odd_rows(spark, odd_docs, no_docs):
     assert raking.mix(no_docs).count() == 0 == raking.sample(no_docs).count()
 
 
+def test_topics_come_from_all_documents(spark):
+    """The model is that of all texts held in one place, whatever the partitions; its words are weighted by all documents, and its centres are those of the documents nearest to them."""
+    r = random.Random(10)
+    words = {(x, k): [prose(r, 1) + "xyz"[k] * 3 + x for _ in range(30)] for x in ("en", "de") for k in range(-1, 3)}
+    rows = []
+    for i in range(3500):
+        x, k = r.choice(["en", "de"]), r.randrange(3)
+        rows.append((i, " ".join(r.choice(words[x, -1] if r.random() < 0.6 else words[x, k]) for _ in range(40)), x, "a", 0))
+    rows += [(9000, None, "en", "a", 0), (9001, "", None, "a", 0)]
+    docs = spark.createDataFrame(rows, DOCS)
+    found, expected = raking.fit_topics(docs.repartition(5)), raking.fitted_topics(pa.array([x[1] for x in rows], pa.string()), [x[2] for x in rows])
+    assert found.languages == expected.languages and (found.weights == expected.weights).all() and (found.common == expected.common).all()
+    counts = np.zeros((3500, raking.WORDS))
+    for i, x in enumerate(rows[:3500]):
+        offsets, entries = raking.content_counts(*common.words(pa.array([x[1]])))
+        counts[i, entries["bucket"]] = entries["n"]
+    seen = (counts > 0).sum(0)
+    x = counts / counts.sum(1, keepdims=True) * np.where(seen >= raking.FREQUENT, np.log(3501 / (1 + seen)), 0)
+    lang = np.array([x[2] for x in rows[:3500]])
+    for name in ("en", "de"):
+        x[lang == name] -= x[lang == name].mean(0)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    topic = found.of(pa.array([x[1] for x in rows[:3500]]), pa.array(lang))
+    idf = np.log(3501 / (1 + seen))
+    for k in np.unique(topic):
+        centre = x[topic == k].sum(0)
+        own = np.where(seen >= raking.FREQUENT, found.weights[:, k] / np.maximum(idf, 1e-9), 0)
+        assert own @ centre / np.linalg.norm(own) / np.linalg.norm(centre) > 0.99
+
+
 def test_segments_give_words_and_tokens():
     """Of texts with white space and punctuation of all kinds, as whole texts do."""
     r = random.Random(8)
