@@ -67,10 +67,16 @@ class Topics:
 
     def of_counts(self, offsets: np.ndarray, entries: np.ndarray, languages: pa.Array) -> np.ndarray:
         n = segment_sums(entries["n"].astype(np.int64), offsets)
-        score = segment_sums(self.weights[entries["bucket"]] * entries["n"][:, None], offsets) / np.maximum(n, 1)[:, None] - self.common[codes(languages, self.languages)]
+        score = scores(offsets, entries["bucket"], entries["n"].astype(np.float32), np.ascontiguousarray(self.weights.T)) / np.maximum(n, 1)[:, None] - self.common[codes(languages, self.languages)]
         return np.where(n > 0, score.argmax(1), 0)
 
 
+def scores(offsets: np.ndarray, bucket: np.ndarray, value: np.ndarray, by_topic: np.ndarray) -> np.ndarray:
+    """(rows, topics): sums of each row's values by the topics' weights; topic by topic, some three times faster than all at once."""
+    at = bucket.astype(np.intp)
+    return np.stack([segment_sums(own.take(at) * value, offsets) for own in by_topic], 1)
+
+
 def codes(languages: pa.Array, names: list[str]) -> np.ndarray:
     place = {x: i for i, x in enumerate(names)}
     return np.array([place.get(x, len(names)) for x in languages.to_pylist()], np.int64)
@@ -175,8 +181,7 @@ def fit(raw: Sums, prepared: Callable[[Callable[[tuple], tuple]], Sums], names:
 
     def near(part: tuple, k: int) -> np.ndarray:
         offsets, bucket, value, code, inverse = part
-        own = np.ascontiguousarray(centres[:k].T.astype(np.float32))
-        return segment_sums(own[bucket] * value[:, None], offsets) - inverse[:, None] * (means @ centres[:k].T)[code]
+        return scores(offsets, bucket, value, centres[:k].astype(np.float32)) - inverse[:, None] * (means @ centres[:k].T)[code]
 
     for k in range(TOPICS):  # each starts from a document that is far from those before: the first to arrive, where each arrives at a rate of its distance
 
