@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from siteloom.llm import bpe, langid, raking, simhash, toxicity
-from siteloom.llm.common import checkpoint, table
+from siteloom.llm.common import forget, stored, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -61,10 +61,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents; between two of them the rows are materialised in the shared checkpoint folder."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the documents; between two of them the rows are written as Parquet in the shared checkpoint folder, and deleted when the next stage's are written."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = stage(spark, docs, sf_dir)
         if name != STAGES[-1][0]:
-            docs = checkpoint(docs)
+            docs = stored(docs)
+            if before is not None:
+                forget(before)
+            before = docs
     return docs

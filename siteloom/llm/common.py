@@ -6,6 +6,7 @@ import ctypes
 import pickle
 import re
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -40,6 +41,25 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written as Parquet in the checkpoint folder and read again, for tables with texts of which what follows reads a few columns, or all of them more than once: a checkpoint is neither compressed nor read by
+    columns. ``forget`` deletes it; what is left goes with the session."""
+    checkpoint(df.sparkSession.range(0))  # sets the folder where the session has none
+    context = df.sparkSession.sparkContext
+    path = context._jvm.org.apache.hadoop.fs.Path(context._jsc.sc().getCheckpointDir().get(), f"stored-{uuid.uuid4().hex}")
+    path.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(path)
+    df.write.parquet(path.toString())
+    out = df.sparkSession.read.schema(df.schema).parquet(path.toString())
+    out.stored_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``stored`` wrote; ``df`` and what reads it cannot run any more."""
+    path = df.stored_at
+    path.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def bounded(spark: SparkSession) -> None:
     """Lower the session's bound of bytes of an Arrow batch to BATCH_BYTES: batches of the default 10 000 rows hold tens of megabytes of text, in the JVM and in Python, for each task."""
     name = "spark.sql.execution.arrow.maxBytesPerBatch"

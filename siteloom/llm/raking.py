@@ -6,7 +6,7 @@ until all three hold; a cell never takes more than it has. A cell's tokens after
 The targets are the corpus' own margins, tempered: a value with a share s of the tokens gets s ** TEMPER, normalised, of ``SHARE`` of all tokens, or all that it holds where that is less. A topic is the nearest of ``TOPICS`` centroids
 of hashed content words, found by spherical k-means over all documents; what a language has in common is taken off first, so that topics cut across languages.
 
-Scale: texts are read once, map-only: what each document counts is written beside it; counts are combined for each task before cells are shuffled. Tokens are told from a slice's distinct segments between spaces. Topics are fitted on the words' hashed
+Scale: texts are read once, map-only: what each document counts is written beside it, and once more without its text, which is what the fit and the cells read; counts are combined for each task before cells are shuffled. Tokens are told from a slice's distinct segments between spaces. Topics are fitted on the words' hashed
 numbers, without texts: each pass sums them by tasks, as many as there are cores (``TASKS`` at most), and only sums of fixed size meet. The summands are multiples of powers of two, so sums are exact and do not depend on how rows are spread. The sweeps run in one task, over cells alone; drawing joins the cells'
 probabilities to the documents, by a broadcast up to ``BROADCAST`` cells, which moves no text, and by a shuffle join beyond. Model and vocabulary are broadcasts of fixed size.
 """
@@ -168,19 +168,21 @@ def fit(raw: Sums, prepared: Callable[[Callable[[tuple], tuple]], Sums], names:
     square = np.einsum("ij,ij->i", means, means)
 
     def prepare(part: tuple) -> tuple:
-        """Weights over the length of what is left beside the language's mean, and one over that length."""
+        """Weights over the length of what is left beside the language's mean, one over that length, and a hash of both for the races."""
         offsets, entries, code = part
         x, bucket, row = weighted(offsets, entries), entries["bucket"].astype(np.int64), row_of(offsets)
         length = np.sqrt(np.maximum(segment_sums(x * x - 2 * x * means[code[row], bucket], offsets) + square[code], 0))
         full = (np.diff(offsets) > 0) & (length > SHORT)
         kept = full[row] & (x > 0)
         ends = np.concatenate([[0], np.cumsum(kept)])[offsets]
-        return ends[np.concatenate([[True], full])], bucket[kept].astype(np.uint16), rounded(x[kept] / length[row[kept]]).astype(np.float32), code[full].astype(np.int32), rounded(1 / length[full])
+        offsets, bucket, value, code = ends[np.concatenate([[True], full])], bucket[kept].astype(np.uint16), rounded(x[kept] / length[row[kept]]).astype(np.float32), code[full].astype(np.int32)
+        own = segment_sums(mixed(bucket.astype(np.uint64) << np.uint64(32) | value.view(np.uint32).astype(np.uint64), 5), offsets) + code.astype(np.uint64)
+        return offsets, bucket, value, code, rounded(1 / length[full]), own
 
     over, centres = prepared(prepare), np.zeros((TOPICS, WORDS))
 
     def near(part: tuple, k: int) -> np.ndarray:
-        offsets, bucket, value, code, inverse = part
+        offsets, bucket, value, code, inverse, _ = part
         return scores(offsets, bucket, value, centres[:k].astype(np.float32)) - inverse[:, None] * (means @ centres[:k].T)[code]
 
     for k in range(TOPICS):  # each starts from a document that is far from those before: the first to arrive, where each arrives at a rate of its distance
@@ -188,9 +190,8 @@ def fit(raw: Sums, prepared: Callable[[Callable[[tuple], tuple]], Sums], names:
         def race(parts: Iterator[tuple], k: int = k) -> Iterator[tuple[int, float, np.ndarray]]:
             best = None
             for part in parts:
-                offsets, bucket, value, code, inverse = part
+                offsets, bucket, value, code, inverse, own = part
                 far = np.clip(1 - near(part, k).max(1), 0, None) ** 2 if k else np.ones(len(code))
-                own = segment_sums(mixed(bucket.astype(np.uint64) << np.uint64(32) | value.view(np.uint32).astype(np.uint64), 5), offsets) + code.astype(np.uint64)
                 time = -np.log(((mixed(own, seed * TOPICS + k) >> np.uint64(12)).astype(np.float64) + 0.5) / 2.0**52) / np.maximum(far, 1e-300)
                 time[far <= 1e-9] = np.inf
                 if len(time) and time.min() < (best[0] if best else np.inf):
@@ -207,7 +208,7 @@ def fit(raw: Sums, prepared: Callable[[Callable[[tuple], tuple]], Sums], names:
     def sweep(parts: Iterator[tuple]) -> Iterator[tuple[int, float, np.ndarray]]:
         total, taken = np.zeros(TOPICS * WORDS), np.zeros((TOPICS, others + 1))
         for part in parts:
-            offsets, bucket, value, code, inverse = part
+            offsets, bucket, value, code, inverse, _ = part
             topic = near(part, TOPICS).argmax(1)
             total += np.bincount(np.repeat(topic, np.diff(offsets)) * WORDS + bucket, value, TOPICS * WORDS)
             np.add.at(taken, (topic, code), inverse)
@@ -434,8 +435,9 @@ def mix(docs: DataFrame, seed: int = 42) -> DataFrame:
     """
     counts, topic, tokens, p, a, b = (fresh(docs.columns, x) for x in ("counts", "topic", "tokens", "probability", "cell_source", "cell_lang"))
     rows = checkpoint(counted(docs, counts, tokens))
-    model = fit_counted(rows, counts)
-    chance = chances(with_topics(rows.select("source", "lang", counts, F.col(tokens).alias("tokens")), model, counts, "topic"))
+    bare = checkpoint(rows.select("source", "lang", counts, F.col(tokens).alias("tokens")))  # a checkpoint is read whole: the fit would read every text in each of its passes
+    model = fit_counted(bare, counts)
+    chance = chances(with_topics(bare, model, counts, "topic"))
     rows = with_topics(rows, model, counts, topic)
     rows = rows.withColumns({a: margin("source"), b: margin("lang")})
     return rows.join(chance.select(F.col("cell_source").alias(a), F.col("cell_lang").alias(b), F.col("topic").alias(topic), F.col("probability").alias(p)), [a, b, topic]).where(unit(seed) < F.col(p)).select(*docs.columns)

@@ -154,6 +154,33 @@ def test_mixing_does_not_read_texts_again_to_draw(spark):
     assert mixed.count() and read.value == before
 
 
+def test_topics_are_fitted_on_rows_without_texts(spark, monkeypatch):
+    """A checkpoint is read whole, in each pass of the fit."""
+    r, fit, seen = random.Random(11), raking.fit_counted, []
+    monkeypatch.setattr(raking, "fit_counted", lambda rows, counts: seen.append(rows.columns) or fit(rows, counts))
+    docs = spark.createDataFrame([(i, prose(r, 20), "en", "a", 0) for i in range(100)], DOCS)
+    assert raking.mix(docs).count() and len(seen) == 1 and "text" not in seen[0]
+
+
+def test_pipeline_reads_columns_and_leaves_one_stage(spark, monkeypatch):
+    import corpus_pipeline
+
+    plans = []
+
+    def stage(session, docs, root):
+        plans.append(docs.select("doc_id")._jdf.queryExecution().executedPlan().toString())
+        return docs.where(f"doc_id % {len(plans) + 1} > 0")
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(str(k), stage) for k in range(4)])
+    root = "/root/testdata/sf0.001"
+    expected = spark.read.parquet(f"{root}/documents.parquet").where("doc_id % 2 > 0 and doc_id % 3 > 0 and doc_id % 4 > 0 and doc_id % 5 > 0").count()
+    left = lambda: {x.name for x in Path(spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")).glob("stored-*")}
+    common.checkpoint(spark.range(1))
+    before = left()
+    assert corpus_pipeline.run(spark, root).count() == expected > 0
+    assert all("ReadSchema: struct<doc_id:bigint>" in x for x in plans) and len(plans) == 4 and len(left() - before) == 1
+
+
 MAIL = "message_id long, position long, role string, text string"
 
 
