@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import pytest
 from crawl_data import LONG, crawl, issues, page
+from pyspark.sql import functions as F
 
 from siteloom.operators import base, dup_rules, graph_rules, page_rules, registry, site_rules
 
@@ -171,6 +172,29 @@ def test_near_pairs_match_brute_force(spark):
     assert found == expected and expected
 
 
+def test_near_pairs_of_crowded_bands_are_not_compared(spark, monkeypatch):
+    """Hashes that leave bits unused all share a band: no two of them are compared, they meet in keys."""
+    import itertools
+
+    hashes = sorted({(i * 2654435761 % 2**32) // 4096 * 64 for i in range(3000)} | {-1, -2, -4, 1 << 62, (1 << 62) + 3})
+    near = {(a, b): ((a ^ b) & (2**64 - 1)).bit_count() for a, b in itertools.combinations(hashes, 2) if ((a ^ b) & (2**64 - 1)).bit_count() <= 2}
+    expected = sorted((k, a, b, d) for (a, b), d in near.items() for k in (1, 2))
+    rows = lambda own: spark.createDataFrame([(k, h) for h in own for k in (1, 2)], "project_id int, hash long")
+    assert sorted(map(tuple, dup_rules.near_pairs(rows(hashes)).collect())) == expected and near
+    calls, own = spark.sparkContext.accumulator(0), [h for h in hashes if 0 <= h < 1 << 43]
+
+    @F.udf("int")
+    def hamming(a, b):
+        calls.add(1)
+        return ((a ^ b) & (2**64 - 1)).bit_count()
+
+    monkeypatch.setattr(dup_rules.X, "hamming", hamming)
+    assert sorted(map(tuple, dup_rules.near_pairs(rows(own)).collect())) == [x for x in expected if x[1] in set(own) and x[2] in set(own)]
+    assert calls.value == 0
+    monkeypatch.setattr(dup_rules, "CROWD", 3)  # pairs of a crowded and a quiet hash, and of two crowded ones in a quiet bucket
+    assert sorted(map(tuple, dup_rules.near_pairs(rows(hashes[::3])).collect())) == [x for x in expected if x[1] in set(hashes[::3]) and x[2] in set(hashes[::3])]
+
+
 def test_sitemaps(spark):
     head = '<?xml version="1.0"?><urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'
     entry = lambda u, m="2020-01-01", p="1.0": f"<url><loc>{u}</loc><lastmod>{m}</lastmod><priority>{p}</priority></url>"
