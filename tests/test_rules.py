@@ -159,6 +159,28 @@ def test_duplicates(spark):
     assert lacks(early, 1, "Exact") and has(early, 2, "Exact Duplicate (2 pages)")
 
 
+def test_copies_on_arrival_parse_pages_once(spark, monkeypatch):
+    from siteloom.sources import html_dom
+
+    read, parse = spark.sparkContext.accumulator(0), html_dom.features
+
+    def counted(urls, page_html):
+        def count(batches):
+            for batch in batches:
+                read.add(batch.num_rows)
+                yield batch
+
+        found = parse(urls, page_html)
+        return found.mapInArrow(count, found.schema)
+
+    monkeypatch.setattr(html_dom, "features", counted)
+    c = crawl(spark, [{"url": f"{A}/{i}", "html": page()} for i in range(4)])
+    early = issues(dup_rules.exact_on_arrival(c, base.pages(c)))
+    assert read.value == 4 and lacks(early, 1, "Exact") and has(early, 4, "Exact Duplicate (4 pages)")
+    issues(dup_rules.duplicates(c, base.pages(c)))
+    assert read.value == 8
+
+
 def test_near_pairs_match_brute_force(spark):
     import itertools
     import random
