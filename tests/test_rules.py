@@ -159,6 +159,27 @@ def test_duplicates(spark):
     assert lacks(early, 1, "Exact") and has(early, 2, "Exact Duplicate (2 pages)")
 
 
+def test_fingerprints_take_no_more_memory_in_large_batches(spark, monkeypatch):
+    """A batch's texts are fingerprinted in runs, and batches are bounded where pages are parsed."""
+    import pandas as pd
+
+    from siteloom.functions import text as X
+    from siteloom.sources import html_dom
+
+    assert [len(x) for x in X.runs(["a" * 4, None, "b" * 6, "c" * 30, "", "d"], 10)] == [3, 1, 2] and list(X.runs([])) == []
+    texts, sizes, whole = [f"word{i} other{i % 7} words " * 40 for i in range(3000)] + [None, ""], [], X.fingerprints
+    monkeypatch.setattr(X, "fingerprints", lambda own: sizes.append(sum(len(t or "") for t in own)) or whole(own))
+    found = pd.concat(X.simhash.func(iter([pd.Series(texts), pd.Series([], dtype=object)])))
+    assert found.tolist() == whole(texts).tolist() and max(sizes) <= X.RUN < sum(sizes)
+    bound = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(bound)
+    spark.conf.set(bound, str(256 << 20))
+    c = crawl(spark, [{"url": f"{A}/1", "html": page()}])
+    html_dom.features(c.urls, c.page_html)
+    assert int(spark.conf.get(bound).rstrip("b")) == 4 << 20
+    spark.conf.set(bound, before)
+
+
 def test_copies_on_arrival_parse_pages_once(spark, monkeypatch):
     from siteloom.sources import html_dom
 
